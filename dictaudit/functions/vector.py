@@ -29,8 +29,13 @@ def norm(a) -> Column:
 
 
 def cosine_similarity(a, b) -> Column:
-    """a·b / (‖a‖‖b‖); null when either norm is zero."""
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
+    """a·b / (‖a‖‖b‖), clamped to [-1, 1]; null when either norm is zero.
+
+    The clamp removes rounding excursions such as 1.0000000000000002 for identical vectors, which
+    would otherwise fall outside the closed [0, 1] histogram range.
+    """
+    sim = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(sim.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sim)))
 
 
 def cosine_distance(a, b) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .util import attach_row
 
 
 def exact_duplicates(entries: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def dedup_totals(entries: DataFrame) -> DataFrame:
     """A5 totals: rows before, after, removed (one row)."""
     kept = dedup_pairs(entries).agg(F.count(F.lit(1)).alias("n_after"))
     before = entries.agg(F.count(F.lit(1)).alias("n_before"))
-    return before.crossJoin(kept).select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"))
+    return attach_row(before, kept).select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"))
 
 
 def first_in_segment(entries: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def _unit_rows(vecs: pd.Series) -> np.ndarray:
 
 
 def _block_pair_kernel(radius: float):
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(key[0]), int(key[1])
         left = pdf[pdf["blk"] == bi]
         right = left if bi == bj else pdf[pdf["blk"] == bj]
@@ -55,8 +55,7 @@ def _block_pair_kernel(radius: float):
         out_a, out_b, out_d = [], [], []
         for start in range(0, len(x), _CHUNK):
             xs = x[start:start + _CHUNK]
-            d = 1.0 - xs @ y.T
-            np.clip(d, 0.0, 2.0, out=d)
+            d = 1.0 - np.clip(xs @ y.T, -1.0, 1.0)
             mask = d <= radius
             if bi == bj:
                 mask &= ids_l[start:start + _CHUNK, None] < ids_r[None, :]

@@ -20,6 +20,7 @@ from ..operators import dedup as D
 from ..sources import tables as S
 from . import sqlfrag as Q
 from .registry import register
+from ..operators.util import attach_row
 
 # ------------------------------------------------------------------------------------------------
 # Text cleaning and exact duplicates
@@ -62,7 +63,7 @@ def filter_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
            .agg(F.count(F.lit(1)).alias("n_distinct"),
                 F.count("_hit").alias("n_with_vector"),
                 F.count_if(F.col("_hit").isNull()).alias("n_missing_vector")))
-    return counts.crossJoin(cov)
+    return attach_row(counts, cov)
 
 
 # ------------------------------------------------------------------------------------------------
