@@ -74,3 +74,54 @@ def extract_verdict(expr: str) -> str:
     up = f"upper(coalesce({expr}, ''))"
     whens = " ".join(f"WHEN contains({up}, {q(v)}) THEN {q(v)}" for v in fv.VERDICT_SEARCH_ORDER)
     return f"(CASE {whens} ELSE {q(fv.UNKNOWN)} END)"
+
+
+def fill(template: str, **slots: str) -> str:
+    """P20 in SQL: the template cut at its ``{slot}``s, concatenated with the slot expressions."""
+    import re
+
+    parts, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(q(template[pos:m.start()]))
+        parts.append(f"coalesce(CAST({slots[m.group(1)]} AS VARCHAR), 'None')")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(q(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def mock_hash(system: str, user: str, model: str = "''") -> str:
+    return f"md5(concat_ws(chr(31), coalesce({model}, ''), {system}, {user}))"
+
+
+def mock_answer(system: str, user: str, model: str = "''") -> str:
+    h = mock_hash(system, user, model)
+    c = f"substr({h}, 1, 1)"
+    tail = f"substr({h}, 2, 8)"
+    return (f"(CASE WHEN {system} = {q(fv.ISO_SYSTEM_PROMPT)} THEN 'Mock definition ' || substr({h}, 1, 12) "
+            f"WHEN {c} IN ('0','1','2','3','4','5','6','7','8','9','a','b') THEN 'YES — mock ' || {tail} "
+            f"WHEN {c} IN ('c','d') THEN 'NO — mock ' || {tail} "
+            f"WHEN {c} = 'e' THEN 'Nothing ' || {tail} ELSE 'Unclear ' || {tail} END)")
+
+
+def parse_error(response: str) -> str:
+    return (f"(CASE WHEN {yes_no_answer(response)} IS NULL THEN "
+            f"'Expected YES/NO response, got: ' || coalesce({strip(response)}, '') END)")
+
+
+def strip_trailing_group_ctes(prefix: str, source: str, key: str, col: str) -> str:
+    """P9 in SQL over ``source(key, col)``: the characters before the last ``)`` are exploded, a
+    running bracket balance is taken from the right, and the matching ``(`` is the rightmost
+    position where the balance reaches one. Defines ``{prefix}_out(key, s, clean)``."""
+    return f"""{prefix}_a AS (SELECT {key} AS k, {col} AS s, strpos(reverse({col}), ')') AS rp FROM {source}),
+{prefix}_b AS (SELECT k, s, length(s) - rp + 1 AS lc FROM {prefix}_a WHERE rp > 0),
+{prefix}_c AS (SELECT k, unnest(string_split(substr(s, 1, lc - 1), '')) AS ch,
+                      unnest(generate_series(1, lc - 1)) AS pos FROM {prefix}_b WHERE lc > 1),
+{prefix}_d AS (SELECT k, pos, sum(CASE ch WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)
+                      OVER (PARTITION BY k ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bal
+               FROM {prefix}_c),
+{prefix}_e AS (SELECT k, max(pos) AS open_pos FROM {prefix}_d WHERE bal = 1 GROUP BY k),
+{prefix}_out AS (SELECT a.k, a.s, CASE WHEN e.open_pos IS NOT NULL THEN {strip('substr(a.s, 1, e.open_pos - 1)')}
+                                   ELSE {strip('a.s')} END AS clean
+                 FROM {prefix}_a a LEFT JOIN {prefix}_e e ON e.k = a.k)"""
