@@ -285,7 +285,9 @@ def audit_candidates(candidates: DataFrame, backend, model: str | None = None,
     preferred_names_b, text_b, verdict, llm_definition_a, llm_definition_b, status``; a failed pair
     keeps its row with verdict UNKNOWN and status ``error``.
     """
-    pairs = _with_model(prepare_candidates(candidates), model)
+    # The prepared pairs feed both rounds, remediation and the final join: write them once to the
+    # checkpoint directory instead of recomputing the radius join behind them for every use.
+    pairs = _with_model(prepare_candidates(candidates), model).checkpoint()
     sig = audit_signals(pairs, backend)
     out = pairs.join(sig, ["model", "pair_id"])
     if remediate:

@@ -76,8 +76,13 @@ def _block_pair_kernel(radius: float):
 
 def radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col: str = "embedding",
                 method: str = "blocks", blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                naive_max_rows: int = NAIVE_MAX_ROWS) -> DataFrame:
-    """All pairs ``id_a < id_b`` whose cosine distance is at most ``radius`` (boundary included)."""
+                naive_max_rows: int = NAIVE_MAX_ROWS, n_rows: int | None = None) -> DataFrame:
+    """All pairs ``id_a < id_b`` whose cosine distance is at most ``radius`` (boundary included).
+
+    The block count needs the row count. When neither ``blocks`` nor ``n_rows`` is given, the
+    narrow ``(id, vector)`` input is first written with a reliable checkpoint, so counting it and
+    joining it read the same materialised rows instead of running the upstream plan twice.
+    """
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     if method == "naive":
         n = base.count()
@@ -92,7 +97,10 @@ def radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col: str =
     if method != "blocks":
         raise ValueError(f"unknown radius join method {method!r}")
     if blocks is None:
-        blocks = choose_blocks(base.count(), block_rows)
+        if n_rows is None:
+            base = base.checkpoint()
+            n_rows = base.count()
+        blocks = choose_blocks(n_rows, block_rows)
     b = int(blocks)
     rep = (base.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"))
            .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))

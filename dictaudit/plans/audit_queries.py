@@ -27,7 +27,9 @@ def _r6(c):
 
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.prepare_candidates(candidate_pairs(spark, sf_dir, RADIUS))
+    """Prepared candidate pairs, written once to the checkpoint directory (they are reused by every
+    audit round; recomputing them would re-run the radius join)."""
+    return A.prepare_candidates(candidate_pairs(spark, sf_dir, RADIUS)).checkpoint()
 
 
 # ------------------------------------------------------------------------------------------------

@@ -223,8 +223,9 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, radius: float = RADIUS) ->
     clean = S.clean_entries(S.entries_from_documents(spark, sf_dir))
     uniq = D.first_per_definition(clean)
     tv = S.text_vectors(spark, sf_dir).select(F.col("text").alias("definition"), "embedding")
-    matched = uniq.join(tv, "definition")
-    pairs = R.radius_join(matched, radius, id_col="seq", vec_col="embedding")
+    # Written once: the radius join, its block sizing and the name enrichment all read it.
+    matched = uniq.join(tv, "definition").select("seq", "definition", "ref", "embedding").checkpoint()
+    pairs = R.radius_join(matched, radius, id_col="seq", vec_col="embedding", n_rows=matched.count())
     side = matched.select(F.col("seq").alias("k"), "definition", "ref")
     a = side.select(F.col("k").alias("id_a"), F.col("definition").alias("ta"), F.col("ref").alias("ra"))
     b = side.select(F.col("k").alias("id_b"), F.col("definition").alias("tb"), F.col("ref").alias("rb"))
