@@ -56,9 +56,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
     nq = len(probs)
     x = F.col(col).cast("double")
     base = df.select(x.alias("x")).na.drop()
-    stats = base.agg(F.count(F.lit(1)).alias("n"),
+    stats = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
                      F.percentile_approx("x", F.array(*[F.lit(max(0.0, p - d)) for p in probs]), accuracy).alias("lo"),
                      F.percentile_approx("x", F.array(*[F.lit(min(1.0, p + d)) for p in probs]), accuracy).alias("hi"))
+    # Rank error ≤ n/accuracy puts floor/ceil(p(n-1)) inside [approx(p-d), approx(p+d)] once
+    # n ≥ 2·accuracy; below that the window is the whole range (at most 2·accuracy values).
+    small = F.col("n") < F.lit(2 * accuracy)
+    stats = stats.select("n", F.when(small, F.array_repeat("mn", nq)).otherwise(F.col("lo")).alias("lo"),
+                         F.when(small, F.array_repeat("mx", nq)).otherwise(F.col("hi")).alias("hi"))
     # The stats frame is one row: attaching it to every value is a broadcast of a constant.
     attached = attach_row(base, stats)
     below = attached.agg(*[F.count_if(F.col("x") < F.col("lo")[i]).alias(f"b{i}") for i in range(nq)])
