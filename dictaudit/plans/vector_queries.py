@@ -320,3 +320,25 @@ FROM lab GROUP BY component
 def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp = C.connected_components(radius_pairs_df(spark, sf_dir))
     return C.island_rollup(comp)
+
+
+# ------------------------------------------------------------------------------------------------
+# Masked density clustering (M5) per threshold, over the vector table. No SQL oracle: checked
+# against a brute-force whole-matrix statement of the method in tests/test_clusters.py.
+# ------------------------------------------------------------------------------------------------
+
+CLUSTER_THRESHOLDS = [0.55, 0.60]
+
+
+@register("masked_clusters", "M5 J7 P14 U5 A16", None)
+def masked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import clusters as CL
+
+    # One radius join at the largest threshold, written once; every threshold filters it.
+    edges = radius_pairs_df(spark, sf_dir, radius=max(CLUSTER_THRESHOLDS)).checkpoint()
+    out = None
+    for t in CLUSTER_THRESHOLDS:
+        roll = CL.cluster_rollup(CL.masked_clusters(edges, t), None, t, sep=",")
+        roll = roll.withColumnRenamed("definitions", "members")
+        out = roll if out is None else out.unionByName(roll)
+    return out
