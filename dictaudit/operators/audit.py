@@ -270,15 +270,19 @@ def prepare_candidates(candidates: DataFrame) -> DataFrame:
     bracket group of both names (P9); content-hash pair id (W3)."""
     kept = (candidates.filter(~T.is_chemical_pair("text_a", "text_b"))
             .filter(~T.is_structural_pair("text_a", "text_b")))
-    pid = F.md5(F.concat_ws(SEP, F.coalesce(F.col("preferred_names_a"), F.lit("")), F.col("text_a"),
-                            F.coalesce(F.col("preferred_names_b"), F.lit("")), F.col("text_b")))
-    return kept.select("*", pid.alias("pair_id"),
+    return kept.select("*", pair_id_expr().alias("pair_id"),
                        T.strip_trailing_group("preferred_names_a").alias("name_1"), F.col("text_a").alias("def_1"),
                        T.strip_trailing_group("preferred_names_b").alias("name_2"), F.col("text_b").alias("def_2"))
 
 
+def pair_id_expr() -> Column:
+    """A content-hash id of a candidate pair (stable across runs and partitionings)."""
+    return F.md5(F.concat_ws(SEP, F.coalesce(F.col("preferred_names_a"), F.lit("")), F.col("text_a"),
+                             F.coalesce(F.col("preferred_names_b"), F.lit("")), F.col("text_b")))
+
+
 def audit_candidates(candidates: DataFrame, backend, model: str | None = None,
-                     remediate: bool = True) -> DataFrame:
+                     remediate: bool = True, keep_pair_id: bool = False) -> DataFrame:
     """Candidate pairs → filters → names cleaned → audit → verdict → remediation.
 
     Output (the audit table, original names kept): ``distance, preferred_names_a, text_a,
@@ -298,10 +302,11 @@ def audit_candidates(candidates: DataFrame, backend, model: str | None = None,
         out = out.join(fx, ["model", "pair_id"], "left")
     else:
         out = out.withColumn("fix_a", F.lit(None).cast("string")).withColumn("fix_b", F.lit(None).cast("string"))
-    return out.select("distance", "preferred_names_a", "text_a", "preferred_names_b", "text_b",
-                      T.extract_verdict("verdict").alias("verdict"),
-                      F.coalesce("fix_a", F.lit("")).alias("llm_definition_a"),
-                      F.coalesce("fix_b", F.lit("")).alias("llm_definition_b"), "status")
+    cols = ["distance", "preferred_names_a", "text_a", "preferred_names_b", "text_b",
+            T.extract_verdict("verdict").alias("verdict"),
+            F.coalesce("fix_a", F.lit("")).alias("llm_definition_a"),
+            F.coalesce("fix_b", F.lit("")).alias("llm_definition_b"), "status"]
+    return out.select(*cols, *(["pair_id"] if keep_pair_id else []))
 
 
 def verdict_counts(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

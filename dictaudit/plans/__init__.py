@@ -3,7 +3,7 @@
 
 def all_queries():
     """Import every catalog module so that its queries register; returns the registry."""
-    from . import audit_queries, catalog, source_queries, vector_queries  # noqa: F401
+    from . import audit_queries, catalog, source_queries, stream_queries, vector_queries  # noqa: F401
     from .registry import REGISTRY
 
     return REGISTRY
