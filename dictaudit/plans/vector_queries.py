@@ -342,3 +342,26 @@ def masked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         roll = roll.withColumnRenamed("definitions", "members")
         out = roll if out is None else out.unionByName(roll)
     return out
+
+
+@register("placeholder_coverage_totals", "A21", _PH_SQL + """
+SELECT count(*) FILTER (WHERE top.rank IS NOT NULL) AS n_found, count(*) FILTER (WHERE top.rank IS NULL) AS n_not_found,
+       coalesce(array_to_string(list_sort(list(ph.text) FILTER (WHERE top.rank IS NULL)), ' | '), '') AS missing
+FROM ph LEFT JOIN top ON top.definition = ph.text WHERE ph.text NOT IN (SELECT text FROM seeds)
+""")
+def placeholder_coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ph, seeds, top = _top(spark, sf_dir)
+    return PH.coverage_totals(PH.placeholder_coverage(top, seeds, ph))
+
+
+@register("top5_preview", "T2 P8", _PH_SQL + """
+SELECT rank, round(similarity_score, 3) AS score,
+       CASE WHEN length(definition) > 50 THEN substr(definition, 1, 50) || '...' ELSE definition END AS preview
+FROM top WHERE rank <= 5
+""")
+def top5_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions import text as T
+
+    _, _, top = _top(spark, sf_dir)
+    return top.filter(F.col("rank") <= 5).select("rank", F.round("similarity_score", 3).alias("score"),
+                                                 T.preview("definition").alias("preview"))
