@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as T
+from ..session import materialize
 
 SEP = "\x1f"
 ANSWER_SCHEMA = "pkey string, response string, error string"
@@ -135,7 +136,7 @@ class CallableBackend:
                 yield pd.DataFrame({"pkey": pdf["pkey"], "response": out_r, "error": out_e})
 
         answers = requests.select(*cols).repartition(self.n_clients).mapInPandas(run, ANSWER_SCHEMA)
-        return answers.checkpoint()
+        return materialize(answers, "llm-answers")
 
 
 def ask(requests: DataFrame, backend) -> DataFrame:
@@ -291,7 +292,7 @@ def audit_candidates(candidates: DataFrame, backend, model: str | None = None,
     """
     # The prepared pairs feed both rounds, remediation and the final join: write them once to the
     # checkpoint directory instead of recomputing the radius join behind them for every use.
-    pairs = _with_model(prepare_candidates(candidates), model).checkpoint()
+    pairs = materialize(_with_model(prepare_candidates(candidates), model), "audit-pairs")
     sig = audit_signals(pairs, backend)
     out = pairs.join(sig, ["model", "pair_id"])
     if remediate:

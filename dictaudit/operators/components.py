@@ -8,8 +8,9 @@ Min-label propagation with pointer jumping, as DataFrame joins and group-bys:
   label's label (a join on the label);
 * rounds stop when no label changes (a count per round).
 
-Every round's labels are written with a reliable ``checkpoint()`` into the shared checkpoint
-directory, so lineage stays short and a lost executor recomputes one round, not all of them.
+Every round's labels are written as a table into the shared checkpoint directory
+(:func:`~dictaudit.session.materialize`), so lineage stays short and a lost executor re-reads one
+round instead of recomputing all of them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MAX_ROUNDS = 64
 
 
@@ -31,21 +34,22 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b",
 
     Output: ``node long, component long``.
     """
-    e = _undirected(edges, a, b).checkpoint()
-    labels = (e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label"))
-              .select(F.col("src").alias("node"), "label")).checkpoint()
+    e = materialize(_undirected(edges, a, b), "cc-edges")
+    labels = materialize(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label"))
+                         .select(F.col("src").alias("node"), "label"), "cc-labels")
     for _ in range(max_rounds):
         # neighbour minimum
         nb = (e.join(labels.withColumnRenamed("node", "src").withColumnRenamed("label", "nl"), "src")
               .groupBy("dst").agg(F.min("nl").alias("nl")).withColumnRenamed("dst", "node"))
         step = (labels.join(nb, "node", "left")
-                .select("node", F.least("label", F.coalesce("nl", "label")).alias("label")))
-        # pointer jump: take the label of the label
-        jumped = (step.join(step.select(F.col("node").alias("label"), F.col("label").alias("ll")), "label", "left")
-                  .select("node", F.least("label", F.coalesce("ll", "label")).alias("label"))).checkpoint()
-        changed = (jumped.join(labels.withColumnRenamed("label", "old"), "node")
-                   .filter(F.col("label") != F.col("old")).limit(1).count())
-        labels = jumped
+                .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label")))
+        # pointer jump: take the label of the label; the previous label rides along, so the
+        # convergence test is a scan of the checkpointed round, not another join
+        jumped = materialize(
+            step.join(step.select(F.col("node").alias("label"), F.col("label").alias("ll")), "label", "left")
+            .select("node", "old", F.least("label", F.coalesce("ll", "label")).alias("label")), "cc-labels")
+        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
+        labels = jumped.select("node", "label")
         if changed == 0:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..session import materialize
 
 PAIR_SCHEMA = "id_a long, id_b long, distance double"
 DEFAULT_BLOCK_ROWS = 2048
@@ -98,7 +99,7 @@ def radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col: str =
         raise ValueError(f"unknown radius join method {method!r}")
     if blocks is None:
         if n_rows is None:
-            base = base.checkpoint()
+            base = materialize(base, "radius-input")
             n_rows = base.count()
         blocks = choose_blocks(n_rows, block_rows)
     b = int(blocks)

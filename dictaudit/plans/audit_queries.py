@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as T
 from ..operators import audit as A
+from ..session import materialize
 from ..sources import tables as S
 from . import sqlfrag as Q
 from .registry import register
@@ -29,7 +30,7 @@ def _r6(c):
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared candidate pairs, written once to the checkpoint directory (they are reused by every
     audit round; recomputing them would re-run the radius join)."""
-    return A.prepare_candidates(candidate_pairs(spark, sf_dir, RADIUS)).checkpoint()
+    return materialize(A.prepare_candidates(candidate_pairs(spark, sf_dir, RADIUS)), "audit-candidates")
 
 
 # ------------------------------------------------------------------------------------------------

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import text as T
 from ..operators import components as C
 from ..operators import dedup as D
 from ..operators import placeholder as PH
 from ..operators import radius as R
 from ..operators import similarity as SIM
+from ..session import materialize
 from ..sources import tables as S
 from . import sqlfrag as Q
 from .registry import register
@@ -220,11 +222,22 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, radius: float = RADIUS) ->
 
     Output: ``distance, preferred_names_a, text_a, preferred_names_b, text_b`` with text_a < text_b.
     """
-    clean = S.clean_entries(S.entries_from_documents(spark, sf_dir))
-    uniq = D.first_per_definition(clean)
-    tv = S.text_vectors(spark, sf_dir).select(F.col("text").alias("definition"), "embedding")
+    # A8 (first row per definition) and J2 (the text-keyed vector lookup) in ONE group-by over
+    # documents ⋈ vectors (on doc_id): the vector of a definition is the one of the smallest doc_id
+    # whose raw text equals it, exactly what the text-keyed map returns. Full texts are shuffled
+    # twice (join, group-by) instead of five times (group-by, map build, map group-by, lookup join).
+    docs = S.entries_from_documents(spark, sf_dir).withColumnRenamed("definition", "raw")
+    vecs = S.vectors(spark, sf_dir).select(F.col("vec_id").alias("seq"), "embedding")
+    clean = S.clean_entries(docs.join(vecs, "seq", "left").withColumn("definition", F.col("raw")))
+    has_vec = (F.col("raw") == F.col("definition")) & F.col("embedding").isNotNull()
+    uniq = (clean.groupBy("definition")
+            .agg(F.min_by(F.struct("id", "preferred_name", "seq"), "seq").alias("f"),
+                 F.min_by("embedding", F.when(has_vec, F.col("seq"))).alias("embedding"))
+            .filter(F.col("embedding").isNotNull())
+            .select("definition", F.col("f.seq").alias("seq"), T.ref_string("f.preferred_name", "f.id").alias("ref"),
+                    "embedding"))
     # Written once: the radius join, its block sizing and the name enrichment all read it.
-    matched = uniq.join(tv, "definition").select("seq", "definition", "ref", "embedding").checkpoint()
+    matched = materialize(uniq, "matched")
     pairs = R.radius_join(matched, radius, id_col="seq", vec_col="embedding", n_rows=matched.count())
     side = matched.select(F.col("seq").alias("k"), "definition", "ref")
     a = side.select(F.col("k").alias("id_a"), F.col("definition").alias("ta"), F.col("ref").alias("ra"))
@@ -335,7 +348,7 @@ def masked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import clusters as CL
 
     # One radius join at the largest threshold, written once; every threshold filters it.
-    edges = radius_pairs_df(spark, sf_dir, radius=max(CLUSTER_THRESHOLDS)).checkpoint()
+    edges = materialize(radius_pairs_df(spark, sf_dir, radius=max(CLUSTER_THRESHOLDS)), "cluster-edges")
     out = None
     for t in CLUSTER_THRESHOLDS:
         roll = CL.cluster_rollup(CL.masked_clusters(edges, t), None, t, sep=",")

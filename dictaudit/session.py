@@ -67,3 +67,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint directory for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` once as Parquet into the shared checkpoint directory and
+    reading it back.
+
+    Same effect as a reliable ``checkpoint()`` (a lost executor re-reads the files instead of
+    recomputing the lineage), but one job instead of two: an eager ``checkpoint()`` runs the plan
+    once to count and again to write unless the data is also cached.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
