@@ -166,7 +166,8 @@ top AS (SELECT CAST(row_number() OVER (ORDER BY similarity_score DESC, definitio
 
 
 def _top(spark: SparkSession, sf_dir: str):
-    tv = S.text_vectors(spark, sf_dir).select("text", "embedding")
+    # The text-keyed map feeds the placeholder list, the seeds and the scoring: build it once.
+    tv = materialize(S.text_vectors(spark, sf_dir).select("text", "embedding"), "text-vectors")
     ph = _placeholders(tv)
     seeds = PH.sample_seeds(ph, N_SEEDS, SEED)
     return ph, seeds, PH.closest_to_seeds(tv, seeds)
