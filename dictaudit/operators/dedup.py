@@ -8,7 +8,7 @@ list (duplicate reports); those lists are built from the partial aggregates as w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -67,11 +67,15 @@ def dedup_totals(entries: DataFrame) -> DataFrame:
 
 
 def first_in_segment(entries: DataFrame) -> DataFrame:
-    """A1: the first record per (segment, id) by ``seq``, with the number of later duplicates."""
-    w = Window.partitionBy("segment", "id").orderBy("seq")
-    return (entries.withColumn("_rn", F.row_number().over(w))
-            .withColumn("n_duplicates", F.count(F.lit(1)).over(Window.partitionBy("segment", "id")) - 1)
-            .filter(F.col("_rn") == 1).drop("_rn"))
+    """A1: the first record per (segment, id) by ``seq``, with the number of later duplicates.
+
+    A group-by with ``min_by`` (partial aggregation), not a ``row_number`` window: a window would
+    sort all records of a hot (segment, id) inside one task.
+    """
+    first = F.min_by(F.struct("preferred_name", "definition", "seq"), "seq")
+    return (entries.groupBy("segment", "id")
+            .agg(first.alias("p"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
+            .select("id", "p.preferred_name", "p.definition", "segment", "p.seq", "n_duplicates"))
 
 
 def first_by_key(entries: DataFrame) -> DataFrame:

@@ -127,3 +127,24 @@ def test_callable_model_provider(spark):
     df = spark.createDataFrame([("ab",), ("abcd",)], "text string")
     got = {r.text: list(r.embedding) for r in EM.CallableModel(make).embed(df).collect()}
     assert got == {"ab": [2.0, 1.0], "abcd": [4.0, 1.0]}
+
+
+def test_append_sink_summarises_old_and_new(spark, tmp_path):
+    path = str(tmp_path / "ablation")
+    schema = "model string, mode string, verdict string, status string"
+    old = spark.createDataFrame([("m1", "test", "MISALIGNMENT", "success"), ("m1", "test", None, "error")], schema)
+    new = spark.createDataFrame([("m2", "test", "MISALIGNMENT", "success"), ("m1", "test", "MISALIGNMENT", "success")],
+                                schema)
+    SK.append_and_summarise(spark, old, path, ["model", "mode"])
+    summary = SK.append_and_summarise(spark, new, path, ["model", "mode"])
+    got = sorted(tuple(r) for r in summary.collect())
+    assert got == [("m1", "test", "MISALIGNMENT", 2), ("m2", "test", "MISALIGNMENT", 1)]
+
+
+def test_write_entries_partitioned(spark, tmp_path):
+    e = spark.createDataFrame([("1", "a", "x", 13), ("2", "b", "y", 14)],
+                              "id string, preferred_name string, definition string, segment int")
+    SK.write_entries(e, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out" / "by_segment"))
+    assert sorted((r.id, r.segment) for r in back.collect()) == [("1", 13), ("2", 14)]
+    assert spark.read.parquet(str(tmp_path / "out" / "combined")).count() == 2
