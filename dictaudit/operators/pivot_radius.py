@@ -1,0 +1,118 @@
+"""J6, pruned exact strategy: pivot cells (ball partitioning) for small radii.
+
+For unit vectors, cosine distance ≤ r ⇔ Euclidean distance ≤ ρ = √(2r). Every vector has a home
+cell (its nearest of K pivots) and also visits every other cell q with d(x, q) ≤ d(x, home) + 2ρ:
+if d(x, y) ≤ ρ and y lives in q, the triangle inequality gives d(x, q) ≤ d(x, home(x)) + 2ρ, so x
+meets y in y's cell. A pair {a, b} with a < b is emitted only in a's home cell, with a on the
+"home" side and b on the "probe" side (home or visitor there), hence exactly once.
+
+Cells are skewed by nature (a hot cluster of near-copies lands in one cell), so each cell is cut
+into a 2-D grid: home rows into ``Bq`` sub-blocks, probe rows into ``Pq`` chunks, sizes from the
+per-cell counts, and every (cell, sub-block, chunk) group holds at most about ``2·cell_rows``
+rows. The pivots (K vectors, K a parameter) are the only data shipped to every task.
+
+Zero vectors have cosine distance 1 to everything and break the Euclidean mapping: they join
+nothing below r = 1, and radii ≥ 1 are delegated to the block-pair strategy.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
+from . import radius as R
+
+DEFAULT_PIVOTS = 64
+DEFAULT_CELL_ROWS = 2048
+_SLACK = 1e-9
+
+
+def _unit(vecs) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs])
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _assign_kernel(pivots: np.ndarray, rho: float):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = _unit(pdf["vec"].values)
+            keep = np.linalg.norm(x, axis=1) > 0
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.clip(x @ pivots.T, -1.0, 1.0)))
+            home = d.argmin(axis=1)
+            bound = d[np.arange(len(d)), home] + 2.0 * rho + _SLACK
+            ids = pdf["id"].to_numpy(dtype=np.int64)
+            rows_i, rows_c = np.nonzero((d <= bound[:, None]) & keep[:, None])
+            yield pd.DataFrame({"id": ids[rows_i], "cell": rows_c.astype(np.int32),
+                                "is_home": rows_c == home[rows_i],
+                                "vec": [pdf["vec"].values[i] for i in rows_i]})
+    return run
+
+
+def _pair_kernel(radius: float):
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        home = pdf[pdf["side"] == 0]
+        probe = pdf[pdf["side"] == 1]
+        if len(home) == 0 or len(probe) == 0:
+            return pd.DataFrame({"id_a": [], "id_b": [], "distance": []})
+        hid = home["id"].to_numpy(dtype=np.int64)
+        pid = probe["id"].to_numpy(dtype=np.int64)
+        d = 1.0 - np.clip(_unit(home["vec"].values) @ _unit(probe["vec"].values).T, -1.0, 1.0)
+        li, ri = np.nonzero((d <= radius) & (hid[:, None] < pid[None, :]))
+        return pd.DataFrame({"id_a": hid[li], "id_b": pid[ri], "distance": d[li, ri]})
+    return kernel
+
+
+def pivot_radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col: str = "embedding",
+                      n_pivots: int = DEFAULT_PIVOTS, cell_rows: int = DEFAULT_CELL_ROWS, seed: int = 17) -> DataFrame:
+    """All pairs ``id_a < id_b`` with cosine distance ≤ ``radius``; same result as the block join."""
+    if radius >= 1.0:
+        return R.radius_join(df, radius, id_col=id_col, vec_col=vec_col)
+    base = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "pivot-input")
+    # K pivots: a repeatable hash sample, bounded by the parameter (the only per-task constant).
+    piv_rows = base.orderBy(F.xxhash64("id", F.lit(seed))).limit(int(n_pivots)).select("vec").collect()
+    pivots = _unit([r.vec for r in piv_rows])
+    pivots = pivots[np.linalg.norm(pivots, axis=1) > 0]
+    if len(pivots) == 0:
+        return R.radius_join(base, radius, id_col="id", vec_col="vec")
+    rho = float(np.sqrt(2.0 * radius))
+    vec_type = base.schema["vec"].dataType.simpleString()      # keep the input's precision
+    cells = materialize(base.mapInPandas(_assign_kernel(pivots, rho),
+                                         f"id long, cell int, is_home boolean, vec {vec_type}"), "pivot-cells")
+    # per-cell grid sizes: Bq home sub-blocks × Pq probe chunks (a K-row table)
+    sizes = (cells.groupBy("cell")
+             .agg(F.count_if("is_home").alias("h"), F.count(F.lit(1)).alias("p"))
+             .select("cell", F.greatest(F.lit(1), F.ceil(F.col("h") / cell_rows)).cast("int").alias("bq"),
+                     F.greatest(F.lit(1), F.ceil(F.col("p") / cell_rows)).cast("int").alias("pq")))
+    c = cells.join(F.broadcast(sizes), "cell")
+    h = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    home_side = (c.filter("is_home")
+                 .select("cell", (h % F.col("bq")).cast("int").alias("sub"),
+                         F.explode(F.sequence(F.lit(0), F.col("pq") - 1)).alias("chunk"),
+                         F.lit(0).alias("side"), "id", "vec"))
+    probe_side = (c.select("cell", F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("sub"),
+                           (h % F.col("pq")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id", "vec"))
+    grid = home_side.unionByName(probe_side)
+    return grid.groupBy("cell", "sub", "chunk").applyInPandas(_pair_kernel(float(radius)), R.PAIR_SCHEMA)
+
+
+AUTO_BLOCK_MAX_ROWS = 50_000
+
+
+def exact_radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col: str = "embedding",
+                      n_rows: int | None = None, block_max_rows: int = AUTO_BLOCK_MAX_ROWS, **pivot_args) -> DataFrame:
+    """Exact radius join choosing the strategy from the input size: the block-pair join up to
+    ``block_max_rows`` rows (or for radii ≥ 1, where no pruning is possible), pivot cells above.
+    The input is written once (shared checkpoint folder) so sizing and joining read the same rows."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    if n_rows is None:
+        base = materialize(base, "radius-input")
+        n_rows = base.count()
+    if n_rows <= block_max_rows or radius >= 1.0:
+        return R.radius_join(base, radius, id_col="id", vec_col="vec", n_rows=n_rows)
+    return pivot_radius_join(base, radius, id_col="id", vec_col="vec", **pivot_args)

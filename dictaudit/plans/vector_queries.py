@@ -239,7 +239,10 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, radius: float = RADIUS) ->
                     "embedding"))
     # Written once: the radius join, its block sizing and the name enrichment all read it.
     matched = materialize(uniq, "matched")
-    pairs = R.radius_join(matched, radius, id_col="seq", vec_col="embedding", n_rows=matched.count())
+    from ..operators.pivot_radius import exact_radius_join
+
+    # block pairs for small inputs, pivot cells (pruned, exact) for large ones
+    pairs = exact_radius_join(matched, radius, id_col="seq", vec_col="embedding", n_rows=matched.count())
     side = matched.select(F.col("seq").alias("k"), "definition", "ref")
     a = side.select(F.col("k").alias("id_a"), F.col("definition").alias("ta"), F.col("ref").alias("ra"))
     b = side.select(F.col("k").alias("id_b"), F.col("definition").alias("tb"), F.col("ref").alias("rb"))
