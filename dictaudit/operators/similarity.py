@@ -86,8 +86,15 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
 
 
 def summary_stats(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, median, population std, min, max, p25, p75 (one row)."""
-    x = F.col(col).cast("double")
+    """Count, mean, median, population std, min, max, p25, p75 (one row).
+
+    The scores are read four times (moments, quantile brackets, counts below, ranked windows), so
+    the single score column is written once and every pass reads that narrow table.
+    """
+    from ..session import materialize
+
+    df = materialize(df.select(F.col(col).cast("double").alias(col)), "summary-input")
+    x = F.col(col)
     moments = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
                      F.min(x).alias("min"), F.max(x).alias("max"))
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
