@@ -15,7 +15,9 @@ round instead of recomputing all of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -45,10 +47,13 @@ def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b",
                 .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label")))
         # pointer jump: take the label of the label; the previous label rides along, so the
         # convergence test is a scan of the checkpointed round, not another join
-        jumped = materialize(
-            step.join(step.select(F.col("node").alias("label"), F.col("label").alias("ll")), "label", "left")
-            .select("node", "old", F.least("label", F.coalesce("ll", "label")).alias("label")), "cc-labels")
-        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
+        jumped = (step.join(step.select(F.col("node").alias("label"), F.col("label").alias("ll")), "label", "left")
+                  .select("node", "old", F.least("label", F.coalesce("ll", "label")).alias("label")))
+        # the number of changed labels is observed by the job that writes the round
+        obs = Observation(f"cc-{uuid.uuid4().hex}")
+        jumped = materialize(jumped.observe(obs, F.count_if(F.col("label") != F.col("old")).alias("changed")),
+                             "cc-labels")
+        changed = obs.get["changed"]
         labels = jumped.select("node", "label")
         if changed == 0:
             return labels.withColumnRenamed("label", "component")
