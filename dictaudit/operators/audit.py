@@ -16,7 +16,8 @@ Backends (L1):
 * ``CallableBackend`` — any ``fn(system, user, model) -> str`` (a client for a model server),
   run by ``mapInPandas`` with one client per partition, ``n_clients`` partitions bounding the
   concurrency, retries, and failures captured as ``error`` (never raised). Its answers are written
-  with a reliable checkpoint before use, so a recomputed lineage never asks the model again.
+  to a table in the shared checkpoint folder before use, so a recomputed lineage never asks the
+  model again.
 """
 
 from __future__ import annotations
@@ -335,3 +336,27 @@ def expected_verdicts(ablation: DataFrame, expected: str = fv.EXPECTED_UNRELATED
                  F.count_if(F.col("verdict") == expected).alias("n_expected"),
                  F.count_if(F.col("verdict") != expected).alias("n_violations"))
             .withColumn("pass_rate", F.col("n_expected") / F.col("n_success")))
+
+
+def audit_tuple_set(tuples: DataFrame, backend, model: str | None = None, remediate: bool = True,
+                    expected: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Audit a fixed set of tuples ``(tuple_id, name_1, def_1, name_2, def_2)`` — no candidate
+    filters — and report per-tuple results plus one counter row (processed, success, error, with
+    remediation, and, when ``expected`` is given, the successful rows with another verdict)."""
+    pairs = materialize(_with_model(tuples.withColumnRenamed("tuple_id", "pair_id"), model), "tuple-set")
+    sig = audit_signals(pairs, backend)
+    res = pairs.select("model", "pair_id", "name_1", "name_2").join(sig, ["model", "pair_id"])
+    if remediate:
+        fx = (remediation(pairs, sig, backend).groupBy("model", "pair_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("term", "definition"))).alias("proposed")))
+        res = res.join(fx, ["model", "pair_id"], "left")
+    else:
+        res = res.withColumn("proposed", F.lit(None).cast("map<string,string>"))
+    res = res.withColumnRenamed("pair_id", "tuple_id")
+    has_fix = F.coalesce(F.size("proposed"), F.lit(0)) > 0
+    ok = F.col("status") == "success"
+    counters = res.agg(F.count(F.lit(1)).alias("processed"), F.count_if(ok).alias("success"),
+                       F.count_if(~ok).alias("error"), F.count_if(ok & has_fix).alias("with_remediation"),
+                       F.count_if(ok & (F.col("verdict") != F.lit(expected)) if expected else F.lit(False))
+                       .alias("unexpected"))
+    return res, counters

@@ -54,3 +54,10 @@ def texts_to_embed(spark: SparkSession, texts: DataFrame, path: str) -> DataFram
     if not path_exists(spark, path):
         return texts
     return texts.join(spark.read.parquet(path).select("text"), "text", "left_anti")
+
+
+def write_per_model(results: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """S9 for the ablation: one partition per model, named with the safe model name."""
+    from ..functions.text import safe_model_name
+
+    return write_table(results.withColumn("safe_model", safe_model_name("model")), path, ["safe_model"], fmt)

@@ -3,7 +3,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from dictaudit import fixed_values as fv
 from dictaudit.operators import audit as A
