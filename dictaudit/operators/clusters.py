@@ -13,7 +13,8 @@ masked pairs sit at distance 2.0 (λ = 0.5), so:
 
 Plan: edges ≤ t → components → minimum-spanning-forest filtering (groups of bounded size keep
 only their own spanning-forest edges; by the cycle property no MST edge is lost) → one group per
-island holding at most ``FILTER_BUCKETS·(n−1)`` edges → condense + select in ``applyInPandas``.
+island holding about n − 1 edges (rounds with ⌈m / GROUP_EDGES⌉ groups per island until no island
+needs more than one) → condense + select in ``applyInPandas``.
 
 Deliberate difference from the library: a point is never put into a cluster without an edge ≤ t
 (the library can hang isolated points next to an island in the spanning tree).
@@ -26,10 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .components import connected_components
 from .util import attach_row
 
-FILTER_BUCKETS = 16
+GROUP_EDGES = 1_000_000          # edges per spanning-forest filtering group
 MIN_CLUSTER_SIZE = 2
 EDGE_SCHEMA = "component long, id_a long, id_b long, distance double"
 LABEL_SCHEMA = "component long, node long, cluster long"
@@ -199,8 +201,33 @@ def _island_kernel(strict_root: bool):
     return kernel
 
 
+def spanning_forest_filter(ce: DataFrame, group_edges: int = GROUP_EDGES, max_rounds: int = 8) -> DataFrame:
+    """Reduce each island's edges towards its minimum spanning tree without gathering the island.
+
+    Per round, an island with m edges is cut into ⌈m / group_edges⌉ hash buckets; every
+    (island, bucket) group keeps its own spanning-forest edges (cycle property: no MST edge is
+    dropped). Rounds repeat while some island still needs more than one group and the edge count
+    still falls; the caller's final per-island group then holds about n − 1 edges.
+    """
+    total = ce.count()
+    for _ in range(max_rounds):
+        per = (ce.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+               .select("component", F.ceil(F.col("m") / F.lit(group_edges)).cast("long").alias("nb")))
+        if per.filter(F.col("nb") > 1).limit(1).count() == 0:
+            break
+        bucket = F.pmod(F.xxhash64("id_a", "id_b"), F.col("nb"))
+        nxt = materialize(ce.join(per, "component").withColumn("_b", bucket)
+                          .groupBy("component", "_b").applyInPandas(_forest_kernel, EDGE_SCHEMA), "msf-edges")
+        n_next = nxt.count()
+        ce = nxt
+        if n_next >= total:          # forests cannot shrink further: islands larger than a group
+            break
+        total = n_next
+    return ce
+
+
 def masked_clusters(edges: DataFrame, threshold: float, strict_root: bool = True,
-                    buckets: int = FILTER_BUCKETS) -> DataFrame:
+                    group_edges: int = GROUP_EDGES) -> DataFrame:
     """Cluster labels ``(node, cluster)`` at ``threshold`` from pair distances ``(id_a, id_b, distance)``.
 
     Noise points are absent from the output.
@@ -208,9 +235,7 @@ def masked_clusters(edges: DataFrame, threshold: float, strict_root: bool = True
     e = edges.filter(F.col("distance") <= F.lit(float(threshold))).select("id_a", "id_b", "distance")
     comp = connected_components(e)
     ce = e.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", "id_a", "id_b", "distance")
-    # filtering round: each (island, bucket) group keeps only its spanning-forest edges
-    bucket = F.pmod(F.xxhash64("id_a", "id_b"), F.lit(buckets))
-    filtered = ce.withColumn("_b", bucket).groupBy("component", "_b").applyInPandas(_forest_kernel, EDGE_SCHEMA)
+    filtered = spanning_forest_filter(ce, group_edges)
     n_islands = comp.agg(F.countDistinct("component").alias("n_islands"))
     grouped = attach_row(filtered, n_islands)
     return grouped.groupBy("component").applyInPandas(_island_kernel(strict_root), LABEL_SCHEMA)
