@@ -46,7 +46,7 @@ def test_has_ascii_letter(spark):
 
 
 BRACKETS = ["Concealer stick (makeup)", "A (b (c) d) e", "x) y", "((a)", "no close", "nested ((x)) tail",
-            " 😀(😀) ", "Name (0173-1#01-AGF076#008)", "(only)", ")", "()", "a (b) c (d)", "", "  (x) ",
+            " 😀(😀) ", "Name (0000-1#01-XYZ123#001)", "(only)", ")", "()", "a (b) c (d)", "", "  (x) ",
             "unbalanced (a (b)", "Push button (door (x) ) y"]
 
 
