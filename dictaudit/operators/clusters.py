@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import connected_components
-from .util import attach_row
 
 GROUP_EDGES = 1_000_000          # edges per spanning-forest filtering group
 MIN_CLUSTER_SIZE = 2
-EDGE_SCHEMA = "component long, id_a long, id_b long, distance double"
-LABEL_SCHEMA = "component long, node long, cluster long"
+EDGE_SCHEMA = "threshold double, component long, id_a long, id_b long, distance double"
+LABEL_SCHEMA = "threshold double, component long, node long, cluster long"
 
 
 def _find(parent: dict, x):
@@ -183,7 +182,7 @@ def _find_list(parent: list, x: int) -> int:
 
 def _forest_kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     keep = spanning_forest(pdf["id_a"].to_numpy(), pdf["id_b"].to_numpy(), pdf["distance"].to_numpy())
-    return pdf.iloc[keep][["component", "id_a", "id_b", "distance"]]
+    return pdf.iloc[keep][["threshold", "component", "id_a", "id_b", "distance"]]
 
 
 def _island_kernel(strict_root: bool):
@@ -193,8 +192,9 @@ def _island_kernel(strict_root: bool):
         birth = 0.0 if not selectable else 0.5
         lab = island_clusters(pdf["id_a"].to_numpy(), pdf["id_b"].to_numpy(), pdf["distance"].to_numpy(),
                               birth=birth, selectable_root=selectable)
-        comp = int(key[0])
-        return pd.DataFrame({"component": np.full(len(lab), comp, dtype=np.int64),
+        t, comp = float(key[0]), int(key[1])
+        return pd.DataFrame({"threshold": np.full(len(lab), t, dtype=np.float64),
+                             "component": np.full(len(lab), comp, dtype=np.int64),
                              "node": np.fromiter(lab.keys(), dtype=np.int64, count=len(lab)),
                              "cluster": np.fromiter(lab.values(), dtype=np.int64, count=len(lab))})
 
@@ -204,20 +204,22 @@ def _island_kernel(strict_root: bool):
 def spanning_forest_filter(ce: DataFrame, group_edges: int = GROUP_EDGES, max_rounds: int = 8) -> DataFrame:
     """Reduce each island's edges towards its minimum spanning tree without gathering the island.
 
-    Per round, an island with m edges is cut into ⌈m / group_edges⌉ hash buckets; every
-    (island, bucket) group keeps its own spanning-forest edges (cycle property: no MST edge is
-    dropped). Rounds repeat while some island still needs more than one group and the edge count
-    still falls; the caller's final per-island group then holds about n − 1 edges.
+    ``ce``: ``threshold, component, id_a, id_b, distance``. Per round, an island with m edges is cut
+    into ⌈m / group_edges⌉ hash buckets; every (island, bucket) group keeps its own spanning-forest
+    edges (cycle property: no MST edge is dropped). Rounds repeat while some island still needs
+    more than one group and the edge count still falls; the caller's final per-island group then
+    holds about n − 1 edges.
     """
+    keys = ["threshold", "component"]
     total = ce.count()
     for _ in range(max_rounds):
-        per = (ce.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-               .select("component", F.ceil(F.col("m") / F.lit(group_edges)).cast("long").alias("nb")))
+        per = (ce.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"))
+               .select(*keys, F.ceil(F.col("m") / F.lit(group_edges)).cast("long").alias("nb")))
         if per.filter(F.col("nb") > 1).limit(1).count() == 0:
             break
         bucket = F.pmod(F.xxhash64("id_a", "id_b"), F.col("nb"))
-        nxt = materialize(ce.join(per, "component").withColumn("_b", bucket)
-                          .groupBy("component", "_b").applyInPandas(_forest_kernel, EDGE_SCHEMA), "msf-edges")
+        nxt = materialize(ce.join(per, keys).withColumn("_b", bucket)
+                          .groupBy(*keys, "_b").applyInPandas(_forest_kernel, EDGE_SCHEMA), "msf-edges")
         n_next = nxt.count()
         ce = nxt
         if n_next >= total:          # forests cannot shrink further: islands larger than a group
@@ -226,27 +228,44 @@ def spanning_forest_filter(ce: DataFrame, group_edges: int = GROUP_EDGES, max_ro
     return ce
 
 
+def masked_clusters_multi(edges: DataFrame, thresholds: list[float], strict_root: bool = True,
+                          group_edges: int = GROUP_EDGES) -> DataFrame:
+    """Cluster labels ``(threshold, component, node, cluster)`` for every threshold at once.
+
+    The edges are fanned out to the thresholds they satisfy (a literal array: no join), and the
+    islands of all thresholds converge in one components run keyed by threshold.
+    """
+    ts = F.array(*[F.lit(float(t)) for t in thresholds])
+    e = (edges.select("id_a", "id_b", "distance").withColumn("threshold", F.explode(ts))
+         .filter(F.col("distance") <= F.col("threshold")))
+    comp = connected_components(e, keys=("threshold",))
+    ce = e.join(comp.select("threshold", F.col("node").alias("id_a"), "component"), ["threshold", "id_a"])
+    filtered = spanning_forest_filter(ce.select("threshold", "component", "id_a", "id_b", "distance"), group_edges)
+    # one row per threshold (a bounded parameter list)
+    n_islands = comp.groupBy("threshold").agg(F.countDistinct("component").alias("n_islands"))
+    grouped = filtered.join(F.broadcast(n_islands), "threshold")
+    return grouped.groupBy("threshold", "component").applyInPandas(_island_kernel(strict_root), LABEL_SCHEMA)
+
+
 def masked_clusters(edges: DataFrame, threshold: float, strict_root: bool = True,
                     group_edges: int = GROUP_EDGES) -> DataFrame:
     """Cluster labels ``(node, cluster)`` at ``threshold`` from pair distances ``(id_a, id_b, distance)``.
 
     Noise points are absent from the output.
     """
-    e = edges.filter(F.col("distance") <= F.lit(float(threshold))).select("id_a", "id_b", "distance")
-    comp = connected_components(e)
-    ce = e.join(comp.select(F.col("node").alias("id_a"), "component"), "id_a").select("component", "id_a", "id_b", "distance")
-    filtered = spanning_forest_filter(ce, group_edges)
-    n_islands = comp.agg(F.countDistinct("component").alias("n_islands"))
-    grouped = attach_row(filtered, n_islands)
-    return grouped.groupBy("component").applyInPandas(_island_kernel(strict_root), LABEL_SCHEMA)
+    return masked_clusters_multi(edges, [threshold], strict_root, group_edges).select("component", "node", "cluster")
 
 
-def cluster_rollup(labels: DataFrame, texts: DataFrame | None, threshold: float, sep: str = " || ") -> DataFrame:
-    """Per cluster its size and members (texts when given, else ids), sorted and joined."""
+def cluster_rollup(labels: DataFrame, texts: DataFrame | None, threshold: float | None = None,
+                   sep: str = " || ") -> DataFrame:
+    """Per (threshold, cluster) its size and members (texts when given, else ids), sorted and
+    joined. ``labels`` carries a ``threshold`` column, or ``threshold`` names the one it was cut at."""
+    if "threshold" not in labels.columns:
+        labels = labels.withColumn("threshold", F.lit(float(threshold)))
     if texts is not None:
         j = labels.join(texts.select(F.col("id").alias("node"), F.col("text").alias("member")), "node")
     else:
         j = labels.withColumn("member", F.col("node").cast("string"))
-    return (j.groupBy("cluster")
+    return (j.groupBy("threshold", "cluster")
             .agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("member")), sep).alias("definitions"))
-            .select(F.lit(float(threshold)).alias("threshold"), F.col("cluster").alias("cluster_id"), "size", "definitions"))
+            .select("threshold", F.col("cluster").alias("cluster_id"), "size", "definitions"))

@@ -25,36 +25,41 @@ from ..session import materialize
 MAX_ROUNDS = 64
 
 
-def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
-    e = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).filter(F.col("src") != F.col("dst"))
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def _undirected(edges: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    e = edges.select(*keys, F.col(a).alias("src"), F.col(b).alias("dst")).filter(F.col("src") != F.col("dst"))
+    return e.unionByName(e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b",
+def connected_components(edges: DataFrame, a: str = "id_a", b: str = "id_b", keys: tuple[str, ...] = (),
                          max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Label every node that has an edge with the smallest node id of its component.
 
-    Output: ``node long, component long``.
+    ``keys`` (e.g. ``("threshold",)``) name independent graphs sharing one run: every join and
+    group-by carries them, so several graphs converge in the same rounds.
+    Output: ``*keys, node long, component long``.
     """
-    e = materialize(_undirected(edges, a, b), "cc-edges")
-    labels = materialize(e.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("label"))
-                         .select(F.col("src").alias("node"), "label"), "cc-labels")
+    k = list(keys)
+    e = materialize(_undirected(edges, a, b, k), "cc-edges")
+    labels = materialize(e.groupBy(*k, "src").agg(F.least(F.min("dst"), F.first("src")).alias("label"))
+                         .select(*k, F.col("src").alias("node"), "label"), "cc-labels")
     for _ in range(max_rounds):
         # neighbour minimum
-        nb = (e.join(labels.withColumnRenamed("node", "src").withColumnRenamed("label", "nl"), "src")
-              .groupBy("dst").agg(F.min("nl").alias("nl")).withColumnRenamed("dst", "node"))
-        step = (labels.join(nb, "node", "left")
-                .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label")))
+        nb = (e.join(labels.withColumnRenamed("node", "src").withColumnRenamed("label", "nl"), [*k, "src"])
+              .groupBy(*k, "dst").agg(F.min("nl").alias("nl")).withColumnRenamed("dst", "node"))
+        step = (labels.join(nb, [*k, "node"], "left")
+                .select(*k, "node", F.col("label").alias("old"),
+                        F.least("label", F.coalesce("nl", "label")).alias("label")))
         # pointer jump: take the label of the label; the previous label rides along, so the
-        # convergence test is a scan of the checkpointed round, not another join
-        jumped = (step.join(step.select(F.col("node").alias("label"), F.col("label").alias("ll")), "label", "left")
-                  .select("node", "old", F.least("label", F.coalesce("ll", "label")).alias("label")))
+        # convergence test needs no further join
+        jumped = (step.join(step.select(*k, F.col("node").alias("label"), F.col("label").alias("ll")), [*k, "label"],
+                            "left")
+                  .select(*k, "node", "old", F.least("label", F.coalesce("ll", "label")).alias("label")))
         # the number of changed labels is observed by the job that writes the round
         obs = Observation(f"cc-{uuid.uuid4().hex}")
         jumped = materialize(jumped.observe(obs, F.count_if(F.col("label") != F.col("old")).alias("changed")),
                              "cc-labels")
         changed = obs.get["changed"]
-        labels = jumped.select("node", "label")
+        labels = jumped.select(*k, "node", "label")
         if changed == 0:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")

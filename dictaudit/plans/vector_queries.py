@@ -351,14 +351,11 @@ CLUSTER_THRESHOLDS = [0.55, 0.60]
 def masked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import clusters as CL
 
-    # One radius join at the largest threshold, written once; every threshold filters it.
+    # One radius join at the largest threshold, written once; all thresholds are clustered in one
+    # run (edges fanned out by threshold, islands found in one keyed components loop).
     edges = materialize(radius_pairs_df(spark, sf_dir, radius=max(CLUSTER_THRESHOLDS)), "cluster-edges")
-    out = None
-    for t in CLUSTER_THRESHOLDS:
-        roll = CL.cluster_rollup(CL.masked_clusters(edges, t), None, t, sep=",")
-        roll = roll.withColumnRenamed("definitions", "members")
-        out = roll if out is None else out.unionByName(roll)
-    return out
+    labels = CL.masked_clusters_multi(edges, CLUSTER_THRESHOLDS)
+    return CL.cluster_rollup(labels, None, sep=",").withColumnRenamed("definitions", "members")
 
 
 @register("placeholder_coverage_totals", "A21", _PH_SQL + """
