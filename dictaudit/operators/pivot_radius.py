@@ -76,6 +76,8 @@ def pivot_radius_join(df: DataFrame, radius: float, id_col: str = "id", vec_col:
     base = materialize(df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), "pivot-input")
     # K pivots: a repeatable hash sample, bounded by the parameter (the only per-task constant).
     piv_rows = base.orderBy(F.xxhash64("id", F.lit(seed))).limit(int(n_pivots)).select("vec").collect()
+    if not piv_rows:                                           # empty input: nothing to join
+        return R.radius_join(base, radius, id_col="id", vec_col="vec", n_rows=0)
     pivots = _unit([r.vec for r in piv_rows])
     pivots = pivots[np.linalg.norm(pivots, axis=1) > 0]
     if len(pivots) == 0:
