@@ -30,6 +30,21 @@ def exact_duplicates(entries: DataFrame) -> DataFrame:
             .orderBy(F.desc("count"), "definition"))
 
 
+def exact_duplicate_refs(entries: DataFrame) -> DataFrame:
+    """A7 in long form: one row per (definition, distinct ``"name (id)"``) of every definition used
+    by more than one row, with the definition's row count.
+
+    The reference-format report joins all names of a definition into one string; for a definition
+    shared by a third of a very large dictionary that single value outgrows any row. Here nothing is
+    collected: row counts per definition are a partial aggregate, the distinct references a
+    distinct over (definition, ref), and the two meet in an equi-join (AQE splits a skewed key).
+    """
+    ref = T.ref_string("preferred_name", "id")
+    counts = entries.groupBy("definition").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") > 1)
+    refs = entries.select("definition", ref.alias("ref")).distinct()
+    return refs.join(counts, "definition").select("definition", "ref", "count")
+
+
 def first_per_definition(entries: DataFrame) -> DataFrame:
     """The first row (smallest ``seq``) per definition with its ``"name (id)"`` string.
 

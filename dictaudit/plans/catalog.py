@@ -39,6 +39,16 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exact_duplicates(S.clean_entries(S.entries_from_documents(spark, sf_dir)))
 
 
+@register("exact_duplicate_refs", "P1 P5 P7 A7", f"""
+WITH c AS ({Q.clean_entries()}),
+n AS (SELECT definition, count(*) AS count FROM c GROUP BY definition HAVING count(*) > 1)
+SELECT DISTINCT c.definition, {Q.ref('c.preferred_name', 'c.id')} AS ref, n.count
+FROM c JOIN n ON n.definition = c.definition
+""")
+def exact_duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.exact_duplicate_refs(S.clean_entries(S.entries_from_documents(spark, sf_dir)))
+
+
 @register("filter_lineage", "P5 P6 A6 A22 J2", f"""
 WITH e AS ({Q.entries_documents()}),
      v AS ({Q.text_vectors()}),
