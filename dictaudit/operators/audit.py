@@ -68,8 +68,8 @@ class MockBackend:
         m = model if model is not None else F.lit("")
         return F.md5(F.concat_ws(SEP, F.coalesce(m, F.lit("")), system, user))
 
-    def answer_expr(self, system: Column, user: Column, model: Column | None = None) -> Column:
-        h = self.hash_expr(system, user, model)
+    @staticmethod
+    def answer_from_hash(system: Column, h: Column) -> Column:
         c = F.substring(h, 1, 1)
         tail = F.substring(h, 2, 8)
         return (F.when(system == F.lit(fv.ISO_SYSTEM_PROMPT), F.concat(F.lit("Mock definition "), F.substring(h, 1, 12)))
@@ -78,10 +78,15 @@ class MockBackend:
                 .when(c == "e", F.concat(F.lit("Nothing "), tail))
                 .otherwise(F.concat(F.lit("Unclear "), tail)))
 
+    def answer_expr(self, system: Column, user: Column, model: Column | None = None) -> Column:
+        return self.answer_from_hash(system, self.hash_expr(system, user, model))
+
     def complete(self, requests: DataFrame) -> DataFrame:
         model = F.col("model") if "model" in requests.columns else None
-        return requests.select("pkey", self.answer_expr(F.col("system"), F.col("user"), model).alias("response"),
-                               F.lit(None).cast("string").alias("error"))
+        # the prompt hash is a column first, so the prompt text is hashed once per request
+        hashed = requests.select("pkey", "system", self.hash_expr(F.col("system"), F.col("user"), model).alias("_h"))
+        return hashed.select("pkey", self.answer_from_hash(F.col("system"), F.col("_h")).alias("response"),
+                             F.lit(None).cast("string").alias("error"))
 
 
 class TableBackend:
@@ -149,13 +154,17 @@ def ask(requests: DataFrame, backend) -> DataFrame:
 
 
 def _parsed(df: DataFrame) -> DataFrame:
-    ans = T.yes_no_answer("response")
-    return (df.withColumn("answer", ans)
-            .withColumn("justification", F.when(ans.isNotNull(), T.yes_no_justification("response")))
+    # The stripped answer and the parsed value are columns, referenced by name below: repeating
+    # the expressions would multiply the plan's expression trees (and the driver's analysis time).
+    s = df.withColumn("_stripped", T.ustrip("response"))
+    s = s.withColumn("answer", T.yes_no_answer("_stripped"))
+    ans = F.col("answer")
+    return (s.withColumn("justification", F.when(ans.isNotNull(), T.yes_no_justification("_stripped")))
             .withColumn("parse_error",
                         F.when(F.col("error").isNotNull(), F.col("error"))
                         .when(ans.isNull(), F.concat(F.lit("Expected YES/NO response, got: "),
-                                                     F.coalesce(T.ustrip("response"), F.lit(""))))))
+                                                     F.coalesce(F.col("_stripped"), F.lit("")))))
+            .drop("_stripped"))
 
 
 def _with_model(df: DataFrame, model: str | None) -> DataFrame:
@@ -216,21 +225,24 @@ def signals_from_answers(parsed: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(e.isNull(), F.lit(f"missing answer: {role}")).when(e != "", e)
 
     nd = F.col("names_distinct")
-    error = F.coalesce(err("alignment_a"), err("alignment_b"), err("names_distinct"),
-                       F.when(nd, err("defs_too_similar")))
-    sim = F.when(nd, F.col("defs_too_similar"))
-    sim_j = F.when(nd, F.col("defs_too_similar_justification"))
-    ok = error.isNull()
-    verdict = T.verdict_expr("alignment_a", "alignment_b", "names_distinct", sim)
+    # error, skipped-aware too-similar signal and verdict become columns once and are referenced
+    # by name, instead of repeating their expressions in every output column
+    sig = (sig.withColumn("_error", F.coalesce(err("alignment_a"), err("alignment_b"), err("names_distinct"),
+                                               F.when(nd, err("defs_too_similar"))))
+           .withColumn("_sim", F.when(nd, F.col("defs_too_similar")))
+           .withColumn("_sim_j", F.when(nd, F.col("defs_too_similar_justification"))))
+    sig = sig.withColumn("_verdict", T.verdict_expr("alignment_a", "alignment_b", "names_distinct", "_sim"))
+    ok = F.col("_error").isNull()
     return sig.select(
         *keys,
         F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"),
-        error.alias("error"),
-        F.when(ok, verdict).alias("verdict"),
+        F.col("_error").alias("error"),
+        F.when(ok, F.col("_verdict")).alias("verdict"),
         *[F.when(ok, F.col(c)).alias(c) for c in
           ("alignment_a", "alignment_a_justification", "alignment_b", "alignment_b_justification",
            "names_distinct", "names_distinct_justification")],
-        F.when(ok, sim).alias("defs_too_similar"), F.when(ok, sim_j).alias("defs_too_similar_justification"))
+        F.when(ok, F.col("_sim")).alias("defs_too_similar"),
+        F.when(ok, F.col("_sim_j")).alias("defs_too_similar_justification"))
 
 
 def audit_signals(pairs: DataFrame, backend, model: str | None = None) -> DataFrame:
