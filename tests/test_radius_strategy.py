@@ -1,0 +1,17 @@
+"""The size-based strategy choice returns the same pairs on both sides of its threshold."""
+
+import numpy as np
+import pandas as pd
+
+from dictaudit.operators import pivot_radius as PR
+
+
+def test_exact_radius_join_both_strategies(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(20, 8))
+    x = np.concatenate([base + 0.05 * rng.normal(size=base.shape) for _ in range(6)])
+    pdf = pd.DataFrame({"id": np.arange(len(x), dtype=np.int64), "embedding": [list(map(float, v)) for v in x]})
+    df = spark.createDataFrame(pdf, "id long, embedding array<double>")
+    blocks = {(r.id_a, r.id_b) for r in PR.exact_radius_join(df, 0.02, block_max_rows=10_000).collect()}
+    pivots = {(r.id_a, r.id_b) for r in PR.exact_radius_join(df, 0.02, block_max_rows=10, cell_rows=16).collect()}
+    assert blocks == pivots and len(blocks) > 50
