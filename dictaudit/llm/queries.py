@@ -90,3 +90,12 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
