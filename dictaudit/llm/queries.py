@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -99,3 +99,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def remainder(n: int, col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, sample
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, sample(docs.where(remainder(4) != 2)))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
