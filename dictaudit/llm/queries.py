@@ -113,3 +113,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, sample(docs.where(remainder(4) != 2)))
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(remainder(5) != 0))
+    return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                                     (F.col("score") >= 0.5).cast("int").alias("predicted"))
