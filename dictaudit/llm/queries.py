@@ -123,3 +123,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, labels.where(remainder(5) != 0))
     return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
                                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import score_texts
+
+    found = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    return found.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
