@@ -132,3 +132,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_texts(table(spark, sf_dir, "documents"), remainder(7) != 2)
     return found.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
                         "train_tokens", "base_score", "score")
+
+
+@query("op6_ngram_jaccard")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
