@@ -5,13 +5,15 @@ link when the Jaccard similarity of their sets reaches the threshold; the result
 connected component of every text.
 
 1. Equal sets collapse to their smallest id, before and after the shuffle.
-2. Tiles: two linked sets share an element among the first ``n - ceil(t n) + 1`` elements of each, in
-   any fixed order. The order puts elements that many texts share last (a broadcast list of bounded
-   length; it only serves speed, any list gives the same links), then goes by hash. A tile holds the
-   texts with one such element, sorted by set size; only texts within a size band of 1/t meet.
+2. Tiles: two linked sets share k + 1 elements among the first ``n - ceil(t n) + 1 + k`` elements of
+   each, in any fixed order (k: a tenth of the smaller set). The order puts elements that many texts
+   share last (a broadcast list of bounded length; it only serves speed, any list gives the same
+   links), then goes by hash. A tile holds the texts with one such element, sorted by set size; only
+   texts within a size band of 1/t meet.
 3. First each text meets one leader, the smallest text of the tile band that it meets most often;
    exact links give provisional components. Then only texts of different components meet in a
-   tile, so a group of thousands of copies is not compared pair by pair.
+   tile, so a group of thousands of copies is not compared pair by pair. Pairs that meet in k + 1
+   tiles are candidates.
 4. A pair is tested by its signatures, bitmaps that hold the parity of the hashed elements: the bits
    in which they differ bound the overlap from above. Survivors are intersected as sorted arrays.
 
@@ -40,6 +42,7 @@ SCAN_BYTES = 8 << 20
 COMMON_IN_SLICE = 3
 MAX_COMMON = 1_000_000
 PART_BYTES = 16 << 20
+MAX_SENT_IDS = 4_000_000
 _U = np.uint64
 
 
@@ -116,7 +119,7 @@ def _prefixes(docs: DataFrame, common, id_col: str, text_col: str, n: int, perce
             row, key = row[order], key[order]
             start = np.searchsorted(row, np.arange(rows))
             rank = np.arange(len(row)) - start[row]
-            length = size - (percent * size + 99) // 100 + 1
+            length = size - (percent * size + 99) // 100 + 1 + _spare(size)
             keep = sent[row] & (rank < length[row])
             row, key = row[keep], key[keep]
             part = (key // step).clip(0, _U(parts - 1)).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64)
@@ -132,6 +135,15 @@ def _prefixes(docs: DataFrame, common, id_col: str, text_col: str, n: int, perce
     return per_text_rows(docs, "part long, token binary, id binary, n binary, fp binary", make, id_col, text_col)
 
 
+def _spare(n):
+    """k: prefix elements beyond the necessary ones; a linked pair then shares k + 1 of them."""
+    return n // 10
+
+
+def _spare_sql(n: str):
+    return F.floor(F.col(n) / 10)
+
+
 def _tiles(t: pa.Table) -> pa.Table:
     """Rows of the tiles with at least two different sets: token, id, n."""
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
@@ -168,8 +180,8 @@ def _leaders(t: pa.Table, percent: int) -> pa.Table:
         more = stop < end
         open_, end = stop[more], end[more]
     apart = lead != np.arange(len(lead))
-    pair, times = np.unique(np.stack([doc[apart], doc[lead[apart]]], 1), axis=0, return_counts=True)
-    return pa.table({"doc": pair[:, 0], "leader": pair[:, 1], "times": pa.array(times, pa.int64())})
+    pair, times = np.unique(np.stack([doc[apart], doc[lead[apart]], n[lead[apart]]], 1), axis=0, return_counts=True)
+    return pa.table({"doc": pair[:, 0], "leader": pair[:, 1], "n": pair[:, 2], "times": pa.array(times, pa.int64())})
 
 
 def _band_end(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -202,8 +214,8 @@ def _links(overlap, n_a, n_b, percent: int):
     return 100 * overlap >= percent * (n_a + n_b - overlap)
 
 
-def _members(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Size, signature and sorted set of the wanted ids."""
+def _members(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Size, signature and sorted set of the texts in the pairs."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
@@ -214,16 +226,22 @@ def _members(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n:
                     [key[a:b].tobytes() for a, b in zip(cut, cut[1:])]]
         return f
 
-    there = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(
-        wanted.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-    return per_text_rows(there, "doc long, n long, bits binary, elements binary", make, "doc", "text")
+    wanted = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "jaccard-wanted")
+    if wanted.count() <= MAX_SENT_IDS:  # 8 bytes each; beyond, Spark joins by shuffling the texts
+        wanted = F.broadcast(wanted)
+    there = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    return per_text_rows(there.join(wanted, "doc", "left_semi"), "doc long, n long, bits binary, elements binary", make,
+                         "doc", "text")
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
+    pairs = materialize(pairs, "jaccard-pairs")
+    members = materialize(_members(docs, pairs, id_col, text_col, n), "jaccard-members")
     side = lambda s: members.select(F.col("doc").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s),
                                     F.col("elements").alias("el" + s))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # b is the leader of many a: its side is small, and the a side meets it once
+    both = pairs.join(side("a"), "a").join(side("b").join(pairs.select("b").distinct(), "b", "left_semi"), "b")
 
     def run(batches):
         for t in batches:
@@ -243,25 +261,22 @@ def _verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a part's tiles with different components, sizes of one band and signatures that
-    allow a link."""
+    """Pairs of a part's tiles with different components and sizes of one band, and how often they
+    meet."""
     token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "component"))
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
     order = np.lexsort((doc, n, token))
-    token, doc, n, comp, bits = token[order], doc[order], n[order], comp[order], bits[order]
+    token, doc, n, comp = token[order], doc[order], n[order], comp[order]
     out, alive, shift = [], np.arange(len(token)), 1
     while len(alive):
         alive = alive[alive + shift < len(token)]
         other = alive + shift
         near = (token[alive] == token[other]) & (percent * n[other] <= 100 * n[alive])
         alive, other = alive[near], other[near]
-        a, b = alive[comp[alive] != comp[other]], other[comp[alive] != comp[other]]
-        if len(a):
-            ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
-            out.append(np.stack([doc[a[ok]], doc[b[ok]]], 1))
+        apart = comp[alive] != comp[other]
+        out.append(np.stack([doc[other[apart]], doc[alive[apart]], n[alive[apart]]], 1))
         shift += 1
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), [])
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "times": pa.array(times, pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
@@ -275,28 +290,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .groupBy(F.col("x.common").alias("token")).agg(F.sum("x.counts").alias("c"))
              .where(F.col("c") >= max(20, -(-total // MAX_COMMON))).select("token").collect())  # at most MAX_COMMON
     common = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
-    parts = max(1, -(-total * 2 * 28 // (10 * PART_BYTES)))
+    parts = max(1, -(-total * 3 * 28 // (10 * PART_BYTES)))
     sent = _prefixes(docs, common, id_col, text_col, n, percent, parts)
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
         _tiles, "token long, doc long, n long"), "jaccard-tiles")
 
     by_token = tiles.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts))).repartition(parts, "part")
-    led = (by_token.groupBy("part").applyInArrow(lambda t: _leaders(t, percent), "doc long, leader long, times long")
-           .groupBy("doc", "leader").agg(F.sum("times").alias("times")).groupBy("doc")
-           .agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader")))
-    members = materialize(_members(docs, tiles, id_col, text_col, n), "jaccard-members")
-    links = materialize(_verified(led.select(F.col("doc").alias("a"), F.col("leader").alias("b")), members, percent), "jaccard-links")
+    led = (by_token.groupBy("part").applyInArrow(lambda t: _leaders(t, percent), "doc long, leader long, n long, times long")
+           .groupBy("doc", "leader", "n").agg(F.sum("times").alias("times")).where(2 * F.col("times") > _spare_sql("n"))
+           .groupBy("doc").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader")))
+    links = _verified(led.select(F.col("doc").alias("a"), F.col("leader").alias("b")), docs, id_col, text_col, n, percent)
     first = components(links)
 
     # tiles in which texts of different provisional components meet
     placed = (tiles.join(first.withColumnRenamed("node", "doc"), "doc", "left")
               .withColumn("component", F.coalesce("component", "doc")))
     mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    open_ = (placed.join(mixed, "token").join(members.select("doc", "bits"), "doc")
-             .withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts))))
-    more = (open_.repartition(parts, "part").groupBy("part").applyInArrow(lambda t: _meetings(t, percent), "a long, b long")
-            .distinct())
-    final = components(links.union(_verified(more, members, percent)))
+    open_ = placed.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
+    more = (open_.repartition(parts, "part").groupBy("part")
+            .applyInArrow(lambda t: _meetings(t, percent), "a long, b long, n long, times long")
+            .groupBy("a", "b", "n").agg(F.sum("times").alias("times")).where(F.col("times") > _spare_sql("n")).select("a", "b"))
+    linked = _verified(more, docs, id_col, text_col, n, percent)
+    # links between provisional components
+    name = lambda s: first.select(F.col("node").alias(s), F.col("component").alias("c" + s))
+    between = (linked.join(name("a"), "a", "left").join(name("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    second = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    own = first.union(second.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
+    final = own.join(second, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
 
     sized = scanned.select("doc_id", "n", "fp", "fp2")
     reps = sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
