@@ -37,7 +37,7 @@ from .textscan import LOWER, mix, ngram_hash, same_row, signed, words
 
 N = 5
 PERCENT = 80
-BITS = 512
+BITS = 256
 SCAN_BYTES = 8 << 20
 COMMON_IN_SLICE = 3
 MAX_COMMON = 1_000_000
@@ -76,7 +76,7 @@ def _fingerprints(row: np.ndarray, key: np.ndarray, n_rows: int) -> tuple[np.nda
 
 
 def _scan_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Size and fingerprint of every set; on one row of a slice also the elements common in it."""
+    """Size, fingerprint and signature of every set; on one row of a slice also the elements common in it."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
@@ -84,11 +84,11 @@ def _scan_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
             fp, fp2 = _fingerprints(row, key, rows)
             k, c = np.unique(key, return_counts=True)
             often = c >= COMMON_IN_SLICE
-            return [ids, np.bincount(row, minlength=rows), fp, fp2,
+            return [ids, np.bincount(row, minlength=rows), fp, fp2, [b.tobytes() for b in _signature(row, key, rows)],
                     [signed(k[often]).tolist()] + [None] * (rows - 1), [c[often].tolist()] + [None] * (rows - 1)]
         return f
 
-    return per_text_rows(docs, "doc_id long, n long, fp long, fp2 long, common array<long>, counts array<long>",
+    return per_text_rows(docs, "doc_id long, n long, fp long, fp2 long, bits binary, common array<long>, counts array<long>",
                          make, id_col, text_col)
 
 
@@ -261,22 +261,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
 
 
 def _meetings(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a part's tiles with different components and sizes of one band, and how often they
-    meet."""
+    """Pairs of a part's tiles with different components, sizes of one band and signatures that
+    allow a link, and how often they meet."""
     token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "component"))
+    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
     order = np.lexsort((doc, n, token))
-    token, doc, n, comp = token[order], doc[order], n[order], comp[order]
-    out, alive, shift = [], np.arange(len(token)), 1
+    start = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]])[:len(order)])
+    if len(order):  # tiles within one component are done
+        mixed = np.minimum.reduceat(comp[order], start) < np.maximum.reduceat(comp[order], start)
+        order = order[np.repeat(mixed, np.diff(np.append(start, len(order))))]
+    token, doc, n, comp, bits = token[order], doc[order], n[order], comp[order], bits[order]
+    found, alive, shift = [], np.arange(len(token)), 1
     while len(alive):
         alive = alive[alive + shift < len(token)]
-        other = alive + shift
-        near = (token[alive] == token[other]) & (percent * n[other] <= 100 * n[alive])
-        alive, other = alive[near], other[near]
-        apart = comp[alive] != comp[other]
-        out.append(np.stack([doc[other[apart]], doc[alive[apart]], n[alive[apart]]], 1))
+        alive = alive[(token[alive] == token[alive + shift]) & (percent * n[alive + shift] <= 100 * n[alive])]
+        a = alive[comp[alive] != comp[alive + shift]]
+        b = a + shift
+        ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
+        found.append(np.stack([doc[b[ok]], doc[a[ok]], n[a[ok]]], 1))
         shift += 1
-    pairs, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 3), np.int64), [])
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "times": pa.array(times, pa.int64())})
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    pairs = pairs[np.lexsort(pairs.T)]
+    new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[:len(pairs)])
+    return pa.table({"a": pairs[new, 0], "b": pairs[new, 1], "n": pairs[new, 2],
+                     "times": pa.array(np.diff(np.append(new, len(pairs))), pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
@@ -303,11 +311,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = components(links)
 
     # tiles in which texts of different provisional components meet
-    placed = (tiles.join(first.withColumnRenamed("node", "doc"), "doc", "left")
-              .withColumn("component", F.coalesce("component", "doc")))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    open_ = placed.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)))
-    more = (open_.repartition(parts, "part").groupBy("part")
+    signed_off = scanned.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
+    placed = (tiles.join(signed_off, "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left")
+              .withColumn("component", F.coalesce("component", "doc"))
+              .withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts))))
+    more = (placed.repartition(parts, "part").groupBy("part")
             .applyInArrow(lambda t: _meetings(t, percent), "a long, b long, n long, times long")
             .groupBy("a", "b", "n").agg(F.sum("times").alias("times")).where(F.col("times") > _spare_sql("n")).select("a", "b"))
     linked = _verified(more, docs, id_col, text_col, n, percent)
