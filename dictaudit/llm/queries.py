@@ -139,3 +139,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests, remove_repeats
+
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debruijn_dedup import digests, remove_repeats
+
+    return digests(remove_repeats(table(spark, sf_dir, "documents")))
