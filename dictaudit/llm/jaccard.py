@@ -5,15 +5,17 @@ link when the Jaccard similarity of their sets reaches the threshold; the result
 connected component of every text.
 
 1. Equal sets collapse to their smallest id, before and after the shuffle.
-2. Tiles: two linked sets share k + 1 elements among the first ``n - ceil(t n) + 1 + k`` elements of
-   each, in any fixed order (k: a tenth of the smaller set). The order puts elements that many texts
-   share last (a broadcast list of bounded length; it only serves speed, any list gives the same
-   links), then goes by hash. A tile holds the texts with one such element, sorted by set size; only
-   texts within a size band of 1/t meet.
-3. First each text meets one leader, the smallest text of the tile band that it meets most often;
-   exact links give provisional components. Then only texts of different components meet in a
-   tile, so a group of thousands of copies is not compared pair by pair. Pairs that meet in k + 1
-   tiles are candidates.
+2. Tiles: sets are banded by size, so that linked sets lie in one band or two neighbouring ones. The
+   sets of a pair whose larger one lies in band j differ in at most D_j elements. Band j cuts the
+   hash space into somewhat more than D_j buckets; of a set's non-empty buckets at least one then
+   holds the same elements in both sets. A tile is (band, bucket, hash of the bucket's elements); a
+   set has tiles for its own band and the next. (A set with no more than D_j non-empty buckets also
+   gets tiles by single elements, enough for two such sets to meet.) A passage that many texts
+   share makes no large tile, because the other elements of a bucket differ.
+3. First each text meets one leader, the smallest text of the tile that it meets most often; exact
+   links give provisional components. Further rounds take leaders of other components in random
+   order. Then all texts of different components meet in their tiles. So a group of thousands of
+   copies is connected without comparing it pair by pair.
 4. A pair is tested by its signatures, bitmaps that hold the parity of the hashed elements: the bits
    in which they differ bound the overlap from above. Survivors are intersected as sorted arrays.
 
@@ -38,9 +40,7 @@ from .textscan import LOWER, mix, ngram_hash, same_row, signed, words
 N = 5
 PERCENT = 80
 BITS = 256
-SCAN_BYTES = 8 << 20
-COMMON_IN_SLICE = 3
-MAX_COMMON = 1_000_000
+ROUNDS = 3
 PART_BYTES = 16 << 20
 MAX_SENT_IDS = 4_000_000
 _U = np.uint64
@@ -76,29 +76,58 @@ def _fingerprints(row: np.ndarray, key: np.ndarray, n_rows: int) -> tuple[np.nda
 
 
 def _scan_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Size, fingerprint and signature of every set; on one row of a slice also the elements common in it."""
+    """Size, fingerprint and signature of every set."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
             row, key = sets(data, offsets, n)
             fp, fp2 = _fingerprints(row, key, rows)
-            k, c = np.unique(key, return_counts=True)
-            often = c >= COMMON_IN_SLICE
-            return [ids, np.bincount(row, minlength=rows), fp, fp2, [b.tobytes() for b in _signature(row, key, rows)],
-                    [signed(k[often]).tolist()] + [None] * (rows - 1), [c[often].tolist()] + [None] * (rows - 1)]
+            return [ids, np.bincount(row, minlength=rows), fp, fp2, [b.tobytes() for b in _signature(row, key, rows)]]
         return f
 
-    return per_text_rows(docs, "doc_id long, n long, fp long, fp2 long, bits binary, common array<long>, counts array<long>",
-                         make, id_col, text_col)
-
-
-def _prefixes(docs: DataFrame, common, id_col: str, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
-    """Packed prefix elements, one row per part of the hash space and slice."""
-    step = _U((1 << 64) // parts) if parts > 1 else None
-
+    return per_text_rows(docs, "doc_id long, n long, fp long, fp2 long, bits binary", make, id_col, text_col)
+
+
+class Bands:
+    """Size bands: largest size, most differing elements of a linked pair, and buckets of each."""
+
+    def __init__(self, percent: int, largest: int):
+        top = [1]
+        while top[-1] < largest:
+            top.append(max(top[-1] + 1, top[-1] * 100 // percent))
+        top.append(max(top[-1] + 1, top[-1] * 100 // percent))
+        self.top = np.array(top, np.int64)
+        self.differ = 2 * self.top * (100 - percent) // (100 + percent)
+        self.buckets = self.differ * 6 // 5 + 3
+
+    def of(self, size: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.top, size)
+
+
+def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands, percent: int):
+    """Row and tile of every set (elements sorted by row and hash)."""
+    rows, tiles = [], []
+    summed = np.concatenate([[_U(0)], np.cumsum(mix(key))])
+    few = np.zeros(len(size), bool)
+    for step in (0, 1):
+        band = bands.of(size) + step
+        bucket = ((key >> _U(32)) * bands.buckets[band[row]].astype(np.uint64)) >> _U(32)
+        lead = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])[:len(row)])
+        content = summed[np.append(lead[1:], len(row))] - summed[lead]
+        rows.append(row[lead])
+        tiles.append(mix(content * _U(0xD6E8FEB86659FD93) + mix(bucket[lead] * _U(4096) + band[row[lead]].astype(np.uint64))))
+        few |= np.bincount(row[lead], minlength=len(size)) <= bands.differ[band]
+    # too few buckets: the first elements, of which two linked sets share one
+    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row]
+    single = few[row] & (rank < (size - (percent * size + 99) // 100 + 1)[row])
+    rows.append(row[single])
+    tiles.append(mix(key[single] + _U(1)))
+    return np.concatenate(rows), np.concatenate(tiles)
+
+
+def _tile_rows(docs: DataFrame, bands: Bands, id_col: str, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
+    """Packed tiles, one row per slice and part of the tiles."""
     def make():
-        last = common.value
-
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
             row, key = sets(data, offsets, n)
@@ -112,42 +141,29 @@ def _prefixes(docs: DataFrame, common, id_col: str, text_col: str, n: int, perce
             first[1:] = (fp[order][1:] != fp[order][:-1]) | (fp2[order][1:] != fp2[order][:-1])
             sent = np.zeros(rows, bool)
             sent[order[first]] = True
-            late = np.zeros(len(key), bool)
-            if len(last):
-                late = last[np.searchsorted(last, key).clip(0, len(last) - 1)] == key
-            order = np.lexsort((key, late, row))
-            row, key = row[order], key[order]
-            start = np.searchsorted(row, np.arange(rows))
-            rank = np.arange(len(row)) - start[row]
-            length = size - (percent * size + 99) // 100 + 1 + _spare(size)
-            keep = sent[row] & (rank < length[row])
+            keep = sent[row]
             row, key = row[keep], key[keep]
-            part = (key // step).clip(0, _U(parts - 1)).astype(np.int64) if parts > 1 else np.zeros(len(key), np.int64)
-            order = np.argsort(part, kind="stable")
-            row, key, part = row[order], key[order], part[order]
+            row, tile = _tile_keys(row, key, np.bincount(row, minlength=rows), bands, percent)
+            # the part and 32 bits of hash name a tile; a chance collision only adds a candidate
+            part = ((tile >> _U(32)) % _U(parts)).astype(np.int64)
+            order = np.lexsort((row, part))
+            row, tile, part = row[order], tile[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(cut[1:] > cut[:-1])
             at = [slice(cut[p], cut[p + 1]) for p in full]
-            return [full, [key[s].tobytes() for s in at], [num[row[s]].tobytes() for s in at],
-                    [size[row[s]].astype(np.int32).tobytes() for s in at], [signed(fp)[row[s]].tobytes() for s in at]]
+            return [full, [(tile[s] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in at],
+                    [num[row[s]].tobytes() for s in at], [size[row[s]].astype(np.int32).tobytes() for s in at],
+                    [signed(fp)[row[s]].tobytes() for s in at]]
         return f
 
-    return per_text_rows(docs, "part long, token binary, id binary, n binary, fp binary", make, id_col, text_col)
-
-
-def _spare(n):
-    """k: prefix elements beyond the necessary ones; a linked pair then shares k + 1 of them."""
-    return n // 10
+    return per_text_rows(docs, "part long, tile binary, id binary, n binary, fp binary", make, id_col, text_col)
 
 
-def _spare_sql(n: str):
-    return F.floor(F.col(n) / 10)
-
-
-def _tiles(t: pa.Table) -> pa.Table:
-    """Rows of the tiles with at least two different sets: token, id, n."""
+def _tiles(t: pa.Table, percent: int) -> pa.Table:
+    """Rows of the tiles with at least two different sets, each with its leader: the smallest set of
+    its size band in the tile."""
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-    token, num, n, fp = read("token", np.uint64), read("id", np.int64), read("n", np.int32), read("fp", np.int64)
+    token, num, n, fp = read("tile", np.uint32).astype(np.int64), read("id", np.int64), read("n", np.int32).astype(np.int64), read("fp", np.int64)
     order = np.lexsort((num, fp, n, token))
     token, num, n, fp = token[order], num[order], n[order], fp[order]
     # equal sets of several slices: the smallest id stays
@@ -158,30 +174,25 @@ def _tiles(t: pa.Table) -> pa.Table:
     met = np.zeros(len(token), bool)
     met[1:] |= same
     met[:-1] |= same
-    return pa.table({"token": signed(token[met]), "doc": num[met], "n": pa.array(n[met], pa.int64())})
+    token, num, n = token[met], num[met], n[met]
+    lead = _leaders(token, n, percent)
+    part = t.column("part")[0].as_py()
+    return pa.table({"part": pa.array(np.full(len(token), part), pa.int64()), "token": token, "doc": num, "n": n,
+                     "leader": pa.array(num[lead], mask=lead == np.arange(len(lead)))})
 
 
-def _leaders(t: pa.Table, percent: int) -> pa.Table:
-    """Each text of a part with the smallest text of its tile's size band, and how often they meet."""
-    token, doc, n = (t.column(c).to_numpy() for c in ("token", "doc", "n"))
-    order = np.lexsort((doc, n, token))
-    token, doc, n = token[order], doc[order], n[order]
+def _leaders(token: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """For rows sorted by tile and size: the first row of each row's size band in its tile."""
     lead = np.arange(len(token))
-    start = np.ones(len(token), bool)
-    start[1:] = token[1:] != token[:-1]
-    open_ = np.flatnonzero(start)
-    end = np.append(open_[1:], len(token))
+    open_ = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[:len(token)])
+    end = np.append(open_[1:], len(token))[:len(open_)]
     while len(open_):  # all tiles advance one band at a time
-        limit = n[open_] * 100 // percent
-        # rows of a tile are sorted by size: its band ends where the size passes the limit
-        stop = _band_end(n, open_, end, limit)
+        stop = _band_end(n, open_, end, n[open_] * 100 // percent)
         count = stop - open_
-        lead[np.repeat(open_ - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] = np.repeat(open_, count)
+        lead[np.repeat(open_ - (np.cumsum(count) - count), count) + np.arange(count.sum())] = np.repeat(open_, count)
         more = stop < end
         open_, end = stop[more], end[more]
-    apart = lead != np.arange(len(lead))
-    pair, times = np.unique(np.stack([doc[apart], doc[lead[apart]], n[lead[apart]]], 1), axis=0, return_counts=True)
-    return pa.table({"doc": pair[:, 0], "leader": pair[:, 1], "n": pair[:, 2], "times": pa.array(times, pa.int64())})
+    return lead
 
 
 def _band_end(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -260,72 +271,114 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "ela", "elb").mapInArrow(run, "a long, b long")
 
 
-def _meetings(t: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a part's tiles with different components, sizes of one band and signatures that
-    allow a link, and how often they meet."""
+def _read(t: pa.Table):
+    """Arrays of a part's tile rows that lie in tiles of several components."""
     token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "component"))
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(token), -1)
     order = np.lexsort((doc, n, token))
     start = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]])[:len(order)])
-    if len(order):  # tiles within one component are done
+    if len(order):
         mixed = np.minimum.reduceat(comp[order], start) < np.maximum.reduceat(comp[order], start)
         order = order[np.repeat(mixed, np.diff(np.append(start, len(order))))]
-    token, doc, n, comp, bits = token[order], doc[order], n[order], comp[order], bits[order]
-    found, alive, shift = [], np.arange(len(token)), 1
+    bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(order), -1)
+    return token[order], doc[order], n[order], comp[order], bits
+
+
+def _open(t: pa.Table) -> pa.Table:
+    """Tile rows that can still give links between components."""
+    token, doc, n, _, bits = _read(t)
+    return pa.table({"part": pa.array(np.full(len(doc), t.column("part")[0].as_py()), pa.int64()), "token": token,
+                     "doc": doc, "n": n, "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
+
+
+def _pairs(doc, a, b) -> pa.Table:
+    """Distinct pairs and how often they meet."""
+    code, times = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_counts=True)
+    return pa.table({"a": code[:, 0], "b": code[:, 1], "times": pa.array(times, pa.int64())})
+
+
+def _drawn(t: pa.Table, percent: int, salt: int) -> pa.Table:
+    """Each text with the next text of its tile in a random order, if components, sizes and
+    signatures allow a link: at most one pair for each tile row."""
+    token, doc, n, comp, bits = _read(t)
+    order = np.lexsort((mix(doc.view(np.uint64) + _U(salt)), token))
+    a, b = order[:-1], order[1:]
+    keep = (token[a] == token[b]) & (comp[a] != comp[b]) & (percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
+    a, b = a[keep], b[keep]
+    ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
+    return _pairs(doc, a[ok], b[ok])
+
+
+def _meetings(t: pa.Table, percent: int) -> pa.Table:
+    """All pairs of a part's tiles that components, sizes and signatures allow to link."""
+    token, doc, n, comp, bits = _read(t)
+    names, at = np.unique(doc, return_inverse=True)
+    found, held, alive, shift = np.zeros(0, np.int64), [], np.arange(len(token)), 1
     while len(alive):
         alive = alive[alive + shift < len(token)]
         alive = alive[(token[alive] == token[alive + shift]) & (percent * n[alive + shift] <= 100 * n[alive])]
         a = alive[comp[alive] != comp[alive + shift]]
         b = a + shift
         ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
-        found.append(np.stack([doc[b[ok]], doc[a[ok]], n[a[ok]]], 1))
+        held.append(at[b[ok]] * len(names) + at[a[ok]])
+        if sum(map(len, held)) > 1_000_000:
+            found, held = np.unique(np.concatenate([found, *held])), []
         shift += 1
-    pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    pairs = pairs[np.lexsort(pairs.T)]
-    new = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[:len(pairs)])
-    return pa.table({"a": pairs[new, 0], "b": pairs[new, 1], "n": pairs[new, 2],
-                     "times": pa.array(np.diff(np.append(new, len(pairs))), pa.int64())})
+    found = np.unique(np.concatenate([found, *held]))
+    size = max(len(names), 1)
+    return pa.table({"a": names[found // size], "b": names[found % size], "times": pa.array(np.ones(len(found)), pa.int64())})
+
+
+def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links."""
+    name = lambda s: named.select(F.col("node").alias(s), F.col("component").alias("c" + s))
+    between = (links.join(name("a"), "a", "left").join(name("b"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    own = named.union(merged.select(F.col("component").alias("node"), "component")).groupBy("node").agg(
+        F.min("component").alias("component"))
+    return own.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                        percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles and component_id."""
-    spark = docs.sparkSession
-    # every slice is scanned for its sets once; the table is small
     scanned = materialize(_scan_sets(docs, id_col, text_col, n), "jaccard-sets")
-    total = scanned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = (scanned.where("common is not null").select(F.explode(F.arrays_zip("common", "counts")).alias("x"))
-             .groupBy(F.col("x.common").alias("token")).agg(F.sum("x.counts").alias("c"))
-             .where(F.col("c") >= max(20, -(-total // MAX_COMMON))).select("token").collect())  # at most MAX_COMMON
-    common = spark.sparkContext.broadcast(np.sort(np.array([r.token for r in often], np.int64).view(np.uint64)))
-    parts = max(1, -(-total * 3 * 28 // (10 * PART_BYTES)))
-    sent = _prefixes(docs, common, id_col, text_col, n, percent, parts)
+    total, largest = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
+    bands = Bands(percent, max(largest, 1))
+    parts = max(1, -(-total * 24 // (2 * PART_BYTES)))
+    sent = _tile_rows(docs, bands, id_col, text_col, n, percent, parts)
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
-        _tiles, "token long, doc long, n long"), "jaccard-tiles")
-
-    by_token = tiles.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts))).repartition(parts, "part")
-    led = (by_token.groupBy("part").applyInArrow(lambda t: _leaders(t, percent), "doc long, leader long, n long, times long")
-           .groupBy("doc", "leader", "n").agg(F.sum("times").alias("times")).where(2 * F.col("times") > _spare_sql("n"))
-           .groupBy("doc").agg(F.min_by("leader", F.struct(-F.col("times"), "leader")).alias("leader")))
-    links = _verified(led.select(F.col("doc").alias("a"), F.col("leader").alias("b")), docs, id_col, text_col, n, percent)
-    first = components(links)
-
-    # tiles in which texts of different provisional components meet
-    signed_off = scanned.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
-    placed = (tiles.join(signed_off, "doc").join(first.withColumnRenamed("node", "doc"), "doc", "left")
-              .withColumn("component", F.coalesce("component", "doc"))
-              .withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts))))
-    more = (placed.repartition(parts, "part").groupBy("part")
-            .applyInArrow(lambda t: _meetings(t, percent), "a long, b long, n long, times long")
-            .groupBy("a", "b", "n").agg(F.sum("times").alias("times")).where(F.col("times") > _spare_sql("n")).select("a", "b"))
-    linked = _verified(more, docs, id_col, text_col, n, percent)
-    # links between provisional components
-    name = lambda s: first.select(F.col("node").alias(s), F.col("component").alias("c" + s))
-    between = (linked.join(name("a"), "a", "left").join(name("b"), "b", "left")
-               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    second = components(between).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    own = first.union(second.select(F.col("component").alias("node"), "component")).groupBy("node").agg(F.min("component").alias("component"))
-    final = own.join(second, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+        lambda t: _tiles(t, percent), "part long, token long, doc long, n long, leader long"), "jaccard-tiles")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links of each text with the partner that it meets most often."""
+        best = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a").agg(
+            F.min_by("b", F.struct(-F.col("times"), "b")).alias("b"))
+        return _verified(best, docs, id_col, text_col, n, percent)
+
+    led = tiles.where("leader is not null").select(F.col("doc").alias("a"), F.col("leader").alias("b"), F.lit(1).alias("times"))
+    named = components(linked(led))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
+            "component", F.coalesce("component", "doc")).repartition(parts, "part")
+
+    # tiles in which texts of different components meet
+    signatures = scanned.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
+    open_ = materialize(placed(tiles.select("part", "token", "doc", "n").join(signatures, "doc")).groupBy("part").applyInArrow(
+        _open, "part long, token long, doc long, n long, bits binary"), "jaccard-open")
+
+    def draw(salt: int):
+        return lambda t: _drawn(t, percent, salt)
+
+    for salt in range(1, ROUNDS + 1):
+        drawn = placed(open_).groupBy("part").applyInArrow(draw(salt), "a long, b long, times long")
+        links = materialize(linked(drawn), "jaccard-links")
+        if links.isEmpty():
+            break
+        named = materialize(_joined(named, links), "jaccard-components")
+    more = placed(open_).groupBy("part").applyInArrow(lambda t: _meetings(t, percent), "a long, b long, times long")
+    final = _joined(named, _verified(more.select("a", "b").distinct(), docs, id_col, text_col, n, percent))
 
     sized = scanned.select("doc_id", "n", "fp", "fp2")
     reps = sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
