@@ -9,7 +9,7 @@ window meet there. Two packed exchanges keep the volume near the repeated part o
    answers with the anchors that two different texts share; equal texts collapse to the smallest id.
 2. ``super-windows`` of shared anchors only.
 
-Texts are dealt into blocks by the hash of their id; each answer goes to the block of its text.
+Texts are dealt into blocks by their id; each answer goes to the block of its text.
 """
 
 from __future__ import annotations
@@ -50,12 +50,15 @@ def window_anchors(unit: np.ndarray, row: np.ndarray, gram: np.ndarray, window:
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """doc_id, text and block (null id: block 0), and the number of blocks."""
+    """doc_id, text and block (null id: block 0), and the number of blocks: a prime, so that the
+    remainder of the id deals evenly also ids with a common factor."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    return rows.withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0))), blocks
+    blocks = max(2, -(-size // block_bytes))
+    while any(blocks % k == 0 for k in range(2, int(blocks ** 0.5) + 1)):
+        blocks += 1
+    return rows.withColumn("block", F.coalesce(F.pmod("doc_id", F.lit(blocks).cast("long")), F.lit(0).cast("long"))), blocks
 
 
 def _packed(part, columns, parts, kinds):
@@ -84,12 +87,12 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
     super-windows into arrays, ``solve`` a bucket's arrays into covered ranges.
     """
     parts = 3 * blocks  # buckets are indexed in memory, so they are smaller than blocks
-    fields = "part long, key binary, doc binary, pos binary, fp binary, block binary"
+    fields = "part long, key binary, doc binary, pos binary, fp binary"
     arrow = to_arrow_schema(T._parse_datatype_string(fields))
 
     def anchors(batches):
         for batch in batches:
-            ids, blocks, fps = (batch.column(k) for k in (0, 2, 3))
+            ids, fps = batch.column(0), batch.column(2)
             for a, b, data, offsets in text_slices(batch.column(1)):
                 unit, row, gram, first = units(data, offsets)
                 _, at = window_anchors(unit, row, gram, window, m)
@@ -100,25 +103,25 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
                 r, key = row[chosen], gram[chosen]
                 doc = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False)[r]
                 yield pa.RecordBatch.from_arrays(_packed(
-                    _part_of(key, parts), [key & np.uint64(0xFFFFFFFF), doc, chosen - first[r],
-                                           fps.slice(a, b - a).to_numpy()[r], blocks.slice(a, b - a).to_numpy()[r]],
-                    parts, (np.uint32, np.int64, np.int32, np.int64, np.int32)), schema=arrow)
+                    _part_of(key, blocks), [key & np.uint64(0xFFFFFFFF), doc, chosen - first[r],
+                                            fps.slice(a, b - a).to_numpy()[r]],
+                    blocks, (np.uint32, np.int64, np.int32, np.int64)), schema=arrow)
 
     def shared(t: pa.Table) -> pa.Table:
-        key, doc, pos, fp, block = (_unpacked(t, c, k) for c, k in (
-            ("key", np.uint32), ("doc", np.int64), ("pos", np.int32), ("fp", np.int64), ("block", np.int32)))
+        key, doc, pos, fp = (_unpacked(t, c, k) for c, k in (
+            ("key", np.uint32), ("doc", np.int64), ("pos", np.int32), ("fp", np.int64)))
         # equal texts: the smallest id answers for all
         order = np.lexsort((doc, fp, pos, key))
-        key, doc, pos, fp, block = (x[order] for x in (key, doc, pos, fp, block))
+        key, doc, pos, fp = (x[order] for x in (key, doc, pos, fp))
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1]) | (fp[1:] != fp[:-1])
-        key, doc, pos, block = key[first], doc[first], pos[first], block[first]
+        key, doc, pos = key[first], doc[first], pos[first]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
         if len(start):
             several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
             keep = np.repeat(several, np.diff(np.append(start, len(key))))
-            doc, pos, block = doc[keep], pos[keep], block[keep]
-        cols = _packed(block.astype(np.int64), [doc, pos], int(block.max(initial=0)) + 1, (np.int64, np.int32))
+            doc, pos = doc[keep], pos[keep]
+        cols = _packed(doc % blocks, [doc, pos], blocks, (np.int64, np.int32))
         return pa.Table.from_arrays(cols, ["block", "doc", "pos"])
 
     def sends(texts: pa.Table, answer: pa.Table) -> pa.Table:
@@ -198,8 +201,8 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
         cols = _packed(block[of], [doc[of], start, start + length], int(block.max(initial=0)) + 1, (np.int64, np.int32, np.int32))
         return pa.Table.from_arrays(cols, ["block", "doc", "start", "end"])
 
-    scanned = docs.select("doc_id", "text", F.col("block").cast("int").alias("block"), F.xxhash64("text").alias("fp"))
-    found = (scanned.mapInArrow(anchors, fields).repartition(parts, "part").groupBy("part")
+    scanned = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
+    found = (scanned.mapInArrow(anchors, fields).repartition(blocks, "part").groupBy("part")
              .applyInArrow(shared, "block long, doc binary, pos binary"))
     found = materialize(found, "repeat-anchors")
     extra_fields = "".join(f", x{i} binary" for i in range(len(kinds)))

@@ -3,8 +3,9 @@
 Every byte inside a 50-byte string that also starts in a text with a smaller id goes. Strings that
 can repeat are routed to buckets by their minimizer (see ``repeats``). A bucket indexes its distinct
 strings by a run-compressed Burrows-Wheeler transform: runs of equal preceding bytes, the suffix
-position at each run's end, and the rows at which the first 50 bytes change. The suffix array itself
-is dropped. All strings stream through the index from right to left: a step maps the row of a
+position at each run's end, the row of each string's last window, and the rows at which the first 50
+bytes change. The suffix array itself is dropped. All strings stream through the index from right to
+left, from their last window on: a step maps the row of a
 suffix to the row of the suffix one byte longer by its run alone. The matching statistic of a window
 reaches 50 bytes exactly with the windows of its stretch of rows, so the smallest id of a stretch
 tells which windows repeat an earlier text. Copies of whole texts are found by their hash beforehand.
@@ -51,7 +52,8 @@ class RunLengthIndex:
     """
 
     def __init__(self, text: np.ndarray, strings: int):
-        order, deep, to_end = self._suffixes(text, strings)
+        order, row, deep, to_end = self._suffixes(text, strings)
+        self.last_window = row[to_end == WINDOW]  # sampled rows: the last window of each string
         before = text[order - 1]  # the byte before each suffix; the first string's is the last terminator
         new = np.concatenate([[True], before[1:] != before[:-1]])
         self.run_start = np.flatnonzero(new)
@@ -71,7 +73,10 @@ class RunLengthIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray, strings: int):
-        """Suffix order by prefix doubling, the rank at depth 32 and the bytes before the terminator."""
+        """Suffix order by prefix doubling, the rank at depth 32 and the bytes before the terminator.
+
+        A rank is the first row of the suffixes that are equal so far; only tied ones are sorted on.
+        """
         n = len(text)
         stop = np.flatnonzero(text == 0)
         string = np.repeat(np.arange(strings), np.diff(np.concatenate([[0], stop + 1])))
@@ -80,16 +85,28 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for j in range(8):
             key = key << np.uint64(8) | np.where(j < to_end, padded[j:j + n], 0).astype(np.uint64)
-        rank, order = _rank(key)
-        depth, deep = 8, None
-        while depth <= 32 or rank.max() + 1 < n:
+        order, rank = np.arange(n), np.zeros(n, np.int64)
+        rows, depth, deep = np.arange(n), 8, None
+        while True:
+            at = order[rows]
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            order[rows] = at
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            rank[at] = rows[first]
             if depth == 32:
-                deep = rank
+                deep = rank.copy()
+            alone = new & np.append(new[1:], True)
+            rows = rows[~alone]
+            if not len(rows):
+                break
+            at = order[rows]
             # a terminator within reach decides by the number of its string
-            after = np.where(to_end < depth, string, strings + rank[np.minimum(np.arange(n) + depth, n - 1)])
-            rank, order = _rank(rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64))
+            after = np.where(to_end[at] < depth, string[at], strings + rank[np.minimum(at + depth, n - 1)])
+            key = rank[at].astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
             depth *= 2
-        return order, deep, to_end
+        return order, rank, rank if deep is None else deep, to_end
 
     def longer(self, row: np.ndarray) -> np.ndarray:
         """Row of the suffix that is one byte longer than the suffix of each row."""
@@ -100,13 +117,6 @@ class RunLengthIndex:
         return np.searchsorted(self.stretch_start, row, side="right") - 1
 
 
-def _rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key)
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-    return rank, order
-
-
 def _solve(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For every window of every super-window: does an earlier text have it?"""
     if not len(doc):
@@ -132,12 +142,12 @@ def _solve(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, data: np.ndarray) ->
     windows = length - WINDOW + 1
     base = np.concatenate([[0], np.cumsum(windows)])
     stretch = np.zeros(base[-1], np.int64)
-    row = np.arange(len(first))
-    for step in range(1, int(length[0]) + 1):
+    row = index.last_window
+    for step in range(WINDOW, int(length[0]) + 1):
         active = int(np.searchsorted(-length, -step, side="right"))
-        row[:active] = index.longer(row[:active])
-        if step >= WINDOW:
-            stretch[base[:-1][:active] + length[:active] - step] = index.stretch(row[:active])
+        if step > WINDOW:
+            row = index.longer(row[:active])
+        stretch[base[:-1][:active] + length[:active] - step] = index.stretch(row[:active])
 
     of_window = np.repeat(np.arange(len(n)), n)
     number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
