@@ -1,23 +1,59 @@
-"""Corpus pipeline over the ``documents`` table (stages are added as their operators exist)."""
+"""Corpus pipeline over the ``documents`` table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
+again as the docs of the next one. All stages but the last return the columns of ``documents``
+(``n_chars`` follows the text). SQL can express neither the components of the near duplicates nor
+the encoding, so there is no oracle; ``tests/llm`` holds the pipeline against a plain version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dictaudit.llm.decontam import remove_contaminated
+from dictaudit.llm.jaccard import keep_one
 from dictaudit.llm.quality import quality_filter
+from dictaudit.llm.queries import tokenizer_path
+from dictaudit.llm.sentencepiece_bpe import encode_decode, token_digests
+from dictaudit.llm.suffix_dedup import deduplicate
+from dictaudit.session import materialize
 
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules."""
     return quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes that an earlier document has."""
+    cut = deduplicate(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by a benchmark item."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of each text and of the text decoded from them."""
+    return token_digests(encode_decode(docs, tokenizer_path()))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_strings", repeated_strings),
+          ("decontamination", decontamination), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

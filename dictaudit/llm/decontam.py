@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .apply import id_text, per_text_rows
+from dictaudit.session import materialize
+
+from .apply import per_text_rows
 from .textscan import LOWER, ngram_hash, same_row, signed, words
 
 WINDOW = 13
@@ -275,7 +277,7 @@ def _finish(merged: DataFrame, percent: int) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                         **kw) -> DataFrame:
     """The rows of documents that are not contaminated, with all columns."""
-    bad = decontaminate(docs, benchmark, id_col, text_col, **kw).where("contaminated").select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"))
+    bad = materialize(decontaminate(docs, benchmark, id_col, text_col, **kw).where("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")), "contaminated")
     fp = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & fp.eqNullSafe(F.col("__fp")), "left_anti")

@@ -387,3 +387,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return (sized.join(named, ["n", "fp", "fp2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(
                 F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the smallest id
+    stays, once; rows without id all stay."""
+    found = jaccard_components(docs, id_col, text_col, n, percent).where("doc_id is not null")
+    judged = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("times"))
+                         .where("c <> doc_id or times > 1"), "jaccard-dropped")
+    repeated = judged.where("c = doc_id").select("doc_id")
+    if judged.count() <= MAX_SENT_IDS:
+        judged, repeated = F.broadcast(judged), F.broadcast(repeated)
+    own = F.col(id_col).cast("long")
+    alone = docs.join(judged.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_anti")
+    several = docs.join(repeated.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
+    return alone.unionByName(several.dropDuplicates([id_col]))

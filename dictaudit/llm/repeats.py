@@ -49,11 +49,14 @@ def window_anchors(unit: np.ndarray, row: np.ndarray, gram: np.ndarray, window:
     return valid, (low[valid] & _MASK).astype(np.int64)
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES,
+            keep: bool = False) -> tuple[DataFrame, int]:
     """doc_id, text and block (null id: block 0), and the number of blocks: a prime, so that the
-    remainder of the id deals evenly also ids with a common factor."""
+    remainder of the id deals evenly also ids with a common factor. ``keep`` carries all other columns
+    in a struct ``row``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+                       *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if keep else []))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(2, -(-size // block_bytes))
     while any(blocks % k == 0 for k in range(2, int(blocks ** 0.5) + 1)):
@@ -206,7 +209,7 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
              .applyInArrow(shared, "block long, doc binary, pos binary"))
     found = materialize(found, "repeat-anchors")
     extra_fields = "".join(f", x{i} binary" for i in range(len(kinds)))
-    sent = (docs.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block"))
+    sent = (docs.select("doc_id", "text", "block").repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block"))
             .applyInArrow(sends, f"part long, doc binary, pos binary, n binary{extra_fields}, block long"))
     return materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
         bucket, "block long, doc binary, start binary, end binary"), "repeat-ranges")
@@ -232,7 +235,9 @@ def copies(docs: DataFrame) -> DataFrame:
 def with_ranges(docs: DataFrame, ranges: DataFrame, blocks: int, finish: Callable, fields: str) -> DataFrame:
     """``finish(data, offsets, starts, ends) -> columns`` over all texts of a block with their
     covered ranges (a list of arrays each, ordered by start)."""
-    arrow = to_arrow_schema(T._parse_datatype_string("doc_id long, " + fields))
+    carried = [f for f in docs.schema if f.name == "row"]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *carried, *T._parse_datatype_string(fields).fields])
+    arrow = to_arrow_schema(schema)
 
     def run(texts: pa.Table, answer: pa.Table) -> pa.Table:
         doc, start, end = (_unpacked(answer, "doc", np.int64), _unpacked(answer, "start", np.int32),
@@ -246,12 +251,13 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, blocks: int, finish: Callabl
         out = []
         for a, b, data, offsets in text_slices(texts.column("text")):
             cols = finish(data, offsets, [start[lo[r]:hi[r]] for r in range(a, b)], [end[lo[r]:hi[r]] for r in range(a, b)])
+            kept = [ids.slice(a, b - a)] + [texts.column("row").slice(a, b - a) for _ in carried]
             out.append(pa.Table.from_arrays(
-                [ids.slice(a, b - a)] + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[1:], strict=True)], schema=arrow))
+                kept + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(kept):], strict=True)], schema=arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
     return docs.repartition(blocks, "block").groupBy("block").cogroup(
-        ranges.union(copies(docs)).repartition(blocks, "block").groupBy("block")).applyInArrow(run, "doc_id long, " + fields)
+        ranges.union(copies(docs)).repartition(blocks, "block").groupBy("block")).applyInArrow(run, schema)
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, size: int, window: int) -> np.ndarray:

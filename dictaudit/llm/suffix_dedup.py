@@ -176,6 +176,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return with_ranges(rows, ranges, blocks, _finish, FIELDS)
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All rows and columns of docs with the repeats cut from the text; characters that a cut leaves
+    in pieces go too. A null text becomes empty."""
+    rows, blocks = blocked(docs, id_col, text_col, block_bytes, keep=True)
+    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _strings, (np.uint8,), _solve)
+
+    def finish(data, offsets, starts, ends):
+        return [[k.decode("utf-8", "ignore") for k in _finish(data, offsets, starts, ends)[2]]]
+
+    cut = with_ranges(rows, ranges, blocks, finish, "kept string")
+    return cut.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def digests(removed: DataFrame) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
     return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
