@@ -40,7 +40,8 @@ from .textscan import LOWER, mix, ngram_hash, same_row, signed, words
 N = 5
 PERCENT = 80
 BITS = 256
-ROUNDS = 3
+ROUNDS = 2
+PARTNERS = 8
 PART_BYTES = 16 << 20
 MAX_SENT_IDS = 4_000_000
 _U = np.uint64
@@ -226,91 +227,96 @@ def _links(overlap, n_a, n_b, percent: int):
 
 
 def _members(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Size, signature and sorted set of the texts in the pairs."""
+    """Size and sorted set of the texts in the pairs."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
             row, key = sets(data, offsets, n)
-            bits = _signature(row, key, rows)
             cut = np.searchsorted(row, np.arange(rows + 1))
-            return [ids, np.diff(cut), [b.tobytes() for b in bits],
-                    [key[a:b].tobytes() for a, b in zip(cut, cut[1:])]]
+            return [ids, np.diff(cut), [key[a:b].tobytes() for a, b in zip(cut, cut[1:])]]
         return f
 
     wanted = materialize(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "jaccard-wanted")
     if wanted.count() <= MAX_SENT_IDS:  # 8 bytes each; beyond, Spark joins by shuffling the texts
         wanted = F.broadcast(wanted)
     there = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return per_text_rows(there.join(wanted, "doc", "left_semi"), "doc long, n long, bits binary, elements binary", make,
+    return per_text_rows(there.join(wanted, "doc", "left_semi"), "doc long, n long, elements binary", make,
                          "doc", "text")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their signatures allow to link."""
+    side = lambda s: signatures.select(F.col("doc").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s))
+
+    def run(batches):
+        for t in batches:
+            if len(t):
+                na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
+                read = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), -1)
+                ok = pa.array(_links(_overlap_bound(read("bitsa"), read("bitsb"), na, nb), na, nb, percent))
+                yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(
+        run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int,
+              percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    pairs = materialize(pairs, "jaccard-pairs")
+    pairs = materialize(_possible(pairs, signatures, percent), "jaccard-pairs")
     members = materialize(_members(docs, pairs, id_col, text_col, n), "jaccard-members")
-    side = lambda s: members.select(F.col("doc").alias(s), F.col("n").alias("n" + s), F.col("bits").alias("bits" + s),
-                                    F.col("elements").alias("el" + s))
-    # b is the leader of many a: its side is small, and the a side meets it once
+    side = lambda s: members.select(F.col("doc").alias(s), F.col("n").alias("n" + s), F.col("elements").alias("el" + s))
     both = pairs.join(side("a"), "a").join(side("b").join(pairs.select("b").distinct(), "b", "left_semi"), "b")
 
     def run(batches):
         for t in batches:
-            if not len(t):
-                continue
-            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-            read = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), -1)
-            ok = _links(_overlap_bound(read("bitsa"), read("bitsb"), na, nb), na, nb, percent)
-            ea, eb = t.column("ela"), t.column("elb")
-            for i in np.flatnonzero(ok):
+            na, nb, ea, eb = (t.column(c) for c in ("na", "nb", "ela", "elb"))
+            ok = np.zeros(len(t), bool)
+            for i in range(len(t)):
                 x = np.concatenate([np.frombuffer(ea[i].as_py(), np.uint64), np.frombuffer(eb[i].as_py(), np.uint64)])
                 x.sort(kind="stable")
-                ok[i] = _links(int((x[1:] == x[:-1]).sum()), na[i], nb[i], percent)
+                ok[i] = _links(int((x[1:] == x[:-1]).sum()), na[i].as_py(), nb[i].as_py(), percent)
             yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(ok)), t.column("b").filter(pa.array(ok))], ["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "ela", "elb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ela", "elb").mapInArrow(run, "a long, b long")
 
 
 def _read(t: pa.Table):
-    """Arrays of a part's tile rows that lie in tiles of several components."""
+    """Order and arrays of a part's tile rows that lie in tiles of several components."""
     token, doc, n, comp = (t.column(c).to_numpy() for c in ("token", "doc", "n", "component"))
     order = np.lexsort((doc, n, token))
     start = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]])[:len(order)])
     if len(order):
         mixed = np.minimum.reduceat(comp[order], start) < np.maximum.reduceat(comp[order], start)
         order = order[np.repeat(mixed, np.diff(np.append(start, len(order))))]
-    bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(order), -1)
-    return token[order], doc[order], n[order], comp[order], bits
+    return order, token[order], doc[order], n[order], comp[order]
 
 
 def _open(t: pa.Table) -> pa.Table:
     """Tile rows that can still give links between components."""
-    token, doc, n, _, bits = _read(t)
-    return pa.table({"part": pa.array(np.full(len(doc), t.column("part")[0].as_py()), pa.int64()), "token": token,
-                     "doc": doc, "n": n, "bits": pa.array([b.tobytes() for b in bits], pa.binary())})
+    return t.select(["part", "token", "doc", "n"]).take(pa.array(_read(t)[0]))
 
 
-def _pairs(doc, a, b) -> pa.Table:
-    """Distinct pairs and how often they meet."""
-    code, times = np.unique(np.stack([doc[a], doc[b]], 1), axis=0, return_counts=True)
-    return pa.table({"a": code[:, 0], "b": code[:, 1], "times": pa.array(times, pa.int64())})
+def _pairs(doc, n, a, b) -> pa.Table:
+    """Distinct pairs, the size of the first and how often they meet."""
+    code, times = np.unique(np.stack([doc[a], doc[b], n[a]], 1), axis=0, return_counts=True)
+    return pa.table({"a": code[:, 0], "b": code[:, 1], "n": code[:, 2], "times": pa.array(times, pa.int64())})
 
 
 def _drawn(t: pa.Table, percent: int, salt: int) -> pa.Table:
-    """Each text with the next text of its tile in a random order, if components, sizes and
-    signatures allow a link: at most one pair for each tile row."""
-    token, doc, n, comp, bits = _read(t)
+    """Each text with the next text of its tile in a random order, if components and sizes allow a
+    link: at most one pair for each tile row."""
+    _, token, doc, n, comp = _read(t)
     order = np.lexsort((mix(doc.view(np.uint64) + _U(salt)), token))
     a, b = order[:-1], order[1:]
     keep = (token[a] == token[b]) & (comp[a] != comp[b]) & (percent * np.maximum(n[a], n[b]) <= 100 * np.minimum(n[a], n[b]))
-    a, b = a[keep], b[keep]
-    ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
-    return _pairs(doc, a[ok], b[ok])
+    return _pairs(doc, n, a[keep], b[keep])
 
 
 def _meetings(t: pa.Table, percent: int) -> pa.Table:
     """All pairs of a part's tiles that components, sizes and signatures allow to link."""
-    token, doc, n, comp, bits = _read(t)
+    order, token, doc, n, comp = _read(t)
+    bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(order), -1)
     names, at = np.unique(doc, return_inverse=True)
     found, held, alive, shift = np.zeros(0, np.int64), [], np.arange(len(token)), 1
     while len(alive):
@@ -325,7 +331,7 @@ def _meetings(t: pa.Table, percent: int) -> pa.Table:
         shift += 1
     found = np.unique(np.concatenate([found, *held]))
     size = max(len(names), 1)
-    return pa.table({"a": names[found // size], "b": names[found % size], "times": pa.array(np.ones(len(found)), pa.int64())})
+    return pa.table({"a": names[found // size], "b": names[found % size]})
 
 
 def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
@@ -350,35 +356,40 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
         lambda t: _tiles(t, percent), "part long, token long, doc long, n long, leader long"), "jaccard-tiles")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links of each text with the partner that it meets most often."""
-        best = pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a").agg(
-            F.min_by("b", F.struct(-F.col("times"), "b")).alias("b"))
-        return _verified(best, docs, id_col, text_col, n, percent)
+    signatures = scanned.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
+
+    def linked(pairs: DataFrame, partners: int) -> DataFrame:
+        """Links of each text with the partners that it meets most often."""
+        best = (pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a")
+                .agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("times"), "b"))), 1, partners).alias("best"))
+                .select("a", F.explode("best.b").alias("b")))
+        return _verified(best, signatures, docs, id_col, text_col, n, percent)
 
-    led = tiles.where("leader is not null").select(F.col("doc").alias("a"), F.col("leader").alias("b"), F.lit(1).alias("times"))
-    named = components(linked(led))
+    # a leader met in very few tiles waits for the later steps
+    led = (tiles.where("leader is not null").groupBy(F.col("doc").alias("a"), F.col("leader").alias("b"), "n")
+           .agg(F.count("*").alias("times")).where(F.col("times") * 40 >= F.col("n")))
+    named = materialize(components(linked(led, 1)), "jaccard-components")
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(named.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
             "component", F.coalesce("component", "doc")).repartition(parts, "part")
 
     # tiles in which texts of different components meet
-    signatures = scanned.select(F.col("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
-    open_ = materialize(placed(tiles.select("part", "token", "doc", "n").join(signatures, "doc")).groupBy("part").applyInArrow(
-        _open, "part long, token long, doc long, n long, bits binary"), "jaccard-open")
+    still = "part long, token long, doc long, n long"
+    open_ = materialize(placed(tiles.select("part", "token", "doc", "n")).groupBy("part").applyInArrow(_open, still), "jaccard-open")
 
     def draw(salt: int):
         return lambda t: _drawn(t, percent, salt)
 
     for salt in range(1, ROUNDS + 1):
-        drawn = placed(open_).groupBy("part").applyInArrow(draw(salt), "a long, b long, times long")
-        links = materialize(linked(drawn), "jaccard-links")
+        drawn = placed(open_).groupBy("part").applyInArrow(draw(salt), "a long, b long, n long, times long")
+        links = materialize(linked(drawn, PARTNERS), "jaccard-links")
         if links.isEmpty():
             break
         named = materialize(_joined(named, links), "jaccard-components")
-    more = placed(open_).groupBy("part").applyInArrow(lambda t: _meetings(t, percent), "a long, b long, times long")
-    final = _joined(named, _verified(more.select("a", "b").distinct(), docs, id_col, text_col, n, percent))
+    more = placed(open_.join(signatures.select("doc", "bits"), "doc")).groupBy("part").applyInArrow(
+        lambda t: _meetings(t, percent), "a long, b long")
+    final = _joined(named, _verified(more.distinct(), signatures, docs, id_col, text_col, n, percent))
 
     sized = scanned.select("doc_id", "n", "fp", "fp2")
     reps = sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
