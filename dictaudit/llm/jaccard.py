@@ -106,8 +106,10 @@ class Bands:
 
 
 def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands, percent: int):
-    """Row and tile of every set (elements sorted by row and hash)."""
-    rows, tiles = [], []
+    """Row, tile and need of every set (elements sorted by row and hash). The need of a tile of a
+    set's own band is the least number of such tiles that it shares with a linked set of no larger
+    band; tiles of the next band need 0, single elements 1."""
+    rows, tiles, needs = [], [], []
     summed = np.concatenate([[_U(0)], np.cumsum(mix(key))])
     few = np.zeros(len(size), bool)
     for step in (0, 1):
@@ -117,13 +119,16 @@ def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands,
         content = summed[np.append(lead[1:], len(row))] - summed[lead]
         rows.append(row[lead])
         tiles.append(mix(content * _U(0xD6E8FEB86659FD93) + mix(bucket[lead] * _U(4096) + band[row[lead]].astype(np.uint64))))
-        few |= np.bincount(row[lead], minlength=len(size)) <= bands.differ[band]
+        spare = np.bincount(row[lead], minlength=len(size)) - bands.differ[band]
+        few |= spare <= 0
+        needs.append(np.maximum(spare, 1)[row[lead]] if not step else np.zeros(len(lead), np.int64))
     # too few buckets: the first elements, of which two linked sets share one
     rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row]
     single = few[row] & (rank < (size - (percent * size + 99) // 100 + 1)[row])
     rows.append(row[single])
     tiles.append(mix(key[single] + _U(1)))
-    return np.concatenate(rows), np.concatenate(tiles)
+    needs.append(np.ones(single.sum(), np.int64))
+    return np.concatenate(rows), np.concatenate(tiles), np.concatenate(needs)
 
 
 def _tile_rows(docs: DataFrame, bands: Bands, id_col: str, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
@@ -144,20 +149,20 @@ def _tile_rows(docs: DataFrame, bands: Bands, id_col: str, text_col: str, n: int
             sent[order[first]] = True
             keep = sent[row]
             row, key = row[keep], key[keep]
-            row, tile = _tile_keys(row, key, np.bincount(row, minlength=rows), bands, percent)
+            row, tile, need = _tile_keys(row, key, np.bincount(row, minlength=rows), bands, percent)
             # the part and 32 bits of hash name a tile; a chance collision only adds a candidate
             part = ((tile >> _U(32)) % _U(parts)).astype(np.int64)
             order = np.lexsort((row, part))
-            row, tile, part = row[order], tile[order], part[order]
+            row, tile, part, need = row[order], tile[order], part[order], need[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(cut[1:] > cut[:-1])
             at = [slice(cut[p], cut[p + 1]) for p in full]
             return [full, [(tile[s] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in at],
                     [num[row[s]].tobytes() for s in at], [size[row[s]].astype(np.int32).tobytes() for s in at],
-                    [signed(fp)[row[s]].tobytes() for s in at]]
+                    [signed(fp)[row[s]].tobytes() for s in at], [need[s].astype(np.uint16).tobytes() for s in at]]
         return f
 
-    return per_text_rows(docs, "part long, tile binary, id binary, n binary, fp binary", make, id_col, text_col)
+    return per_text_rows(docs, "part long, tile binary, id binary, n binary, fp binary, need binary", make, id_col, text_col)
 
 
 def _tiles(t: pa.Table, percent: int) -> pa.Table:
@@ -165,20 +170,21 @@ def _tiles(t: pa.Table, percent: int) -> pa.Table:
     its size band in the tile."""
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
     token, num, n, fp = read("tile", np.uint32).astype(np.int64), read("id", np.int64), read("n", np.int32).astype(np.int64), read("fp", np.int64)
+    need = read("need", np.uint16).astype(np.int64)
     order = np.lexsort((num, fp, n, token))
-    token, num, n, fp = token[order], num[order], n[order], fp[order]
+    token, num, n, fp, need = token[order], num[order], n[order], fp[order], need[order]
     # equal sets of several slices: the smallest id stays
     first = np.ones(len(token), bool)
     first[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (fp[1:] != fp[:-1])
-    token, num, n = token[first], num[first], n[first]
+    token, num, n, need = token[first], num[first], n[first], need[first]
     same = token[1:] == token[:-1]
     met = np.zeros(len(token), bool)
     met[1:] |= same
     met[:-1] |= same
-    token, num, n = token[met], num[met], n[met]
+    token, num, n, need = token[met], num[met], n[met], need[met]
     lead = _leaders(token, n, percent)
     part = t.column("part")[0].as_py()
-    return pa.table({"part": pa.array(np.full(len(token), part), pa.int64()), "token": token, "doc": num, "n": n,
+    return pa.table({"part": pa.array(np.full(len(token), part), pa.int64()), "token": token, "doc": num, "n": n, "need": need,
                      "leader": pa.array(num[lead], mask=lead == np.arange(len(lead)))})
 
 
@@ -294,7 +300,7 @@ def _read(t: pa.Table):
 
 def _open(t: pa.Table) -> pa.Table:
     """Tile rows that can still give links between components."""
-    return t.select(["part", "token", "doc", "n"]).take(pa.array(_read(t)[0]))
+    return t.select(["part", "token", "doc", "n", "need"]).take(pa.array(_read(t)[0]))
 
 
 def _pairs(doc, n, a, b) -> pa.Table:
@@ -314,24 +320,37 @@ def _drawn(t: pa.Table, percent: int, salt: int) -> pa.Table:
 
 
 def _meetings(t: pa.Table, percent: int) -> pa.Table:
-    """All pairs of a part's tiles that components, sizes and signatures allow to link."""
+    """All pairs of a part's tiles that components, sizes and signatures allow to link, with the
+    number of tiles of the larger set's own band that they share here and need in all."""
     order, token, doc, n, comp = _read(t)
+    need = t.column("need").to_numpy()[order]
     bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(order), -1)
     names, at = np.unique(doc, return_inverse=True)
-    found, held, alive, shift = np.zeros(0, np.int64), [], np.arange(len(token)), 1
+    least = np.zeros(len(names), np.int64)
+    np.maximum.at(least, at, need)
+    found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, alive, shift = [], np.arange(len(token)), 1
+
+    def counted():
+        code, inverse = np.unique(np.concatenate([found, *held]), return_inverse=True)
+        more = np.concatenate([times, np.ones(sum(map(len, held)), np.int64)])
+        return code, np.bincount(inverse, more, len(code)).astype(np.int64)
+
     while len(alive):
         alive = alive[alive + shift < len(token)]
         alive = alive[(token[alive] == token[alive + shift]) & (percent * n[alive + shift] <= 100 * n[alive])]
-        a = alive[comp[alive] != comp[alive + shift]]
-        b = a + shift
+        b = alive + shift  # the larger set
+        keep = (comp[alive] != comp[b]) & (need[b] > 0)
+        a, b = alive[keep], b[keep]
         ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
         held.append(at[b[ok]] * len(names) + at[a[ok]])
         if sum(map(len, held)) > 1_000_000:
-            found, held = np.unique(np.concatenate([found, *held])), []
+            found, times = counted()
+            held = []
         shift += 1
-    found = np.unique(np.concatenate([found, *held]))
+    found, times = counted()
     size = max(len(names), 1)
-    return pa.table({"a": names[found // size], "b": names[found % size]})
+    return pa.table({"a": names[found // size], "b": names[found % size], "times": times, "need": least[found // size]})
 
 
 def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
@@ -354,7 +373,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = max(1, -(-total * 24 // (2 * PART_BYTES)))
     sent = _tile_rows(docs, bands, id_col, text_col, n, percent, parts)
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
-        lambda t: _tiles(t, percent), "part long, token long, doc long, n long, leader long"), "jaccard-tiles")
+        lambda t: _tiles(t, percent), "part long, token long, doc long, n long, need long, leader long"), "jaccard-tiles")
 
     signatures = scanned.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
 
@@ -375,8 +394,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             "component", F.coalesce("component", "doc")).repartition(parts, "part")
 
     # tiles in which texts of different components meet
-    still = "part long, token long, doc long, n long"
-    open_ = materialize(placed(tiles.select("part", "token", "doc", "n")).groupBy("part").applyInArrow(_open, still), "jaccard-open")
+    still = "part long, token long, doc long, n long, need long"
+    open_ = materialize(placed(tiles.select("part", "token", "doc", "n", "need")).groupBy("part").applyInArrow(_open, still), "jaccard-open")
 
     def draw(salt: int):
         return lambda t: _drawn(t, percent, salt)
@@ -387,9 +406,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if links.isEmpty():
             break
         named = materialize(_joined(named, links), "jaccard-components")
-    more = placed(open_.join(signatures.select("doc", "bits"), "doc")).groupBy("part").applyInArrow(
-        lambda t: _meetings(t, percent), "a long, b long")
-    final = _joined(named, _verified(more.distinct(), signatures, docs, id_col, text_col, n, percent))
+    more = (placed(open_.join(signatures.select("doc", "bits"), "doc")).groupBy("part")
+            .applyInArrow(lambda t: _meetings(t, percent), "a long, b long, times long, need long")
+            .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b"))
+    final = _joined(named, _verified(more, signatures, docs, id_col, text_col, n, percent))
 
     sized = scanned.select("doc_id", "n", "fp", "fp2")
     reps = sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
