@@ -181,6 +181,8 @@ def _verified(w, row_end, prefixes, block: Block) -> tuple[np.ndarray, np.ndarra
     """Word starts and window numbers of all exact occurrences in a slice."""
     starts, wins = [], []
     for k, (keys, first, window, offset) in prefixes.items():
+        if not len(keys) or not len(w.hash):
+            continue
         g = ngram_hash(w.hash, k)
         at = np.searchsorted(keys, g).clip(0, len(keys) - 1)
         hit = np.flatnonzero((keys[at] == g) & same_row(w.row, k))
