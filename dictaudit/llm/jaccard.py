@@ -378,8 +378,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     signatures = scanned.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
 
     def linked(pairs: DataFrame, partners: int) -> DataFrame:
-        """Links of each text with the partners that it meets most often."""
-        best = (pairs.groupBy("a", "b").agg(F.sum("times").alias("times")).groupBy("a")
+        """Links of each text with the partners that it meets most often. Signatures say little about
+        large sets; large ones that meet in few tiles wait for the last step."""
+        best = (pairs.groupBy("a", "b", "n").agg(F.sum("times").alias("times"))
+                .where(F.col("times") * 40 >= F.when(F.col("n") > 2 * BITS, F.col("n")).otherwise(0)).groupBy("a")
                 .agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("times"), "b"))), 1, partners).alias("best"))
                 .select("a", F.explode("best.b").alias("b")))
         return _verified(best, signatures, docs, id_col, text_col, n, percent)
