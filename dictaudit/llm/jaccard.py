@@ -16,8 +16,11 @@ connected component of every text.
    links give provisional components. Further rounds take leaders of other components in random
    order. Then all texts of different components meet in their tiles. So a group of thousands of
    copies is connected without comparing it pair by pair.
+   A linked set shares at least (its non-empty buckets - D_j) tiles of a band; a text with fewer open
+   tiles there sends none.
 4. A pair is tested by its signatures, bitmaps that hold the parity of the hashed elements: the bits
-   in which they differ bound the overlap from above. Survivors are intersected as sorted arrays.
+   in which they differ bound the overlap from above. They widen with the set, up to MAX_BITS, and
+   fold to the narrower one's width. Survivors are intersected as sorted arrays.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
 rows with equal ids count as one document; a null id links with nothing and has no component; an
@@ -40,6 +43,7 @@ from .textscan import LOWER, mix, ngram_hash, same_row, signed, words
 N = 5
 PERCENT = 80
 BITS = 256
+MAX_BITS = 4096
 ROUNDS = 2
 PARTNERS = 8
 PART_BYTES = 16 << 20
@@ -76,14 +80,15 @@ def _fingerprints(row: np.ndarray, key: np.ndarray, n_rows: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def _scan_sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def _scan_sets(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Size, fingerprint and signature of every set."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
             row, key = sets(data, offsets, n)
             fp, fp2 = _fingerprints(row, key, rows)
-            return [ids, np.bincount(row, minlength=rows), fp, fp2, [b.tobytes() for b in _signature(row, key, rows)]]
+            size = np.bincount(row, minlength=rows)
+            return [ids, size, fp, fp2, _signatures(row, key, size, percent)]
         return f
 
     return per_text_rows(docs, "doc_id long, n long, fp long, fp2 long, bits binary", make, id_col, text_col)
@@ -108,7 +113,7 @@ class Bands:
 def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands, percent: int):
     """Row, tile and need of every set (elements sorted by row and hash). The need of a tile of a
     set's own band is the least number of such tiles that it shares with a linked set of no larger
-    band; tiles of the next band need 0, single elements 1."""
+    band; that of a tile of the next band has a minus sign; single elements need 1."""
     rows, tiles, needs = [], [], []
     summed = np.concatenate([[_U(0)], np.cumsum(mix(key))])
     few = np.zeros(len(size), bool)
@@ -121,7 +126,7 @@ def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands,
         tiles.append(mix(content * _U(0xD6E8FEB86659FD93) + mix(bucket[lead] * _U(4096) + band[row[lead]].astype(np.uint64))))
         spare = np.bincount(row[lead], minlength=len(size)) - bands.differ[band]
         few |= spare <= 0
-        needs.append(np.maximum(spare, 1)[row[lead]] if not step else np.zeros(len(lead), np.int64))
+        needs.append((-1 if step else 1) * np.maximum(spare, 1)[row[lead]])
     # too few buckets: the first elements, of which two linked sets share one
     rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(size)))[row]
     single = few[row] & (rank < (size - (percent * size + 99) // 100 + 1)[row])
@@ -159,7 +164,7 @@ def _tile_rows(docs: DataFrame, bands: Bands, id_col: str, text_col: str, n: int
             at = [slice(cut[p], cut[p + 1]) for p in full]
             return [full, [(tile[s] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in at],
                     [num[row[s]].tobytes() for s in at], [size[row[s]].astype(np.int32).tobytes() for s in at],
-                    [signed(fp)[row[s]].tobytes() for s in at], [need[s].astype(np.uint16).tobytes() for s in at]]
+                    [signed(fp)[row[s]].tobytes() for s in at], [need[s].astype(np.int32).tobytes() for s in at]]
         return f
 
     return per_text_rows(docs, "part long, tile binary, id binary, n binary, fp binary, need binary", make, id_col, text_col)
@@ -170,7 +175,7 @@ def _tiles(t: pa.Table, percent: int) -> pa.Table:
     its size band in the tile."""
     read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
     token, num, n, fp = read("tile", np.uint32).astype(np.int64), read("id", np.int64), read("n", np.int32).astype(np.int64), read("fp", np.int64)
-    need = read("need", np.uint16).astype(np.int64)
+    need = read("need", np.int32).astype(np.int64)
     order = np.lexsort((num, fp, n, token))
     token, num, n, fp, need = token[order], num[order], n[order], fp[order], need[order]
     # equal sets of several slices: the smallest id stays
@@ -215,17 +220,62 @@ def _band_end(n: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: np.ndarray)
     return lo
 
 
-def _signature(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
-    """Parity bitmaps (rows x BITS/8 bytes)."""
-    bit = (key >> _U(64 - int(np.log2(BITS)))).astype(np.int64)
-    odd = np.bincount(row * BITS + bit, minlength=rows * BITS).reshape(rows, BITS) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1)
-
-
-def _overlap_bound(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Most elements two sets can share: each differing parity bit needs an element in only one."""
-    differ = np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)
-    return (n_a + n_b - differ) // 2
+def _signatures(row: np.ndarray, key: np.ndarray, size: np.ndarray, percent: int) -> list[bytes]:
+    """Parity bitmap of each set, with about eight bits for each element in which a linked set may
+    differ (a power of two between BITS and MAX_BITS)."""
+    differ = np.maximum(2 * size * (100 - percent) // (100 + percent), 1)
+    width = np.clip(2 ** np.ceil(np.log2(8 * differ)).astype(np.int64), BITS, MAX_BITS)
+    out = np.empty(len(size), object)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        place = np.zeros(len(size), np.int64)
+        place[at] = np.arange(len(at))
+        for lo in range(0, len(at), 4096):
+            some = at[lo:lo + 4096]
+            mine = np.zeros(len(size), bool)
+            mine[some] = True
+            mine = mine[row]
+            bit = (key[mine] >> _U(64 - int(np.log2(w)))).astype(np.int64)
+            odd = np.bincount((place[row[mine]] - lo) * w + bit, minlength=len(some) * w).reshape(len(some), w) & 1
+            out[some] = [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+    return out.tolist()
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows x bytes) of half the width: each bit is the parity of two neighbours."""
+    pairs = np.unpackbits(bits, axis=1).reshape(len(bits), -1, 2)
+    return np.packbits(pairs[:, :, 0] ^ pairs[:, :, 1], axis=1)
+
+
+class _Bitmaps:
+    """Signatures of several rows, readable at each width up to their own."""
+
+    def __init__(self, column: list[bytes]):
+        self.bytes = np.fromiter(map(len, column), np.int64, len(column))
+        self.at, wider = {}, (np.zeros(0, np.int64), None)
+        for w in np.unique(self.bytes)[::-1]:
+            own = np.flatnonzero(self.bytes == w)
+            bits = np.frombuffer(b"".join(column[i] for i in own), np.uint8).reshape(len(own), w)
+            rows, more = wider
+            while len(rows) and more.shape[1] > w:
+                more = _folded(more)
+            rows, bits = np.concatenate([rows, own]), np.concatenate([more, bits]) if len(rows) else bits
+            place = np.zeros(len(column), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.at[w] = place, np.ascontiguousarray(bits).view(np.uint64)
+            wider = rows, bits
+
+    def overlap_bound(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Most elements that the sets of rows a and b can share: each differing parity bit needs an
+        element in only one."""
+        differ = np.zeros(len(a), np.int64)
+        width = np.minimum(self.bytes[a], self.bytes[b])
+        for w, (place, bits) in self.at.items():
+            some = np.flatnonzero(width == w)
+            for lo in range(0, len(some), 1 << 16):
+                s = some[lo:lo + (1 << 16)]
+                differ[s] = np.bitwise_count(bits[place[a[s]]] ^ bits[place[b[s]]]).sum(axis=1, dtype=np.int64)
+        return (n_a + n_b - differ) // 2
 
 
 def _links(overlap, n_a, n_b, percent: int):
@@ -258,8 +308,8 @@ def _possible(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFram
         for t in batches:
             if len(t):
                 na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
-                read = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(len(t), -1)
-                ok = pa.array(_links(_overlap_bound(read("bitsa"), read("bitsb"), na, nb), na, nb, percent))
+                bits, at = _Bitmaps(t.column("bitsa").to_pylist() + t.column("bitsb").to_pylist()), np.arange(len(t))
+                ok = pa.array(_links(bits.overlap_bound(at, len(t) + at, na, nb), na, nb, percent))
                 yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], ["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(
@@ -324,8 +374,8 @@ def _meetings(t: pa.Table, percent: int) -> pa.Table:
     number of tiles of the larger set's own band that they share here and need in all."""
     order, token, doc, n, comp = _read(t)
     need = t.column("need").to_numpy()[order]
-    bits = np.frombuffer(b"".join(t.column("bits").take(pa.array(order)).to_pylist()), np.uint64).reshape(len(order), -1)
-    names, at = np.unique(doc, return_inverse=True)
+    names, first, at = np.unique(doc, return_index=True, return_inverse=True)
+    bits = _Bitmaps(t.column("bits").take(pa.array(order[first])).to_pylist())
     least = np.zeros(len(names), np.int64)
     np.maximum.at(least, at, need)
     found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -342,7 +392,7 @@ def _meetings(t: pa.Table, percent: int) -> pa.Table:
         b = alive + shift  # the larger set
         keep = (comp[alive] != comp[b]) & (need[b] > 0)
         a, b = alive[keep], b[keep]
-        ok = _links(_overlap_bound(bits[a], bits[b], n[a], n[b]), n[a], n[b], percent)
+        ok = _links(bits.overlap_bound(at[a], at[b], n[a], n[b]), n[a], n[b], percent)
         held.append(at[b[ok]] * len(names) + at[a[ok]])
         if sum(map(len, held)) > 1_000_000:
             found, times = counted()
@@ -367,7 +417,7 @@ def _joined(named: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                        percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles and component_id."""
-    scanned = materialize(_scan_sets(docs, id_col, text_col, n), "jaccard-sets")
+    scanned = materialize(_scan_sets(docs, id_col, text_col, n, percent), "jaccard-sets")
     total, largest = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     bands = Bands(percent, max(largest, 1))
     parts = max(1, -(-total * 24 // (2 * PART_BYTES)))
@@ -408,7 +458,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if links.isEmpty():
             break
         named = materialize(_joined(named, links), "jaccard-components")
-    more = (placed(open_.join(signatures.select("doc", "bits"), "doc")).groupBy("part")
+    enough = open_.groupBy("doc", "need").count().where("count >= abs(need)")
+    last = open_.join(enough, ["doc", "need"], "left_semi").join(signatures.select("doc", "bits"), "doc")
+    more = (placed(last).groupBy("part")
             .applyInArrow(lambda t: _meetings(t, percent), "a long, b long, times long, need long")
             .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b"))
     final = _joined(named, _verified(more, signatures, docs, id_col, text_col, n, percent))
