@@ -251,9 +251,11 @@ def audit_signals(pairs: DataFrame, backend, model: str | None = None) -> DataFr
     ``pairs`` needs ``pair_id, name_1, def_1, name_2, def_2`` (and optionally ``model``). Round 2
     asks the too-similar prompt only for pairs whose round 1 succeeded with distinct names.
     """
-    pairs = _with_model(pairs, model)
+    # a pair that occurs several times is asked once; callers join the signals back to all its rows
+    pairs = _with_model(pairs, model).dropDuplicates(["model", "pair_id"])
     cols = ["model", "pair_id", "role", "answer", "justification", "parse_error"]
-    r1 = _parsed(ask(round1_requests(pairs), backend)).select(*cols)
+    # round 1 decides round 2 and is part of the result: written once
+    r1 = materialize(_parsed(ask(round1_requests(pairs), backend)).select(*cols), "audit-round1")
     first = r1.groupBy("model", "pair_id").agg(
         F.count_if(F.col("parse_error").isNull()).alias("_ok"),
         F.max(F.when(F.col("role") == "names_distinct", F.col("answer"))).alias("_nd"))
@@ -266,9 +268,11 @@ def remediation(pairs: DataFrame, signals: DataFrame, backend) -> DataFrame:
     """L3: one ISO-definition request per failing term (from the name only), asked once per
     distinct name; a failed answer leaves the term out. Output: ``model, pair_id, term, definition``."""
     terms = T.terms_to_fix_expr("alignment_a", "alignment_b", "names_distinct", "defs_too_similar")
+    names = pairs.select(*[c for c in ("model", "pair_id") if c in pairs.columns], "name_1", "name_2")
+    names = names.dropDuplicates([c for c in ("model", "pair_id") if c in names.columns])
     todo = (signals.filter(F.col("status") == "success")
             .select("model", "pair_id", F.explode(terms).alias("term"))
-            .join(pairs.select("pair_id", "name_1", "name_2"), "pair_id")
+            .join(names, [c for c in ("model", "pair_id") if c in names.columns])
             .select("model", "pair_id", "term",
                     F.when(F.col("term") == "A", F.col("name_1")).otherwise(F.col("name_2")).alias("term_name")))
     req = todo.select("model", "pair_id", "term", F.lit(fv.ISO_SYSTEM_PROMPT).alias("system"),

@@ -45,9 +45,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
     1. ``percentile_approx`` brackets every target rank: its rank error is at most n/accuracy, so
        the value window between the approximate quantiles at p -/+ 3/accuracy holds the ranks
        floor(p(n-1)) and ceil(p(n-1)).
-    2. Values below each window are only counted (conditional counts, one pass); rows inside a
-       window (about 6n/accuracy per quantile, a bound set by ``accuracy``) are ranked by a window
-       function partitioned by quantile.
+    2. Values below each window are only counted (conditional counts, one pass). Inside a window
+       equal values are counted before the shuffle, so ties of any number are one row; a running
+       sum per quantile over the distinct values (at most about 6n/accuracy) gives their ranks.
     3. The two neighbouring order statistics are interpolated.
 
     Returns one row per quantile: ``qi int, p double, value double``.
@@ -70,18 +70,18 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int =
     below = below.select(F.posexplode(F.array(*[F.col(f"b{i}") for i in range(nq)])).alias("qi", "n_below"))
     inside = F.filter(F.sequence(F.lit(0), F.lit(nq - 1)),
                       lambda i: (F.col("x") >= F.element_at("lo", i + 1)) & (F.col("x") <= F.element_at("hi", i + 1)))
-    win = (attached.select("x", "n", F.explode(inside).alias("qi"))
-           .withColumn("pos", F.row_number().over(Window.partitionBy("qi").orderBy("x")) - 1))
+    counted = attached.select("x", "n", F.explode(inside).alias("qi")).groupBy("qi", "x", "n").agg(F.count("*").alias("times"))
+    win = counted.withColumn("upto", F.sum("times").over(Window.partitionBy("qi").orderBy("x")))
     ps = F.array(*[F.lit(float(p)) for p in probs])
     win = (win.join(F.broadcast(below), "qi")
            .withColumn("p", F.element_at(ps, F.col("qi") + 1))
            .withColumn("r", F.col("p") * (F.col("n") - 1))
            .withColumn("k1", F.floor("r")).withColumn("k2", F.ceil("r"))
-           .withColumn("rank", F.col("pos") + F.col("n_below")))
-    picked = (win.filter((F.col("rank") == F.col("k1")) | (F.col("rank") == F.col("k2")))
-              .groupBy("qi", "p", "r", "k1")
-              .agg(F.max(F.when(F.col("rank") == F.col("k1"), F.col("x"))).alias("v1"),
-                   F.max(F.when(F.col("rank") == F.col("k2"), F.col("x"))).alias("v2")))
+           .withColumn("stop", F.col("upto") + F.col("n_below"))
+           .withColumn("start", F.col("stop") - F.col("times")))
+    holds = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("stop"))
+    picked = (win.filter(holds("k1") | holds("k2")).groupBy("qi", "p", "r", "k1")
+              .agg(F.max(F.when(holds("k1"), F.col("x"))).alias("v1"), F.max(F.when(holds("k2"), F.col("x"))).alias("v2")))
     return picked.select("qi", "p", (F.col("v1") + (F.col("r") - F.col("k1")) * (F.col("v2") - F.col("v1"))).alias("value"))
 
 

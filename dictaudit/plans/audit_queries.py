@@ -329,15 +329,16 @@ def yes_no_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _conv_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = F.array(*[F.lit(r) for r in A.ROLES])
-    a = (_answers(spark, sf_dir).filter(F.col("turn") < len(A.ROLES))
-         .withColumn("role", F.element_at(roles, (F.col("turn") + 1).cast("int")))
+    a = (_answers(spark, sf_dir)
+         .withColumn("turn_group", F.floor(F.col("turn") / len(A.ROLES)).cast("long"))
+         .withColumn("role", F.element_at(roles, (F.col("turn") % len(A.ROLES) + 1).cast("int")))
          .withColumn("error", F.lit(None).cast("string")))
-    return A.signals_from_answers(A.parse_answers(a), ["conv_id"])
+    return A.signals_from_answers(A.parse_answers(a), ["conv_id", "turn_group"])
 
 
 def _conv_signals_sql() -> str:
     roles = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(A.ROLES))
-    parse = (f"SELECT conv_id, role, {Q.yes_no_answer('response')} AS answer, "
+    parse = (f"SELECT conv_id, turn_group, role, {Q.yes_no_answer('response')} AS answer, "
              f"CASE WHEN {Q.yes_no_answer('response')} IS NOT NULL THEN {Q.yes_no_justification('response')} END AS justification, "
              f"{Q.parse_error('response')} AS parse_error")
     piv = ", ".join(
@@ -351,11 +352,11 @@ def _conv_signals_sql() -> str:
     error = (f"coalesce({err('alignment_a')}, {err('alignment_b')}, {err('names_distinct')}, "
              f"CASE WHEN names_distinct THEN {err('defs_too_similar')} END)")
     sim = "CASE WHEN names_distinct THEN defs_too_similar END"
-    return f"""WITH a AS (SELECT conv_id, CASE turn {roles} END AS role, {_answer_sql()} AS response
-           FROM conversations WHERE turn < {len(A.ROLES)}),
+    return f"""WITH a AS (SELECT conv_id, CAST(turn // {len(A.ROLES)} AS BIGINT) AS turn_group, CASE turn % {len(A.ROLES)} {roles} END AS role, {_answer_sql()} AS response
+           FROM conversations),
 p AS ({parse} FROM a),
-piv AS (SELECT conv_id, {piv} FROM p GROUP BY conv_id),
-sig AS (SELECT conv_id, CASE WHEN {error} IS NULL THEN 'success' ELSE 'error' END AS status, {error} AS error,
+piv AS (SELECT conv_id, turn_group, {piv} FROM p GROUP BY conv_id, turn_group),
+sig AS (SELECT conv_id, turn_group, CASE WHEN {error} IS NULL THEN 'success' ELSE 'error' END AS status, {error} AS error,
                CASE WHEN {error} IS NULL THEN {Q.verdict('alignment_a', 'alignment_b', 'names_distinct', sim)} END AS verdict,
                CASE WHEN {error} IS NULL THEN alignment_a END AS alignment_a,
                CASE WHEN {error} IS NULL THEN alignment_b END AS alignment_b,
@@ -365,28 +366,28 @@ sig AS (SELECT conv_id, CASE WHEN {error} IS NULL THEN 'success' ELSE 'error' EN
 
 
 @register("verdicts", "P16 P17 L2", _conv_signals_sql() + """
-SELECT conv_id, status, error, verdict, alignment_a, alignment_b, names_distinct, defs_too_similar FROM sig
+SELECT conv_id, turn_group, status, error, verdict, alignment_a, alignment_b, names_distinct, defs_too_similar FROM sig
 """)
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conv_signals(spark, sf_dir).select("conv_id", "status", "error", "verdict", "alignment_a", "alignment_b",
+    return _conv_signals(spark, sf_dir).select("conv_id", "turn_group", "status", "error", "verdict", "alignment_a", "alignment_b",
                                               "names_distinct", "defs_too_similar")
 
 
 @register("terms_to_fix", "P18", _conv_signals_sql() + f"""
-SELECT conv_id, 'A' AS term FROM sig WHERE status = 'success' AND ((verdict = {Q.q(fv.MISALIGNMENT)} AND NOT alignment_a)
+SELECT conv_id, turn_group, 'A' AS term FROM sig WHERE status = 'success' AND ((verdict = {Q.q(fv.MISALIGNMENT)} AND NOT alignment_a)
                                                            OR verdict = {Q.q(fv.DEFINITION_INSUFFICIENT)})
 UNION ALL
-SELECT conv_id, 'B' FROM sig WHERE status = 'success' AND ((verdict = {Q.q(fv.MISALIGNMENT)} AND NOT alignment_b)
+SELECT conv_id, turn_group, 'B' FROM sig WHERE status = 'success' AND ((verdict = {Q.q(fv.MISALIGNMENT)} AND NOT alignment_b)
                                                         OR verdict = {Q.q(fv.DEFINITION_INSUFFICIENT)})
 """)
 def terms_to_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _conv_signals(spark, sf_dir).filter(F.col("status") == "success")
     terms = T.terms_to_fix_expr("alignment_a", "alignment_b", "names_distinct", "defs_too_similar")
-    return s.select("conv_id", F.explode(terms).alias("term"))
+    return s.select("conv_id", "turn_group", F.explode(terms).alias("term"))
 
 
 @register("verdict_extract", "P19", _conv_signals_sql() + f"""
-SELECT conv_id, {Q.extract_verdict('verdict')} AS verdict FROM sig
+SELECT conv_id, turn_group, {Q.extract_verdict('verdict')} AS verdict FROM sig
 """)
 def verdict_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conv_signals(spark, sf_dir).select("conv_id", T.extract_verdict("verdict").alias("verdict"))
+    return _conv_signals(spark, sf_dir).select("conv_id", "turn_group", T.extract_verdict("verdict").alias("verdict"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import fixed_values as fv
-from ..functions.text import UNICODE_SPACE_CLASS, chemical_regex
+from ..functions.text import UNICODE_SPACE_CLASS
 
 
 def q(s: str) -> str:
@@ -24,7 +24,8 @@ def ref(name: str, ident: str) -> str:
 
 
 def is_chemical(expr: str) -> str:
-    return f"regexp_matches(lower(coalesce({expr}, '')), {q(chemical_regex())})"
+    stems = ", ".join(q(s) for s in fv.CHEMICAL_STEMS)
+    return f"(len(list_filter([{stems}], lambda stem: contains(lower(coalesce({expr}, '')), stem))) > 0)"
 
 
 def in_list(expr: str, values: list[str]) -> str:

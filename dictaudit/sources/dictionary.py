@@ -153,7 +153,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def _xml_escape(c):
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
 
 
 def write_dictionary_xml(entries: DataFrame, path: str, mode: str = "classes", row_tag: str = "ontoml:class",

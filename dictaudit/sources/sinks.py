@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .dictionary import path_exists
 
 
@@ -39,12 +40,12 @@ def append_and_summarise(spark: SparkSession, new_rows: DataFrame, path: str, ke
 
 def store_embeddings(spark: SparkSession, vectors: DataFrame, path: str) -> DataFrame:
     """Add vectors for texts not yet stored (left-anti join on text), so a re-run embeds only
-    what is missing. Returns the rows written."""
+what is missing. Returns the rows written, read back from shared storage, so that using them
+    runs the model no second time."""
     if path_exists(spark, path):
         have = spark.read.parquet(path).select("text")
-        new = vectors.join(have, "text", "left_anti")
-    else:
-        new = vectors
+        vectors = vectors.join(have, "text", "left_anti")
+    new = materialize(vectors, "new-vectors")
     write_table(new, path, None, "parquet", mode="append")
     return new
 

@@ -88,3 +88,24 @@ def test_audit_equals_sequential_statement(spark, candidates):
     assert got == want
     assert len(want) >= 10
     assert {v[3] for v in want.values()} == {"success", "error"} or len({v[0] for v in want.values()}) >= 2
+
+
+def test_repeated_pair_and_two_models(spark):
+    """A pair that occurs twice and pairs of two models keep every row, each asked once."""
+    rows = [(m, "p1", "bolt", "a threaded pin", "screw", "a threaded rod") for m in ("m1", "m1", "m2")]
+    pairs = spark.createDataFrame(rows, "model string, pair_id string, name_1 string, def_1 string, name_2 string, def_2 string")
+    backend = A.CallableBackend(lambda system, user, model: "NO, it does not.", n_clients=1)
+    sig = A.audit_signals(pairs, backend)
+    got = sorted((r.model, r.status) for r in sig.collect())
+    assert got == [("m1", "success"), ("m2", "success")]
+    fixes = A.remediation(pairs, sig, backend)
+    assert fixes.groupBy("model", "pair_id", "term").count().where("count > 1").isEmpty()
+    assert {r.model for r in fixes.select("model").distinct().collect()} == {"m1", "m2"}
+
+
+def test_quantiles_of_ties(spark):
+    from dictaudit.operators.similarity import exact_quantiles
+
+    df = spark.range(30000).selectExpr("cast(if(id < 29000, 5, id) as double) x")
+    got = {round(r.p, 2): r.value for r in exact_quantiles(df, "x", [0.25, 0.5, 0.75], accuracy=1000).collect()}
+    assert got == {0.25: 5.0, 0.5: 5.0, 0.75: 5.0}
