@@ -3,10 +3,9 @@
 Every word inside a window of 13 words that also starts in a text with a smaller id goes. Windows
 are the edges of a de Bruijn graph (its nodes are the 12 words that neighbouring windows share).
 Edges that can repeat meet in buckets by their minimizer; there each edge gets its source, the
-smallest id and position at which it occurs. Neighbouring edges of a text that follow each other at
-the source too form a nonbranching path and are compacted; the source coordinates of a path's ends
-verify it as a whole, and edges that leave the path are tested one by one. Paths of different
-buckets are put together by a Spark join of texts and paths.
+smallest id that has it. Neighbouring edges of a super-window with one source go back to the blocks
+as one path, and a block puts the paths of a text together (see ``repeats``). Neither the nodes'
+degrees nor the branches of the graph are computed: whether an edge repeats does not depend on them.
 
 Defined cases: null has no words; a null id neither removes nor loses anything; rows with equal ids
 are one document (equal texts are expected) and each gets its result row; an empty table gives an
@@ -37,28 +36,18 @@ def _edges(unit: np.ndarray, begin: np.ndarray, n: np.ndarray):
     """Edge hashes of super-windows of n windows each."""
     edge = ngram_hash(unit, WINDOW)
     shift = np.concatenate([[0], np.cumsum(n)[:-1]])
-    return [(edge[np.repeat(begin - shift, n) + np.arange(n.sum())], n)]
+    return edge[np.repeat(begin - shift, n) + np.arange(n.sum())], n
 
 
-def _solve(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """For every edge of every super-window: does an earlier text have it?"""
+def _solve(doc: np.ndarray, n: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For every edge of every super-window: its source, the smallest id that has it."""
     if not len(doc):
-        return np.zeros(0, bool)
-    of = np.repeat(np.arange(len(n)), n)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    at, own = pos[of] + number, doc[of]
-    # source coordinates of each edge: its first occurrence by id and position
-    order = np.lexsort((at, own, edge))
-    first = np.concatenate([[True], edge[order][1:] != edge[order][:-1]])
-    source = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    src = np.empty(len(edge), np.int64)
-    src[order] = source
-    src_doc, src_at = own[src], at[src]
-    # paths: neighbours in the text that are neighbours at the source
-    follows = (of[1:] == of[:-1]) & (src_doc[1:] == src_doc[:-1]) & (src_at[1:] == src_at[:-1] + 1)
-    lead = np.flatnonzero(np.concatenate([[True], ~follows]))
-    length = np.diff(np.append(lead, len(edge)))
-    return np.repeat(src_doc[lead] < own[lead], length)  # one test per path
+        return np.zeros(0, np.int64)
+    own = np.repeat(doc, n)
+    _, of = np.unique(edge, return_inverse=True)
+    least = np.full(int(of.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, of, own)
+    return least[of]
 
 
 def _finish(data, offsets, starts, ends):
@@ -82,7 +71,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row: id, n_words, spans (maximal removed word ranges [start, end)) and the kept
     words joined by single spaces."""
     rows, blocks = blocked(docs, id_col, text_col, block_bytes)
-    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _edges, (np.uint64,), _solve)
+    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _edges, np.uint64, _solve)
     return with_ranges(rows, ranges, blocks, _finish, FIELDS)
 
 

@@ -3,13 +3,19 @@
 Every window (w consecutive units: bytes or words) has a minimizer, the leftmost smallest hash of the
 m-unit strings inside it. Equal windows have equal minimizers at equal offsets, so consecutive
 windows with one minimizer (a super-window) go to the bucket of its hash, and all occurrences of a
-window meet there. Two packed exchanges keep the volume near the repeated part of the corpus:
-
-1. ``anchors``: all minimizers (4 bytes of hash inside a key range, id, position). A key range
-   answers with the anchors that two different texts share; equal texts collapse to the smallest id.
-2. ``super-windows`` of shared anchors only.
-
-Texts are dealt into blocks by their id; each answer goes to the block of its text.
+window meet there. Texts are dealt into blocks by a hash of id and text, and a block sends each
+distinct thing once, so a key has at most one entry a block however many texts hold it:
+
+1. ``anchors``: distinct minimizers (4 bytes of hash inside a key range, a text fingerprint, the
+   number of occurrences). A key range answers each block with its minimizers that two different
+   texts share, and with which of them are hot.
+2. ``pieces`` of shared anchors only: each distinct super-window with the smallest and the largest id
+   that the block has it in. The edges of a passage that many texts share give a super-window a text,
+   all with one minimizer; so the windows of a hot minimizer are pieces of their own, in the bucket of
+   the window's own hash. The answer is the smallest id of each window; the block, which keeps where
+   its super-windows occur, marks its texts.
+
+A bucket thus holds, of one key, at most ``HOT`` super-windows or one window a block.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +32,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from dictaudit.session import materialize
 
-from .textscan import text_slices
+from .textscan import _power_table, mix, prefix_hash, range_hash, text_slices
 
 BLOCK_BYTES = 8 << 20
+HOT = 4096  # a minimizer with more occurrences is hot: its windows are routed one by one
 POSITION_BITS = np.uint64(30)  # a text has fewer than 2**30 units
 _MASK = np.uint64((1 << 30) - 1)
 
@@ -51,17 +59,14 @@ def window_anchors(unit: np.ndarray, row: np.ndarray, gram: np.ndarray, window:
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES,
             keep: bool = False) -> tuple[DataFrame, int]:
-    """doc_id, text and block (null id: block 0), and the number of blocks: a prime, so that the
-    remainder of the id deals evenly also ids with a common factor. ``keep`` carries all other columns
-    in a struct ``row``."""
+    """doc_id, text and block (by a hash of id and text), and the number of blocks. ``keep`` carries
+    all other columns in a struct ``row``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("row")] if keep else []))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(2, -(-size // block_bytes))
-    while any(blocks % k == 0 for k in range(2, int(blocks ** 0.5) + 1)):
-        blocks += 1
-    return rows.withColumn("block", F.coalesce(F.pmod("doc_id", F.lit(blocks).cast("long")), F.lit(0).cast("long"))), blocks
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long"))), blocks
 
 
 def _packed(part, columns, parts, kinds):
@@ -82,137 +87,235 @@ def _part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def _code(key: np.ndarray, parts: int) -> np.ndarray:
+    """Key range and 32 bits of each minimizer as one number."""
+    return (_part_of(key, parts) << 32) | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _content(unit: np.ndarray) -> np.ndarray:
+    """Prefix sums from which range_hash gets the hash of any range of units."""
+    if unit.dtype == np.uint8:
+        return prefix_hash(unit)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(unit) * _power_table("up", len(unit)))])
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    """First index of each run of equal elements."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+
+
+def _meet(key: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal elements."""
+    lo, hi = np.searchsorted(ordered, key), np.searchsorted(ordered, key, side="right")
+    n = hi - lo
+    return np.repeat(np.arange(len(key)), n), np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+OCCURRENCE, LEAST, LINK, RANGE = range(4)  # kinds of rows that go to a block
+TO_BLOCK = "block long, kind int, doc binary, start binary, end binary"
+
+
 def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int, m: int, pack: Callable,
-                     kinds: tuple, solve: Callable) -> DataFrame:
-    """(block, doc, start, end) of covered unit ranges of the texts in ``docs`` (see blocked()).
+                     kind, solve: Callable) -> DataFrame:
+    """What the blocks of ``docs`` (see blocked()) need to mark covered unit ranges (see with_ranges()).
 
     ``units(data, offsets) -> (unit, row, gram, first unit of each row)``; ``pack`` turns
-    super-windows into arrays, ``solve`` a bucket's arrays into covered ranges.
+    super-windows into an array of ``kind``, ``solve`` a bucket's arrays into the smallest id that
+    each window occurs in.
     """
     parts = 3 * blocks  # buckets are indexed in memory, so they are smaller than blocks
-    fields = "part long, key binary, doc binary, pos binary, fp binary"
-    arrow = to_arrow_schema(T._parse_datatype_string(fields))
-
-    def anchors(batches):
-        for batch in batches:
-            ids, fps = batch.column(0), batch.column(2)
-            for a, b, data, offsets in text_slices(batch.column(1)):
-                unit, row, gram, first = units(data, offsets)
-                _, at = window_anchors(unit, row, gram, window, m)
-                chosen = np.zeros(len(unit), bool)
-                chosen[at] = True
-                chosen = np.flatnonzero(chosen)
-                chosen = chosen[ids.slice(a, b - a).is_valid().to_numpy(zero_copy_only=False)[row[chosen]]]
-                r, key = row[chosen], gram[chosen]
-                doc = ids.slice(a, b - a).fill_null(0).to_numpy(zero_copy_only=False)[r]
-                yield pa.RecordBatch.from_arrays(_packed(
-                    _part_of(key, blocks), [key & np.uint64(0xFFFFFFFF), doc, chosen - first[r],
-                                            fps.slice(a, b - a).to_numpy()[r]],
-                    blocks, (np.uint32, np.int64, np.int32, np.int64)), schema=arrow)
+    hot_rows = HOT
+    docs = docs.where("doc_id is not null")
+
+    def anchors(t: pa.Table) -> pa.Table:
+        fps, codes, texts = t.column("fp").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b, data, offsets in text_slices(t.column("text")):
+            unit, row, gram, _ = units(data, offsets)
+            _, at = window_anchors(unit, row, gram, window, m)
+            chosen = np.zeros(len(unit), bool)
+            chosen[at] = True
+            chosen = np.flatnonzero(chosen)
+            codes.append(_code(gram[chosen], blocks))
+            texts.append(fps[a:b][row[chosen]])
+        code, fp = np.concatenate(codes), np.concatenate(texts)
+        order = np.argsort(code)
+        code, fp = code[order], fp[order]
+        start = _starts(code)
+        if not len(start):
+            return pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())],
+                            names=["part", "block", "key", "fp", "count"])
+        least = np.minimum.reduceat(fp, start)
+        count = 2 * np.diff(np.append(start, len(code))) + (least < np.maximum.reduceat(fp, start))
+        cols = _packed(code[start] >> 32, [code[start] & 0xFFFFFFFF, least, count], blocks, (np.uint32, np.int64, np.uint32))
+        return pa.Table.from_arrays([cols[0], pa.array([t.column("block")[0].as_py()] * len(cols[0]), pa.int64()), *cols[1:]],
+                                    ["part", "block", "key", "fp", "count"])
 
     def shared(t: pa.Table) -> pa.Table:
-        key, doc, pos, fp = (_unpacked(t, c, k) for c, k in (
-            ("key", np.uint32), ("doc", np.int64), ("pos", np.int32), ("fp", np.int64)))
-        # equal texts: the smallest id answers for all
-        order = np.lexsort((doc, fp, pos, key))
-        key, doc, pos, fp = (x[order] for x in (key, doc, pos, fp))
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (pos[1:] != pos[:-1]) | (fp[1:] != fp[:-1])
-        key, doc, pos = key[first], doc[first], pos[first]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
-        if len(start):
-            several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
-            keep = np.repeat(several, np.diff(np.append(start, len(key))))
-            doc, pos = doc[keep], pos[keep]
-        cols = _packed(doc % blocks, [doc, pos], blocks, (np.int64, np.int32))
-        return pa.Table.from_arrays(cols, ["block", "doc", "pos"])
+        key, fp, count = (_unpacked(t, c, k) for c, k in (("key", np.uint32), ("fp", np.int64), ("count", np.uint32)))
+        block = np.repeat(t.column("block").to_numpy(), [len(x) // 4 for x in t.column("key").to_pylist()])
+        order = np.argsort(key, kind="stable")
+        key, fp, count, block = key[order], fp[order], count[order].astype(np.int64), block[order]
+        start = _starts(key)
+        # equal texts have equal fingerprints: they count as one (see copies())
+        several = (np.minimum.reduceat(fp, start) < np.maximum.reduceat(fp, start)) | (np.maximum.reduceat(count & 1, start) > 0)
+        hot = np.add.reduceat(count >> 1, start) > hot_rows
+        size = np.diff(np.append(start, len(key)))
+        keep, hot = np.repeat(several, size), np.repeat(hot, size)
+        cols = _packed(block[keep], [key[keep], hot[keep]], blocks, (np.uint32, np.uint8))
+        return pa.Table.from_arrays([cols[0], pa.array([t.column("part")[0].as_py()] * len(cols[0]), pa.int64()), *cols[1:]],
+                                    ["block", "part", "key", "hot"])
 
     def sends(texts: pa.Table, answer: pa.Table) -> pa.Table:
-        cols = [[] for _ in range(4 + len(kinds))]
-        if len(answer):
-            wanted_doc, wanted_pos = _unpacked(answer, "doc", np.int64), _unpacked(answer, "pos", np.int32)
-            order = np.lexsort((wanted_pos, wanted_doc))
-            wanted_doc, wanted_pos = wanted_doc[order], wanted_pos[order]
-            ids = texts.column("doc_id").combine_chunks()
-            num = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            here = np.searchsorted(wanted_doc, num)
-            there = np.searchsorted(wanted_doc, num, side="right")
-            there[ids.is_null().to_numpy(zero_copy_only=False)] = 0
-            for a, b, data, offsets in text_slices(texts.column("text")):
-                unit, row, gram, first = units(data, offsets)
-                chosen = np.zeros(len(unit) + 1, bool)
-                for r in range(a, b):
-                    if here[r] < there[r]:
-                        at = first[r - a] + wanted_pos[here[r]:there[r]].astype(np.int64)
-                        chosen[np.minimum(at, len(unit))] = True
-                start, at = window_anchors(unit, row, gram, window, m)
-                keep = chosen[at]
-                start, at = start[keep], at[keep]
-                if not len(start):
-                    continue
-                # super-windows: consecutive windows of one minimizer
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
-                lead = np.flatnonzero(new)
-                n = np.diff(np.append(lead, len(start)))
-                begin, r = start[lead], row[start[lead]]
-                key = gram[at[lead]]
-                extra = pack(unit, begin, n)
-                order = np.lexsort((key, _part_of(key, parts)))
-                part = _part_of(key, parts)[order]
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                fixed = [num[a + r][order], (begin - first[r])[order].astype(np.int32), n[order].astype(np.int32)]
-                packed = pack_cut(extra, order, cut)
-                for p in np.flatnonzero(cut[1:] > cut[:-1]):
-                    s = slice(cut[p], cut[p + 1])
-                    cols[0].append(int(p))
-                    for c, x in zip(cols[1:4], fixed):
-                        c.append(x[s].tobytes())
-                    for c, x in zip(cols[4:], packed):
-                        c.append(x[p])
-        names = ["part", "doc", "pos", "n"] + [f"x{i}" for i in range(len(kinds))]
-        block = texts.column("block")[0].as_py() if len(texts) else 0
-        return pa.table([pa.array(cols[0], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[1:]]
-                        + [pa.array([block] * len(cols[0]), pa.int64())], names=names + ["block"])
-
-    def pack_cut(extra, order, cut):
-        """Extra arrays of super-windows (ragged: values and lengths), as bytes per part."""
-        out = []
-        for values, lengths in extra:
-            ends = np.cumsum(lengths)
-            size = lengths[order]
-            index = np.repeat(ends[order] - size - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            flat = values[index]
-            at = np.concatenate([[0], np.cumsum(size)])[cut]
-            out.append([flat[x:y].tobytes() for x, y in zip(at, at[1:])])
-        return out
+        names = ["part", "block", "doc", "last", "n", "piece", "x"]
+        none = pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 5, names=names)
+        if not len(answer) or not len(texts):
+            return none
+        n_keys = [len(x) for x in answer.column("hot").to_pylist()]
+        wanted = np.repeat(answer.column("part").to_numpy(), n_keys) << 32 | _unpacked(answer, "key", np.uint32).astype(np.int64)
+        is_hot = _unpacked(answer, "hot", np.uint8).astype(bool)
+        order = np.argsort(wanted)
+        wanted, is_hot = wanted[order], is_hot[order]
+        ids = texts.column("doc_id").to_numpy()
+        found = {c: [] for c in ("doc", "pos", "name", "whole", "whole_hot", "link_whole", "link_at", "link_piece",
+                                 "piece", "route", "n", "size", "x")}
+        for a, b, data, offsets in text_slices(texts.column("text")):
+            unit, row, gram, first = units(data, offsets)
+            start, at = window_anchors(unit, row, gram, window, m)
+            # super-windows: consecutive windows of one minimizer
+            lead = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])[:len(start)])
+            begin, n, key = start[lead], np.diff(np.append(lead, len(start))), gram[at[lead]]
+            code = _code(key, blocks)
+            k = np.searchsorted(wanted, code).clip(0, len(wanted) - 1)
+            keep = wanted[k] == code
+            begin, n, key, hot = begin[keep], n[keep], key[keep], is_hot[k[keep]]
+            if not len(begin):
+                continue
+            content = _content(unit)
+            name = range_hash(content, begin, begin + n + window - 1)
+            found["doc"].append(ids[a:b][row[begin]])
+            found["pos"].append(begin - first[row[begin]])
+            found["name"].append(name)
+            # each distinct super-window once, and of a hot minimizer each distinct window
+            whole, one = np.unique(name, return_index=True)
+            begin, n, key, hot = begin[one], n[one], key[one], hot[one]
+            found["whole"].append(whole)
+            found["whole_hot"].append(hot)
+            of = np.repeat(np.flatnonzero(hot), n[hot])
+            shift = np.arange(len(of)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            single = begin[of] + shift
+            window_name = range_hash(content, single, single + window)
+            found["link_whole"].append(whole[of])
+            found["link_at"].append(shift)
+            found["link_piece"].append(window_name)
+            hot_piece, one = np.unique(window_name, return_index=True)
+            begin = np.concatenate([begin[~hot], single[one]])
+            n = np.concatenate([n[~hot], np.ones(len(one), np.int64)])
+            found["piece"].append(np.concatenate([whole[~hot], hot_piece]))
+            found["route"].append(_part_of(np.concatenate([key[~hot], hot_piece]), parts))
+            found["n"].append(n)
+            values, size = pack(unit, begin, n)
+            found["x"].append(values)
+            found["size"].append(size)
+        if not found["doc"]:
+            return none
+        f = {c: np.concatenate(v) for c, v in found.items()}
+        # numbers follow the hashes, so that a task that runs again gives the same
+        whole, one = np.unique(f["whole"], return_index=True)
+        whole_hot = f["whole_hot"][one]
+        piece, one = np.unique(f["piece"], return_index=True)
+        at = np.searchsorted(whole, f["name"])
+        lo, hi = np.full(len(whole), np.iinfo(np.int64).max), np.full(len(whole), np.iinfo(np.int64).min)
+        np.minimum.at(lo, at, f["doc"])
+        np.maximum.at(hi, at, f["doc"])
+        link = np.unique(np.stack([np.searchsorted(piece, f["link_piece"]), np.searchsorted(whole, f["link_whole"]),
+                                   f["link_at"]], 1), axis=0) if len(f["link_at"]) else np.zeros((0, 3), np.int64)
+        first, last = np.full(len(piece), np.iinfo(np.int64).max), np.full(len(piece), np.iinfo(np.int64).min)
+        np.minimum.at(first, link[:, 0], lo[link[:, 1]])
+        np.maximum.at(last, link[:, 0], hi[link[:, 1]])
+        alone = np.searchsorted(piece, whole[~whole_hot])
+        first[alone], last[alone] = lo[~whole_hot], hi[~whole_hot]
+        # a piece that is a whole super-window has its number, other pieces come after them
+        number = len(whole) + np.arange(len(piece))
+        number[alone] = np.flatnonzero(~whole_hot)
+        route = f["route"][one]
+        order = np.argsort(route, kind="stable")
+        cut = np.searchsorted(route[order], np.arange(parts + 1))
+        block = texts.column("block")[0].as_py()
+        n = f["n"][one]
+        size = f["size"][one][order]
+        ends = np.cumsum(f["size"])[one][order]
+        index = np.repeat(ends - np.cumsum(size), size) + np.arange(size.sum())
+        flat, flat_cut = f["x"][index], np.concatenate([[0], np.cumsum(size)])[cut]
+        cols = [[] for _ in names]
+        for p in np.flatnonzero(cut[1:] > cut[:-1]):
+            o = order[cut[p]:cut[p + 1]]
+            for c, x in zip(cols, (int(p), block, first[o].tobytes(), last[o].tobytes(), n[o].astype(np.int32).tobytes(),
+                                   number[o].astype(np.int32).tobytes(), flat[flat_cut[p]:flat_cut[p + 1]].tobytes())):
+                c.append(x)
+        # what stays with the block travels as a group of its own
+        for k, x in ((OCCURRENCE, (f["doc"], f["pos"], at)), (LINK, (number[link[:, 0]], link[:, 1], link[:, 2]))):
+            for c, y in zip(cols, (parts + block, block, x[0].tobytes(), b"", x[1].astype(np.int32).tobytes(),
+                                   x[2].astype(np.int32).tobytes(), bytes([k]))):
+                c.append(y)
+        return pa.table([pa.array(c, pa.int64()) for c in cols[:2]] + [pa.array(c, pa.binary()) for c in cols[2:]], names=names)
 
     def bucket(t: pa.Table) -> pa.Table:
-        n_rows = [len(x) // 8 for x in t.column("doc").to_pylist()]
-        block = np.repeat(t.column("block").to_numpy(), n_rows)
-        doc, pos, n = _unpacked(t, "doc", np.int64), _unpacked(t, "pos", np.int32).astype(np.int64), _unpacked(t, "n", np.int32).astype(np.int64)
-        extra = [_unpacked(t, f"x{i}", k) for i, k in enumerate(kinds)]
-        # hit: for every window of every super-window, whether an earlier text has it
-        hit = solve(doc, pos, n, *extra)
-        ends = np.cumsum(n)
+        fields = ["block", "kind", "doc", "start", "end"]
+        if t.column("part")[0].as_py() >= parts:
+            kinds = pa.array([x[0] for x in t.column("x").to_pylist()], pa.int32())
+            return pa.table([t.column("block"), kinds, t.column("doc"), t.column("n"), t.column("piece")], names=fields)
+        block = np.repeat(t.column("block").to_numpy(), [len(x) // 8 for x in t.column("doc").to_pylist()])
+        doc, last = _unpacked(t, "doc", np.int64), _unpacked(t, "last", np.int64)
+        n, piece = _unpacked(t, "n", np.int32).astype(np.int64), _unpacked(t, "piece", np.int32)
+        least = solve(doc, n, _unpacked(t, "x", kind))
         of = np.repeat(np.arange(len(n)), n)
-        start = pos[of] + np.arange(n.sum()) - (ends - n)[of]
-        of, start = of[hit], start[hit]
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)])[:len(of)]
-        lead = np.flatnonzero(new)
-        length = np.diff(np.append(lead, len(of))) + window - 1
-        of, start = of[lead], start[lead]
-        cols = _packed(block[of], [doc[of], start, start + length], int(block.max(initial=0)) + 1, (np.int64, np.int32, np.int32))
-        return pa.Table.from_arrays(cols, ["block", "doc", "start", "end"])
-
-    scanned = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    found = (scanned.mapInArrow(anchors, fields).repartition(blocks, "part").groupBy("part")
-             .applyInArrow(shared, "block long, doc binary, pos binary"))
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        hit = least < last[of]
+        least, of, at = least[hit], of[hit], at[hit]
+        # consecutive windows with one answer
+        lead = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])])[:len(of)])
+        end = at[lead] + np.diff(np.append(lead, len(of))) + window - 1
+        of = of[lead]
+        cols = _packed(block[of], [least[lead], piece[of], at[lead] << 16 | end], blocks, (np.int64, np.int32, np.int32))
+        return pa.table([cols[0], pa.array([LEAST] * len(cols[0]), pa.int32()), *cols[1:]], names=fields)
+
+    dealt = docs.select("doc_id", "text", "block")
+    found = (dealt.withColumn("fp", F.xxhash64("text")).repartition(blocks, "block").groupBy("block")
+             .applyInArrow(anchors, "part long, block long, key binary, fp binary, count binary")
+             .repartition(blocks, "part").groupBy("part").applyInArrow(shared, "block long, part long, key binary, hot binary"))
     found = materialize(found, "repeat-anchors")
-    extra_fields = "".join(f", x{i} binary" for i in range(len(kinds)))
-    sent = (docs.select("doc_id", "text", "block").repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block"))
-            .applyInArrow(sends, f"part long, doc binary, pos binary, n binary{extra_fields}, block long"))
-    return materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
-        bucket, "block long, doc binary, start binary, end binary"), "repeat-ranges")
+    sent = (dealt.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block"))
+            .applyInArrow(sends, "part long, block long, doc binary, last binary, n binary, piece binary, x binary"))
+    return materialize(sent.repartition(parts + blocks, "part").groupBy("part").applyInArrow(bucket, TO_BLOCK), "repeat-ranges")
+
+
+def _marked(answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the covered ranges of a block."""
+    def of(kind):
+        t = answer.filter(pc.equal(answer.column("kind"), kind))
+        return (_unpacked(t, "doc", np.int64), _unpacked(t, "start", np.int32).astype(np.int64),
+                _unpacked(t, "end", np.int32).astype(np.int64))
+
+    doc, pos, whole = of(OCCURRENCE)
+    least, piece, span = of(LEAST)
+    link_piece, link_whole, link_at = of(LINK)
+    order = np.argsort(link_piece, kind="stable")
+    link_piece, link_whole, link_at = link_piece[order], link_whole[order], link_at[order]
+    # answers to the windows of hot minimizers, moved to the super-windows that hold them
+    run, link = _meet(piece, link_piece)
+    own = ~np.isin(piece, link_piece)
+    least = np.concatenate([least[own], least[run]])
+    at = np.concatenate([span[own] >> 16, (span[run] >> 16) + link_at[link]])
+    end = np.concatenate([span[own] & 0xFFFF, (span[run] & 0xFFFF) + link_at[link]])
+    piece = np.concatenate([piece[own], link_whole[link]])
+    order = np.argsort(whole, kind="stable")
+    doc, pos, whole = doc[order], pos[order], whole[order]
+    run, here = _meet(piece, whole)
+    later = least[run] < doc[here]
+    run, here = run[later], here[later]
+    copy, copy_start, copy_end = of(RANGE)
+    return (np.concatenate([doc[here], copy]), np.concatenate([pos[here] + at[run], copy_start]),
+            np.concatenate([pos[here] + end[run], copy_end]))
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -225,25 +328,26 @@ def copies(docs: DataFrame) -> DataFrame:
         for t in batches:
             block, doc = t.column("block").to_numpy(), t.column("doc_id").to_numpy()
             if len(block):
-                yield pa.RecordBatch.from_arrays(_packed(
-                    block, [doc, np.zeros(len(doc)), np.full(len(doc), np.iinfo(np.int32).max)], int(block.max()) + 1,
-                    (np.int64, np.int32, np.int32)), ["block", "doc", "start", "end"])
+                cols = _packed(block, [doc, np.zeros(len(doc)), np.full(len(doc), np.iinfo(np.int32).max)], int(block.max()) + 1,
+                               (np.int64, np.int32, np.int32))
+                yield pa.RecordBatch.from_arrays([cols[0], pa.array([RANGE] * len(cols[0]), pa.int32()), *cols[1:]],
+                                                 ["block", "kind", "doc", "start", "end"])
 
-    return later.mapInArrow(run, "block long, doc binary, start binary, end binary")
+    return later.mapInArrow(run, TO_BLOCK)
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame, blocks: int, finish: Callable, fields: str) -> DataFrame:
     """``finish(data, offsets, starts, ends) -> columns`` over all texts of a block with their
-    covered ranges (a list of arrays each, ordered by start)."""
+    covered ranges (a list of arrays each, ordered by start). Rows without id have none and are not
+    dealt into blocks."""
     carried = [f for f in docs.schema if f.name == "row"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *carried, *T._parse_datatype_string(fields).fields])
     arrow = to_arrow_schema(schema)
 
     def run(texts: pa.Table, answer: pa.Table) -> pa.Table:
-        doc, start, end = (_unpacked(answer, "doc", np.int64), _unpacked(answer, "start", np.int32),
-                           _unpacked(answer, "end", np.int32))
+        doc, start, end = _marked(answer)
         order = np.lexsort((start, doc))
-        doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+        doc, start, end = doc[order], start[order], end[order]
         ids = texts.column("doc_id").combine_chunks()
         num = ids.fill_null(0).to_numpy(zero_copy_only=False)
         lo, hi = np.searchsorted(doc, num), np.searchsorted(doc, num, side="right")
@@ -256,8 +360,15 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, blocks: int, finish: Callabl
                 kept + [pa.array(c, f.type) for c, f in zip(cols, list(arrow)[len(kept):], strict=True)], schema=arrow))
         return pa.concat_tables(out) if out else arrow.empty_table()
 
-    return docs.repartition(blocks, "block").groupBy("block").cogroup(
+    nothing = to_arrow_schema(T._parse_datatype_string(TO_BLOCK)).empty_table()
+
+    def unmarked(batches):
+        for batch in batches:
+            yield from run(pa.Table.from_batches([batch]), nothing).to_batches()
+
+    dealt = docs.where("doc_id is not null").repartition(blocks, "block").groupBy("block").cogroup(
         ranges.union(copies(docs)).repartition(blocks, "block").groupBy("block")).applyInArrow(run, schema)
+    return dealt.union(docs.where("doc_id is null").mapInArrow(unmarked, schema))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray, size: int, window: int) -> np.ndarray:

@@ -41,7 +41,7 @@ def _strings(data: np.ndarray, begin: np.ndarray, n: np.ndarray):
     """The bytes of super-windows of n windows each."""
     size = n + WINDOW - 1
     shift = np.concatenate([[0], np.cumsum(size)[:-1]])
-    return [(data[np.repeat(begin - shift, size) + np.arange(size.sum())], size)]
+    return data[np.repeat(begin - shift, size) + np.arange(size.sum())], size
 
 
 class RunLengthIndex:
@@ -117,10 +117,10 @@ class RunLengthIndex:
         return np.searchsorted(self.stretch_start, row, side="right") - 1
 
 
-def _solve(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For every window of every super-window: does an earlier text have it?"""
+def _solve(doc: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """For every window of every super-window: the smallest id that has it."""
     if not len(doc):
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     size = n + WINDOW - 1
     ends = np.cumsum(size)
     # each distinct string once; its key has its hash and length
@@ -154,7 +154,7 @@ def _solve(doc: np.ndarray, pos: np.ndarray, n: np.ndarray, data: np.ndarray) ->
     met = stretch[base[of[of_window]] + number]
     least = np.full(len(index.stretch_start), np.iinfo(np.int64).max)
     np.minimum.at(least, met, doc[of_window])
-    return least[met] < doc[of_window]
+    return least[met]
 
 
 def _finish(data, offsets, starts, ends):
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row: id, n_bytes, spans (maximal removed byte ranges [start, end)) and the kept bytes."""
     rows, blocks = blocked(docs, id_col, text_col, block_bytes)
-    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _strings, (np.uint8,), _solve)
+    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _strings, np.uint8, _solve)
     return with_ranges(rows, ranges, blocks, _finish, FIELDS)
 
 
@@ -181,7 +181,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """All rows and columns of docs with the repeats cut from the text; characters that a cut leaves
     in pieces go too. A null text becomes empty."""
     rows, blocks = blocked(docs, id_col, text_col, block_bytes, keep=True)
-    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _strings, (np.uint8,), _solve)
+    ranges = repeated_windows(rows, blocks, _units, WINDOW, ANCHOR, _strings, np.uint8, _solve)
 
     def finish(data, offsets, starts, ends):
         return [[k.decode("utf-8", "ignore") for k in _finish(data, offsets, starts, ends)[2]]]

@@ -288,3 +288,42 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id: r.decoded_sha256 for r in P.run(spark, str(tmp_path)).collect()}
     # the decoder gives blanks for space marks, which these texts do not have after the first stage
     assert got == want
+
+
+def hot_docs():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(30)
+    rows = [(1000 - i, f"{prose(15)} {passage} {prose(15)}") for i in range(900)]
+    return rows + [(None, passage), (2000, passage), (2001, passage[3:] + " end")]
+
+
+@pytest.mark.parametrize("module,limit", [("suffix_dedup", 600), ("debruijn_dedup", 600)])
+def test_a_common_passage_does_not_fill_a_bucket(spark, monkeypatch, module, limit):
+    """A passage in all texts: no bucket gets as many strings as there are texts, and the result is whole."""
+    import importlib
+
+    from dictaudit.llm import repeats
+
+    m = importlib.import_module(f"dictaudit.llm.{module}")
+    plain_solve = m._solve
+
+    def checked(doc, *rest):
+        if len(doc) > limit:
+            raise ValueError(f"{len(doc)} strings in one bucket")
+        return plain_solve(doc, *rest)
+
+    monkeypatch.setattr(m, "_solve", checked)
+    monkeypatch.setattr(repeats, "HOT", 20, raising=False)
+    rows = hot_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id): r.kept for r in m.remove_repeats(df, block_bytes=12000).collect()}
+    byte = module == "suffix_dedup"
+    split = (lambda t: t.encode()) if byte else (lambda t: SPACE.findall(t.encode()))
+    named = [(i, split(t)) for i, t in sorted(r for r in rows if r[0] is not None)]
+    want = uncovered(named, 50 if byte else 13)
+    for i, u in named:
+        kept = [x for x, h in zip(u, want[i]) if not h]
+        assert (bytes(got[i]) == bytes(kept)) if byte else (got[i].encode() == b" ".join(kept))
+    assert len(got[None]) == len(rows[900][1])
