@@ -6,12 +6,12 @@ fewest phrases, weighted by the bits of a phrase (log2 of the sample's length),
 
 The sample is bounded by documented parameters: at most ``texts_per_lang`` labelled rows of each
 language (those with the smallest hash of their id) and ``symbols_per_lang`` symbols of them. The
-sample travels by broadcast (languages x symbols); tasks build the automata as one dense table and
+sample travels by broadcast (languages x symbols); tasks build the automata as one table and
 step through many texts and all languages at once. Whole texts are parsed, in segments of
 ``SEGMENT`` symbols (phrases do not cross segment borders, for no language).
 
-Symbols: letters in lower case; a run of anything else counts as one blank; letters beyond the
-``MAX_LETTERS`` most frequent of the samples match nothing.
+Symbols: letters in lower case; a run of anything else counts as one blank. Every letter of a
+language's sample has a code in that language; only letters that its sample lacks match nothing there.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0; without labelled rows
 every text does; ties go to the first language in alphabetic order; an empty table gives an empty
@@ -21,8 +21,6 @@ the winner when each language weighs 2 to the minus its bits per text.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +29,8 @@ from .apply import per_text
 
 TEXTS_PER_LANG = 48
 SYMBOLS_PER_LANG = 24_000
-MAX_LETTERS = 250
 SEGMENT = 1024
+DENSE = 64  # symbols of a language that have a column of their own
 UNKNOWN = "und"
 
 
@@ -53,15 +51,14 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Alphabet:
-    """Symbol codes: 0 blank, 1.. letters by frequency, the last one any other letter."""
+    """Symbol codes: 0 blank, 1.. the letters of all samples, the last one any other letter."""
 
     def __init__(self, samples: dict[str, str]):
-        seen = Counter(c for s in samples.values() for c in s.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
+        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
         code = {c: i + 1 for i, c in enumerate(letters)}
         self.other = len(letters) + 1
         self.size = len(letters) + 2
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -114,29 +111,57 @@ def suffix_automaton(symbols: np.ndarray) -> list[dict[int, int]]:
 
 
 class Parser:
-    """Automata of all languages as one table of ``state * alphabet + symbol -> state`` (0: none)."""
+    """Automata of all languages as one sparse table. Each language numbers the letters of its own sample;
+    a state's arcs are a row of a dense table for the language's ``DENSE`` most frequent symbols and
+    entries of a sorted list of ``state * alphabet + symbol`` for the rest (0: no arc)."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         self.alphabet = Alphabet(samples)
-        size, parts, self.root, self.bits, base = self.alphabet.size, [], [], [], 1
-        for lang in self.langs:
+        parts, self.root, self.bits, base = [], [], [], 1
+        size = self.alphabet.size
+        # the column of each symbol in each language; DENSE: in the list
+        self.column = np.full((len(self.langs), size), DENSE, np.int32)
+        arc_key, arc_to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        self.restart = np.zeros((len(self.langs), size), np.int32)
+        for k, lang in enumerate(self.langs):
             codes, _ = self.alphabet.codes(samples[lang].encode())
             codes, _ = collapse(codes, np.zeros(len(codes), np.int64))
-            go = suffix_automaton(codes[codes != self.alphabet.other])
-            table = np.zeros((len(go), size), np.int32)
-            for s, arcs in enumerate(go):
-                for c, t in arcs.items():
-                    table[s, c] = base + t
+            seen = np.bincount(codes, minlength=size)
+            frequent = np.argsort(-seen, kind="stable")[:DENSE]
+            self.column[k, frequent] = np.arange(len(frequent))
+            go = suffix_automaton(codes)
+            arcs = np.array([(s, c, t) for s, a in enumerate(go) for c, t in a.items()], np.int64).reshape(-1, 3)
+            table = np.zeros((len(go), DENSE + 1), np.int32)
+            column = self.column[k, arcs[:, 1]]
+            near = column < DENSE
+            table[arcs[near, 0], column[near]] = base + arcs[near, 2]
             parts.append(table)
+            arc_key.append((base + arcs[~near, 0]) * size + arcs[~near, 1])
+            arc_to.append((base + arcs[~near, 2]).astype(np.int32))
+            at_root = arcs[arcs[:, 0] == 0]
+            self.restart[k] = base
+            self.restart[k, at_root[:, 1]] = base + at_root[:, 2]
             self.root.append(base)
             self.bits.append(np.log2(max(len(codes), 2)))
             base += len(go)
-        none = np.zeros((1, size), np.int32)
-        self.go = np.concatenate([none, *parts]).ravel()
+        self.go = np.concatenate([np.zeros((1, DENSE + 1), np.int32), *parts]).ravel()
+        key, to = np.concatenate(arc_key), np.concatenate(arc_to)
+        order = np.argsort(key)
+        self.arc_key, self.arc_to = key[order], to[order]
         self.root, self.bits = np.array(self.root, np.int32), np.array(self.bits)
-        at_root = self.go.reshape(-1, size)[self.root]  # languages x symbols
-        self.restart = np.where(at_root > 0, at_root, self.root[:, None]) if len(self.langs) else at_root
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The state after one symbol, for all languages and texts (0: no arc)."""
+        column = self.column[:, c]
+        to = self.go[state.astype(np.int64) * (DENSE + 1) + column]
+        if len(self.arc_key):
+            rare = column == DENSE
+            if rare.any():
+                key = (state.astype(np.int64) * self.alphabet.size + c)[rare]
+                at = np.searchsorted(self.arc_key, key).clip(0, len(self.arc_key) - 1)
+                to[rare] = np.where(self.arc_key[at] == key, self.arc_to[at], 0)
+        return to
 
     def phrases(self, codes: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
         """Phrases that each language needs for each row (languages x rows)."""
@@ -155,7 +180,7 @@ class Parser:
             while sizes[active - 1] <= t:
                 active -= 1
             c = codes[starts[:active] + t]
-            to = self.go[state[:, :active] * self.alphabet.size + c]
+            to = self.step(state[:, :active], c)
             miss = to == 0
             count[:, :active] += miss
             state[:, :active] = np.where(miss, self.restart[:, c], to)

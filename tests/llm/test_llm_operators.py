@@ -327,3 +327,19 @@ def test_a_common_passage_does_not_fill_a_bucket(spark, monkeypatch, module, lim
         kept = [x for x, h in zip(u, want[i]) if not h]
         assert (bytes(got[i]) == bytes(kept)) if byte else (got[i].encode() == b" ".join(kept))
     assert len(got[None]) == len(rows[900][1])
+
+
+def test_language_id_with_thousands_of_letters(spark):
+    from dictaudit.llm.langid import identify, sample
+
+    rnd = random.Random(3)
+    kinds = {"ja": range(0x4E00, 0x4E00 + 400), "ko": range(0xAC00, 0xAC00 + 400), "zh": range(0x6E00, 0x6E00 + 1500)}
+    rows = []
+    for lang, letters in kinds.items():
+        words = ["".join(chr(rnd.choice(letters)) for _ in range(3)) for _ in range(600)]
+        rows += [(len(rows) + i, " ".join(rnd.choice(words) for _ in range(200)), lang) for i in range(24)]
+    # a long sample of the language with many letters, a short one of the others
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = df.where("doc_id % 24 < 12").where("lang = 'zh' or doc_id % 24 < 6")
+    got = {r.doc_id: r.lang_pred for r in identify(df, sample(train)).collect()}
+    assert [i for i, _, lang in rows if got[i] != lang] == []
