@@ -4,11 +4,14 @@ Each language has a suffix automaton over a bounded sample of its labelled text.
 greedily into the longest phrases that occur in a language's sample; the language that needs the
 fewest phrases, weighted by the bits of a phrase (log2 of the sample's length), wins.
 
-The sample is bounded by documented parameters: at most ``texts_per_lang`` labelled rows of each
-language (those with the smallest hash of their id) and ``symbols_per_lang`` symbols of them. The
-sample travels by broadcast (languages x symbols); tasks build the automata as one table and
-step through many texts and all languages at once. Whole texts are parsed, in segments of
-``SEGMENT`` symbols (phrases do not cross segment borders, for no language).
+The sample is bounded by documented parameters: ``texts_per_lang`` labelled rows of each language
+(those with the smallest hash of their id) and ``symbols_per_lang`` symbols of them. Each sampled text
+gives an equal share of the symbols, in windows of ``SAMPLE_WINDOW`` symbols spread by hash over the whole
+text; a text shorter than its share gives all it has, and the others share what it leaves. Both
+bounds are reached if the language has that many labelled rows with letters and they have that many symbols. The sample travels by
+broadcast (languages x symbols); tasks build the automata as one table and step through many texts and
+all languages at once. Whole texts are parsed, in segments of ``SEGMENT`` symbols (phrases do not
+cross segment borders, for no language).
 
 Symbols: letters in lower case; a run of anything else counts as one blank. Every letter of a
 language's sample has a code in that language; only letters that its sample lacks match nothing there.
@@ -21,6 +24,8 @@ the winner when each language weighs 2 to the minus its bits per text.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +34,7 @@ from .apply import per_text
 
 TEXTS_PER_LANG = 48
 SYMBOLS_PER_LANG = 24_000
+SAMPLE_WINDOW = 100
 SEGMENT = 1024
 DENSE = 64  # symbols of a language that have a column of their own
 UNKNOWN = "und"
@@ -37,17 +43,52 @@ UNKNOWN = "und"
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            texts_per_lang: int = TEXTS_PER_LANG, symbols_per_lang: int = SYMBOLS_PER_LANG) -> dict[str, str]:
     """Sample text of each language; rows without language or text do not count."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text"))
     rows = (labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
-                            F.substring(F.col(text_col).cast("string"), 1, 4 * symbols_per_lang).alias("text"))
-            .where("lang is not null and text is not null")
-            .withColumn("rank", rank).where(F.col("rank") <= texts_per_lang).collect())
+                            F.col(text_col).cast("string").alias("text"))
+            .where("lang is not null").where(F.col("text").rlike("\\p{L}"))
+            .withColumn("rank", rank).where(F.col("rank") <= texts_per_lang)
+            .select("lang", "rank", _windows(symbols_per_lang)("text").alias("windows")).collect())
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r["rank"])):
-        have = out.get(r.lang, "")
-        if len(have) < symbols_per_lang:
-            out[r.lang] = have + "\n" + r.text
-    return {k: v[:symbols_per_lang + 1] for k, v in out.items()}
+    for lang in sorted({r.lang for r in rows}):
+        texts = [r.windows for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r["rank"])]
+        shares = _shares([sum(map(len, t)) for t in texts], symbols_per_lang)
+        out[lang] = "".join("\n" + w for t, share in zip(texts, shares) for w in _first(t, share))
+    return out
+
+
+def _windows(most: int):
+    """Windows of a text in an order given by a hash of the text and their number, ``most`` symbols at most.
+    Runs of anything but letters count as one symbol, as in the automata."""
+    def cut(text: str) -> list[str]:
+        text = " ".join("".join(c if c.isalpha() else " " for c in text).split())
+        starts = range(0, len(text), SAMPLE_WINDOW)
+        seed = zlib.crc32(text.encode())
+        order = sorted(starts, key=lambda x: (zlib.crc32(b"%d %d" % (seed, x)), x))
+        return _first((text[x:x + SAMPLE_WINDOW] for x in order), most)
+
+    return F.udf(cut, "array<string>")
+
+
+def _first(windows, symbols: int) -> list[str]:
+    """The first windows, up to a number of symbols."""
+    out = []
+    for w in windows:
+        if symbols <= 0:
+            break
+        out.append(w[:symbols])
+        symbols -= len(w)
+    return out
+
+
+def _shares(sizes: list[int], total: int) -> list[int]:
+    """Equal shares of ``total``; what a small text leaves goes to the others."""
+    out = [0] * len(sizes)
+    left = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    for k, i in enumerate(left):
+        out[i] = min(sizes[i], total // (len(left) - k))
+        total -= out[i]
+    return out
 
 
 class Alphabet:

@@ -343,3 +343,17 @@ def test_language_id_with_thousands_of_letters(spark):
     train = df.where("doc_id % 24 < 12").where("lang = 'zh' or doc_id % 24 < 6")
     got = {r.doc_id: r.lang_pred for r in identify(df, sample(train)).collect()}
     assert [i for i, _, lang in rows if got[i] != lang] == []
+
+
+def test_language_sample_is_shared_by_its_texts(spark):
+    from dictaudit.llm.langid import sample
+
+    # every text has letters of its own; some are far longer than the whole sample
+    text = lambda i: chr(0x4E00 + i) * (30_000 if i % 3 == 0 else 900 if i % 3 == 1 else 300)
+    df = spark.createDataFrame([(i, text(i), "xx") for i in range(60)], "doc_id long, text string, lang string")
+    got = Counter(c for c in sample(df)["xx"] if c.isalpha())
+    assert len(got) == 48 and sum(got.values()) == 24_000
+    assert max(got.values()) < 24_000 / 20
+    # windows come from the whole text, not from its beginning
+    halves = spark.createDataFrame([(1, "a" * 200_000 + "b" * 200_000, "xx")], "doc_id long, text string, lang string")
+    assert min(Counter(sample(halves)["xx"])[c] for c in "ab") > 8_000
