@@ -111,7 +111,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int,
         return f
 
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    numbered = items.where("text is not null and item_id is not null").select(
+    numbered = items.where("text is not null").select(
         "item_id", "text").dropDuplicates()
     hashes = per_item(numbered, make)
     block, n_words = [], 0

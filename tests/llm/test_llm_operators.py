@@ -357,3 +357,24 @@ def test_language_sample_is_shared_by_its_texts(spark):
     # windows come from the whole text, not from its beginning
     halves = spark.createDataFrame([(1, "a" * 200_000 + "b" * 200_000, "xx")], "doc_id long, text string, lang string")
     assert min(Counter(sample(halves)["xx"])[c] for c in "ab") > 8_000
+
+
+def test_benchmark_item_without_id(spark, tmp_path):
+    """Against the query's own SQL."""
+    import duckdb
+
+    from dictaudit.llm.queries import ORACLES, QUERIES
+
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = [(1, f"before {passage} after"), (2, "nothing of it"), (3, "short item here"), (4, None)]
+    items = [(None, passage), (None, "short item"), ("b", "short item here"), (None, None), (None, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = con.execute(ORACLES["op8_decontamination"])
+    want = sorted(cur.fetchall())
+    columns = [d[0] for d in cur.description]
+    got = sorted(tuple(r) for r in QUERIES["op8_decontamination"](spark, str(tmp_path)).select(*columns).collect())
+    assert got == want and got[0][2] == 20
