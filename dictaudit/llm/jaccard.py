@@ -476,7 +476,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without near duplicates: of each component the smallest id
-    stays, once; rows without id all stay."""
+    stays, once; rows without id all stay. Of rows that share an id only those with equal texts are cut to
+    one."""
     found = jaccard_components(docs, id_col, text_col, n, percent).where("doc_id is not null")
     judged = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("times"))
                          .where("c <> doc_id or times > 1"), "jaccard-dropped")
@@ -486,4 +487,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     own = F.col(id_col).cast("long")
     alone = docs.join(judged.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_anti")
     several = docs.join(repeated.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
-    return alone.unionByName(several.dropDuplicates([id_col]))
+    return alone.unionByName(several.dropDuplicates([id_col, text_col]))

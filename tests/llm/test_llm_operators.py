@@ -378,3 +378,12 @@ def test_benchmark_item_without_id(spark, tmp_path):
     columns = [d[0] for d in cur.description]
     got = sorted(tuple(r) for r in QUERIES["op8_decontamination"](spark, str(tmp_path)).select(*columns).collect())
     assert got == want and got[0][2] == 20
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    from dictaudit.llm.jaccard import keep_one
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, "other words altogether in this text")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in keep_one(df).collect())
+    assert got == sorted([(1, a), (1, b), (2, "other words altogether in this text")])
