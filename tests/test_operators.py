@@ -219,3 +219,10 @@ def test_placeholder_top_equals_numpy(spark):
     cand = sorted([(-score[i], t) for i, t in enumerate(pdf.text) if t not in seeds_txt])[:20]
     assert [g[1] for g in sorted(got)] == [t for _, t in cand]
     assert all(abs(g[2] + c[0]) < 1e-9 for g, c in zip(sorted(got), cand))
+
+
+def test_naive_radius_query_is_no_nested_loop(spark):
+    from dictaudit.plans.vector_queries import radius_pairs_naive
+
+    plan = radius_pairs_naive(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan
