@@ -2,9 +2,8 @@
 
 Every byte inside a 50-byte string that also starts in a text with a smaller id goes. Strings that
 can repeat are routed to buckets by their minimizer (see ``repeats``). A bucket indexes its distinct
-strings by a run-compressed Burrows-Wheeler transform: runs of equal preceding bytes, the suffix
-position at each run's end, the row of each string's last window, and the rows at which the first 50
-bytes change. The suffix array itself is dropped. All strings stream through the index from right to
+strings by a run-compressed Burrows-Wheeler transform: runs of equal preceding bytes, the row of each
+string's last window, and the rows at which the first 50 bytes change. The suffix array itself is dropped. All strings stream through the index from right to
 left, from their last window on: a step maps the row of a
 suffix to the row of the suffix one byte longer by its run alone. The matching statistic of a window
 reaches 50 bytes exactly with the windows of its stretch of rows, so the smallest id of a stretch
@@ -58,7 +57,6 @@ class RunLengthIndex:
         new = np.concatenate([[True], before[1:] != before[:-1]])
         self.run_start = np.flatnonzero(new)
         self.run_byte = before[self.run_start]
-        self.run_end_position = order[np.append(self.run_start[1:], len(order)) - 1]  # sampled suffix positions
         # row of the first suffix that a run's rows map to
         size = np.diff(np.append(self.run_start, len(order)))
         by_byte = np.argsort(self.run_byte, kind="stable")
