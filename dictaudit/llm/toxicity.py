@@ -1,9 +1,11 @@
 """Toxicity score of a counterfactually regularised classifier (operator 7).
 
-A logistic model over the presence of words and word beginnings. Beside the usual loss, every
-labelled text that mentions an identity group also counts in a swapped version, in which the term is
-replaced by another of its kind: differences of the two scores are penalised, so that a neutral
-mention of a group does not raise the score and no group is treated worse than another.
+A logistic model over the presence of words and word beginnings. Beside the usual loss there is a
+penalty per ordered pair of identity terms of a kind, not per sentence: the difference of the two
+terms' summed weights (log odds), squared and weighted by the number of labelled texts that mention
+the first term. So a neutral mention of a group does not raise the score and no group is treated
+worse than another. No text is swapped: where a text already holds the other term, or another word
+with the same beginning, its own change of score differs from the pair's.
 
 Fit on a bounded sample: at most about ``sample_rows`` labelled rows, those with the smallest hash of
 their id (all rows if there are fewer). Feature counts are summed on Spark; the ``features`` words
