@@ -153,3 +153,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .debruijn_dedup import digests, remove_repeats
 
     return digests(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op11_exact_dedup", """
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept,
+  sha256(coalesce(text, '')) as text_sha256
+from documents window w as (partition by coalesce(text, ''))
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie", r"""
+with crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) t),
+turns as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) p
+  from conversations where conv_id is not null),
+own as (select c, list({'r': r, 'x': x} order by p) s from turns group by c),
+h as (select c, s, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda y: ascii(y)::bigint)),
+    lambda a, b: xor(crc.t[1 + (xor(a, b) & 255)], a >> 8))) % 4 h from own, crc),
+reb as (select h.c, list_concat(coalesce(b.s[1:h], h.s[1:0]), h.s[h + 1:]) s from h left join own b on b.c = h.c - h.c % 20),
+pre as (select c, len(s) n, d, s[1:d] k from (select c, s, unnest(range(len(s) + 1)) d from reb)),
+node as (select k, d, min(c) c, count(*) n, coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '') e from pre group by k, d),
+own_sums as (select a.k, a.d, a.c, a.n, a.e, p.c pc, count(ch.k) nc,
+    (a.n - 1) * coalesce(len(regexp_extract_all(a.k[a.d].x, '[^ 	-]+')), 0) sv
+  from node a left join node p on a.d > 0 and p.k = a.k[1:a.d - 1] and p.d = a.d - 1
+    left join node ch on ch.d = a.d + 1 and ch.k[1:a.d] = a.k
+  group by a.k, a.d, a.c, a.n, a.e, p.c),
+sub as (select k, sum(l)::bigint l, sum(sv)::bigint sv
+  from (select k0[1:g] k, (nc = 0)::int l, sv from (select k k0, nc, sv, unnest(range(d + 1)) g from own_sums)) group by k)
+select c conv_id, d::bigint as "depth", pc parent_conv_id, n n_convs, nc n_children, sub.l n_leaves, sub.sv saved_tokens, sha256(e) ends_sha256
+from own_sums join sub using (k)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
