@@ -8,9 +8,9 @@ of equal texts. Cells are compared byte by byte, no digest decides equality (``t
 reported).
 
 Each level is one group-by of digits, summed before the shuffle, so a text that a third of all rows hold
-is one row a task there, and a join of the open rows with the cells, whose hot partitions Spark splits
-(adaptive skew join): nothing above it in the stage needs the rows of a cell together. Levels are written
-to the shared checkpoint folder; only open rows carry bytes on, and only those not read yet.
+is one row a task there, and a join of the open rows with the written cells, whose hot partitions Spark
+splits (adaptive skew join): nothing in that stage needs the rows of a cell together. Cells and levels are
+written to the shared checkpoint folder; only open rows carry bytes on, and only those not read yet.
 
 Defined cases: null counts as the empty text; all empty texts are one group; of rows that share id and
 text exactly one stays (the other columns never decide); a row without id counts and loses against any id;
@@ -37,8 +37,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("rest"))
     rows = rows.withColumn("size", F.octet_length("rest"))
-    cells = (rows.groupBy("size", _part("rest", 1, width).alias("digit")).agg(F.count("*").alias("n")).where("n > 1")
-             .withColumnRenamed("size", "cell_size"))
+    cells = materialize(rows.groupBy("size", _part("rest", 1, width).alias("digit")).agg(F.count("*").alias("n")).where("n > 1")
+                        .withColumnRenamed("size", "cell_size"), "radix-cells")
     dealt = rows.join(cells, (F.col("size") == F.col("cell_size")) & (_part("rest", 1, width) == F.col("digit")), "left")
     level = materialize(dealt.select(
         "doc_id", F.sha2("rest", 256).alias("text_sha256"), "size", "digit",
@@ -51,8 +51,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while (longest := rows.agg(F.max("size")).first()[0]) is not None:
         width *= growth
         by = [F.col(c) for c in cell]
-        cells = rows.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(by)], _part("rest", 1, width).alias("next")).agg(
-            F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("top"))
+        cells = materialize(rows.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(by)], _part("rest", 1, width).alias("next")).agg(
+            F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("top")), "radix-cells")
         same = _part("rest", 1, width) == F.col("next")
         for i, c in enumerate(by):
             same &= c == F.col(f"c{i}")
