@@ -192,3 +192,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import trie
 
     return trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_collocations", r"""
+with d as (select row_number() over () id, coalesce(lang, 'und') lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) p from d),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from p),
+f as (select lang, g, count(*) f from (select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) g
+  from w, (select unnest([1, 2, 3]) k) where len(w) >= k) group by lang, g),
+n as (select lang, sum(len(w))::bigint n from w group by lang),
+cut as (select c.lang, c.g, c.f a, l.f l, r.f r, k, (1000000::hugeint * c.f * c.f) // (l.f::hugeint * r.f) s
+  from (select *, unnest(range(1, len(g))) k from f where len(g) > 1 and f >= 10) c
+    join f l on l.lang = c.lang and l.g = c.g[1:k] join f r on r.lang = c.lang and r.g = c.g[k + 1:]),
+best as (select * from cut qualify row_number() over (partition by lang, g order by s, k) = 1),
+long as (select lang, part, max(f) m from (select lang, f, unnest([g[1:2], g[2:3]]) part from f where len(g) = 3 and f >= 10) group by lang, part),
+kept as (select b.* from best b left join long on long.lang = b.lang and long.part = b.g where m is null or 100 * m < 50 * a),
+named as (select lang, array_to_string(g, ' ') phrase, a, l, r, s::bigint score from kept)
+select lang, rank, phrase, a, l, r, n, score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from named) join n using (lang) where rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
