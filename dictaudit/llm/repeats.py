@@ -35,6 +35,7 @@ from dictaudit.session import materialize
 from .textscan import _power_table, mix, prefix_hash, range_hash, text_slices
 
 BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 512 << 10  # about 70 bytes of arrays a byte of text are alive at once
 HOT = 4096  # a minimizer with more occurrences is hot: its windows are routed one by one
 POSITION_BITS = np.uint64(30)  # a text has fewer than 2**30 units
 _MASK = np.uint64((1 << 30) - 1)
@@ -129,7 +130,7 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
 
     def anchors(t: pa.Table) -> pa.Table:
         fps, codes, texts = t.column("fp").to_numpy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b, data, offsets in text_slices(t.column("text")):
+        for a, b, data, offsets in text_slices(t.column("text"), SLICE_BYTES):
             unit, row, gram, _ = units(data, offsets)
             _, at = window_anchors(unit, row, gram, window, m)
             chosen = np.zeros(len(unit), bool)
@@ -178,7 +179,7 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
         ids = texts.column("doc_id").to_numpy()
         found = {c: [] for c in ("doc", "pos", "name", "whole", "whole_hot", "link_whole", "link_at", "link_piece",
                                  "piece", "route", "n", "size", "x")}
-        for a, b, data, offsets in text_slices(texts.column("text")):
+        for a, b, data, offsets in text_slices(texts.column("text"), SLICE_BYTES):
             unit, row, gram, first = units(data, offsets)
             start, at = window_anchors(unit, row, gram, window, m)
             # super-windows: consecutive windows of one minimizer
@@ -353,7 +354,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame, blocks: int, finish: Callabl
         lo, hi = np.searchsorted(doc, num), np.searchsorted(doc, num, side="right")
         hi = np.where(ids.is_null().to_numpy(zero_copy_only=False), lo, hi)
         out = []
-        for a, b, data, offsets in text_slices(texts.column("text")):
+        for a, b, data, offsets in text_slices(texts.column("text"), SLICE_BYTES):
             cols = finish(data, offsets, [start[lo[r]:hi[r]] for r in range(a, b)], [end[lo[r]:hi[r]] for r in range(a, b)])
             kept = [ids.slice(a, b - a)] + [texts.column("row").slice(a, b - a) for _ in carried]
             out.append(pa.Table.from_arrays(

@@ -33,7 +33,7 @@ def _power_table(kind: str, n: int) -> np.ndarray:
     """First n powers of the base (or of its inverse) modulo 2**64; grown on demand."""
     have = _powers[kind]
     if len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = 1 << (n - 1).bit_length()
         factors = np.full(size, _BASE if kind == "up" else _BASE_INV)
         factors[0] = 1
         have = _powers[kind] = np.multiply.accumulate(factors)
