@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .textscan import text_slices
 
 
+def ship(spark, value):
+    """Broadcast of a value whose classes need not be importable on the executors; see shipped()."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(held):
+    return pickle.loads(held.value)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator works on; all others (also clashing names) stay out of it."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -23,7 +23,7 @@ connected component of every text.
    fold to the narrower one's width. Survivors are intersected as sorted arrays.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with nothing;
-rows with equal ids count as one document; a null id links with nothing and has no component; an
+rows with equal ids count as one document (its smallest set); a null id links with nothing and has no component; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from dictaudit.session import materialize
 
-from .apply import per_text_rows
+from .apply import fresh, per_text_rows
 from .components import components
 from .textscan import LOWER, mix, ngram_hash, same_row, signed, words
 
@@ -425,7 +425,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
         lambda t: _tiles(t, percent), "part long, token long, doc long, n long, need long, leader long"), "jaccard-tiles")
 
-    signatures = scanned.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "bits").dropDuplicates(["doc"])
+    # of rows that share an id the one with the smallest set and fingerprint counts
+    signatures = scanned.where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.min(F.struct("n", "fp", "fp2", "bits")).alias("s")).select("doc", "s.n", "s.bits")
 
     def linked(pairs: DataFrame, partners: int) -> DataFrame:
         """Links of each text with the partners that it meets most often. Signatures say little about
@@ -458,6 +460,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if links.isEmpty():
             break
         named = materialize(_joined(named, links), "jaccard-components")
+    # only tiles that still mix components get signatures
+    open_ = materialize(placed(open_).groupBy("part").applyInArrow(_open, still), "jaccard-open")
     enough = open_.groupBy("doc", "need").count().where("count >= abs(need)")
     last = open_.join(enough, ["doc", "need"], "left_semi").join(signatures.select("doc", "bits"), "doc")
     more = (placed(last).groupBy("part")
@@ -485,6 +489,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     if judged.count() <= MAX_SENT_IDS:
         judged, repeated = F.broadcast(judged), F.broadcast(repeated)
     own = F.col(id_col).cast("long")
-    alone = docs.join(judged.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_anti")
-    several = docs.join(repeated.select(F.col("doc_id").alias("__id")), own == F.col("__id"), "left_semi")
+    name = fresh(docs, "judged_id")
+    alone = docs.join(judged.select(F.col("doc_id").alias(name)), own == F.col(name), "left_anti")
+    several = docs.join(repeated.select(F.col("doc_id").alias(name)), own == F.col(name), "left_semi")
     return alone.unionByName(several.dropDuplicates([id_col, text_col]))
