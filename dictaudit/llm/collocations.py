@@ -43,6 +43,7 @@ BLOCK_WORDS = 1 << 20
 CHUNK_BYTES = 1 << 20
 FILTER_BITS = 26  # 2**26 bits for the words, and for the pairs, that reached the threshold by a step
 NEVER = 250
+SHARES = 64  # parts of a language that are ranked by themselves first
 _U = np.uint64
 
 PIECE = np.zeros(256, bool)
@@ -329,6 +330,9 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 10, percent: int
     one = F.col("s1") <= F.col("s2")  # ties go to the shorter first part
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.when(one, F.col("f1")).otherwise(F.col("f12")).alias("l"),
                          F.when(one, F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each share of a language first, so that no task ranks all phrases of one
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    best = two.unionByName(three).withColumn("share", F.pmod(F.hash("phrase"), F.lit(SHARES)))
+    for by in (["lang", "share"], ["lang"]):
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
