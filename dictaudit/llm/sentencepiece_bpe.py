@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .apply import per_text
+from .apply import per_text, ship, shipped
 
 SPACE_MARK = "▁"
 CACHE_ENTRIES = 300_000  # in each of two generations
@@ -268,7 +268,7 @@ def _utf8(raw: bytes) -> str:
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``ids`` of the whole text and ``decoded``, the text of these ids."""
-    held = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))
+    held = ship(docs.sparkSession, Model.load(model_path))
 
     def make():
         coder = _coder(held)
@@ -295,7 +295,7 @@ def _coder(held) -> Coder:
     key = held.id if hasattr(held, "id") else id(held)
     if key not in _coders:
         _coders.clear()
-        _coders[key] = Coder(held.value)
+        _coders[key] = Coder(shipped(held))
     return _coders[key]
 
 

@@ -1,11 +1,10 @@
 """Toxicity score of a counterfactually regularised classifier (operator 7).
 
-A logistic model over the presence of words and word beginnings. Beside the usual loss there is a
-penalty per ordered pair of identity terms of a kind, not per sentence: the difference of the two
-terms' summed weights (log odds), squared and weighted by the number of labelled texts that mention
-the first term. So a neutral mention of a group does not raise the score and no group is treated
-worse than another. No text is swapped: where a text already holds the other term, or another word
-with the same beginning, its own change of score differs from the pair's.
+A logistic model over the presence of words and word beginnings. Every sampled text that mentions an
+identity term is also swapped: once for each other term of its kind, with all mentions of the term
+replaced. Beside the usual loss there is a penalty on the squared change of the score (in log odds)
+between each text and its swapped versions, so a neutral mention of a group does not raise the score
+and no group is treated worse than another.
 
 Fit on a bounded sample: at most about ``sample_rows`` labelled rows, those with the smallest hash of
 their id (all rows if there are fewer). Feature counts are summed on Spark; the ``features`` words
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .apply import per_text, per_text_rows
+from .apply import per_text, per_text_rows, ship, shipped
 from .textscan import LOWER, mix, prefix_hash, range_hash, signed, words
 
 SAMPLE_ROWS = 30_000
@@ -52,17 +51,19 @@ NOT_LETTER = np.ones(256, dtype=bool)
 NOT_LETTER[0x41:0x5B] = NOT_LETTER[0x61:0x7B] = NOT_LETTER[0x80:] = False
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every word and of its beginnings (beginnings are marked by their length)."""
+def features(data: np.ndarray, offsets: np.ndarray, with_words: bool = False) -> tuple[np.ndarray, ...]:
+    """Row and hash of every word and of its beginnings (beginnings are marked by their length);
+    ``with_words`` adds the hash of the word that each comes from."""
     low = LOWER[data]
     w = words(low, offsets, NOT_LETTER)
     prefix = prefix_hash(low)
-    rows, keys = [w.row], [w.hash]
+    rows, keys, of = [w.row], [w.hash], [w.hash]
     for size in BEGINNINGS:
         long = w.end - w.start > size
         rows.append(w.row[long])
         keys.append(mix(range_hash(prefix, w.start[long], w.start[long] + size) + np.uint64(size)))
-    return np.concatenate(rows), np.concatenate(keys)
+        of.append(w.hash[long])
+    return (np.concatenate(rows), np.concatenate(keys), *([np.concatenate(of)] if with_words else []))
 
 
 def term_features(term: str) -> np.ndarray:
@@ -136,45 +137,70 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .withColumn("chi", F.pow(a * F.lit(float(n0)) - b * F.lit(float(n1)), 2)
                          / ((a + b) * (F.lit(float(n0 + n1)) - a - b + 1)))
              .orderBy(F.desc("chi"), "key").limit(n_features).select("key").collect())
-    terms = [[term_features(t) for t in g] for g in groups]
     keys = np.unique(np.concatenate([np.array([r.key for r in found], np.int64).view(np.uint64),
-                                     *[k for g in terms for k in g]]))
-    blank = Model(keys, np.zeros(len(keys)))
-    held = texts.sparkSession.sparkContext.broadcast(blank)
+                                     *[term_features(t) for g in groups for t in g]]))
+    held = ship(texts.sparkSession, Model(keys, np.zeros(len(keys))))
 
     def present():
+        blank = shipped(held)
+
         def f(ids, data, offsets, _):
-            row, at = held.value.present(data, offsets)
+            row, at = blank.present(data, offsets)
             bounds = np.searchsorted(row, np.arange(len(offsets)))
-            return [ids, [at[x:y].tolist() for x, y in zip(bounds, bounds[1:])]]
+            come, gone = [[] for _ in range(len(ids))], [[] for _ in range(len(ids))]
+            for r, c, g in _swapped(blank, groups, data, offsets):
+                come[r].append(c)
+                gone[r].append(g)
+            return [ids, [at[x:y].tolist() for x, y in zip(bounds, bounds[1:])], come, gone]
         return f
 
-    rows = per_text_rows(texts, "label long, at array<int>", present, "doc_id", "text").collect()
+    rows = per_text_rows(texts, "label long, at array<int>, come array<array<int>>, gone array<array<int>>", present,
+                         "doc_id", "text").collect()
     label = np.array([r.label for r in rows], float)
     row = np.repeat(np.arange(len(rows)), [len(r["at"]) for r in rows])
     at = np.array([x for r in rows for x in r["at"]], np.int64)
-    return _train(keys, label, row, at, _swaps(keys, terms, row, at), swap_penalty, shrink)
-
-
-def _swaps(keys: np.ndarray, terms, row: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """For each ordered pair of terms of a kind: features that go, features that come, and how many
-    labelled texts mention the first term."""
-    texts_with = np.bincount(at, minlength=len(keys))
+    swaps = [(c, g) for r in rows for c, g in zip(r.come, r.gone)]
+    return _train(keys, label, row, at, swaps, swap_penalty, shrink)
+
+
+def _swapped(model: Model, terms: list[list[str]], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, list[int], list[int]]]:
+    """For every text that mentions a term and every other term of its kind: row of the text, the
+    features that only the swapped text has and those that only the text itself has."""
+    numbers = [[set(np.searchsorted(model.keys, term_features(t)).tolist()) for t in g] for g in terms]
+    names = [[_word_hash(t) for t in g] for g in terms]
+    row, key, word = features(data, offsets, with_words=True)
+    at = np.searchsorted(model.keys, key).clip(0, max(len(model.keys) - 1, 0))
+    known = model.keys[at] == key
+    row, at, word = row[known], at[known], word[known]
+    order = np.argsort(row, kind="stable")
+    row, at, word = row[order], at[order], word[order]
+    mentions = np.isin(word, np.array([h for g in names for h in g], np.uint64))
     out = []
-    for group in terms:
-        numbers = [np.searchsorted(keys, k) for k in group]
-        for i, gone in enumerate(numbers):
-            mentions = int(texts_with[gone[0]])
-            for j, come in enumerate(numbers):
-                if i != j and mentions:
-                    out.append((np.setdiff1d(gone, come), np.setdiff1d(come, gone), mentions))
+    for r in np.unique(row[mentions]):
+        a, b = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
+        here, of = at[a:b], word[a:b]
+        own = set(here.tolist())
+        for group, hashes in zip(numbers, names):
+            for i, h in enumerate(hashes):
+                if (of == h).any():
+                    rest = set(here[of != h].tolist())
+                    for j, other in enumerate(group):
+                        if j != i:
+                            new = rest | other
+                            out.append((int(r), sorted(new - own), sorted(own - new)))
     return out
 
 
+def _word_hash(term: str) -> np.uint64:
+    raw = np.frombuffer(term.encode(), np.uint8)
+    return words(LOWER[raw], np.array([0, len(raw)]), NOT_LETTER).hash[0]
+
+
 def _train(keys, label, row, at, swaps, swap_penalty: float, shrink: float, steps: int = 400) -> Model:
-    """Minimise log loss + shrink * |w|^2 + swap_penalty * mean squared score change of the swaps,
-    by gradient descent with a step per coordinate (Adam)."""
+    """Minimise log loss + shrink * |w|^2 + swap_penalty / n * sum of the squared score changes (log odds)
+    of the swapped texts, by gradient descent with a step per coordinate (Adam)."""
     n, k = len(label), len(keys)
+    swap, feature, sign = _signed_changes(swaps)
     w = np.zeros(k + 1)
     w[k] = np.log(label.mean() / (1 - label.mean()))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -183,18 +209,28 @@ def _train(keys, label, row, at, swaps, swap_penalty: float, shrink: float, step
         off = 1 / (1 + np.exp(-z.clip(-500, 500))) - label
         g = np.append(np.bincount(at, off[row], k), off.sum()) / n
         g[:k] += 2 * shrink * w[:k]
-        for gone, come, mentions in swaps:
-            change = w[come].sum() - w[gone].sum()
-            scale = 2 * swap_penalty * mentions / n * change
-            g[come] += scale
-            g[gone] -= scale
+        change = np.bincount(swap, sign * w[feature], len(swaps))
+        g[:k] += 2 * swap_penalty / n * np.bincount(feature, sign * change[swap], k)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8) * (1 - step / (steps + 1))
     return Model(keys, w[:k], float(w[k]))
 
 
+def _signed_changes(swaps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the swap, feature, and 1 if the swapped text gains it, -1 if it loses it."""
+    size = [len(c) + len(g) for c, g in swaps]
+    feature = np.array([x for c, g in swaps for x in (*c, *g)], np.int64)
+    sign = np.array([x for c, g in swaps for x in [1.0] * len(c) + [-1.0] * len(g)])
+    return np.repeat(np.arange(len(swaps)), size), feature, sign
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    return per_text(docs, "score double", lambda: lambda data, offsets, _: [held.value.score(data, offsets)], id_col, text_col)
+    held = ship(docs.sparkSession, model)
+
+    def make():
+        model = shipped(held)
+        return lambda data, offsets, _: [model.score(data, offsets)]
+
+    return per_text(docs, "score double", make, id_col, text_col)
