@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from dictaudit.session import materialize
 
-from .apply import per_text_rows
+from .apply import fresh, per_text_rows, ship, shipped
 from .textscan import LOWER, ngram_hash, same_row, signed, words
 
 WINDOW = 13
@@ -209,10 +209,10 @@ def _verified(w, row_end, prefixes, block: Block) -> tuple[np.ndarray, np.ndarra
 
 def _scan(docs: DataFrame, block: Block | None, prefixes, id_col: str, text_col: str) -> DataFrame:
     """Per document: words, hit ranges (start, end) of words, items found in this block."""
-    held = docs.sparkSession.sparkContext.broadcast((block, prefixes))
+    held = ship(docs.sparkSession, (block, prefixes))
 
     def make():
-        block, prefixes = held.value
+        block, prefixes = shipped(held)
 
         def f(ids, data, offsets, texts):
             n = len(offsets) - 1
@@ -257,9 +257,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for p in parts[1:]:
         found = found.unionByName(p)
     merged = found.groupBy("doc_id", "fp").agg(
-        F.max("n_words").alias("n_words"),
+        (F.count("*") / len(parts)).cast("long").alias("rows"), F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_set("ranges"))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    # rows that share id and text have one verdict, each its own row
+    page = 4096
+    pages = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(page).cast("long")))
+    merged = merged.withColumn("page", pages).withColumn(
+        "page", F.explode(F.sequence("page", F.least("rows", F.col("page") + (page - 1)))))
     return _finish(merged, min_share_percent)
 
 
@@ -279,7 +284,8 @@ def _finish(merged: DataFrame, percent: int) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                         **kw) -> DataFrame:
     """The rows of documents that are not contaminated, with all columns."""
+    own, print_ = fresh(docs, "bad_id"), fresh(docs, "bad_fp")
     bad = materialize(decontaminate(docs, benchmark, id_col, text_col, **kw).where("contaminated").select(
-        F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")), "contaminated")
+        F.col("doc_id").alias(own), F.col("fp").alias(print_)).distinct(), "contaminated")
     fp = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & fp.eqNullSafe(F.col("__fp")), "left_anti")
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(own)) & fp.eqNullSafe(F.col(print_)), "left_anti")

@@ -112,7 +112,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, sample(docs.where(remainder(4) != 2)))
-    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op7_toxicity")
@@ -121,7 +121,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(remainder(5) != 0))
-    return score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+    return score(docs, model).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
                                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -179,7 +179,8 @@ reb as (select h.c, list_concat(coalesce(b.s[1:h], h.s[1:0]), h.s[h + 1:]) s fro
 pre as (select c, len(s) n, d, s[1:d] k from (select c, s, unnest(range(len(s) + 1)) d from reb)),
 node as (select k, d, min(c) c, count(*) n, coalesce(string_agg(c::varchar, ',' order by c) filter (n = d), '') e from pre group by k, d),
 own_sums as (select a.k, a.d, a.c, a.n, a.e, p.c pc, count(ch.k) nc,
-    (a.n - 1) * coalesce(len(regexp_extract_all(a.k[a.d].x, '[^ 	-]+')), 0) sv
+    (a.n - 1) * coalesce(len(regexp_extract_all(a.k[a.d].x, '[^ 	-
+]+')), 0) sv
   from node a left join node p on a.d > 0 and p.k = a.k[1:a.d - 1] and p.d = a.d - 1
     left join node ch on ch.d = a.d + 1 and ch.k[1:a.d] = a.k
   group by a.k, a.d, a.c, a.n, a.e, p.c),
