@@ -340,22 +340,59 @@ def islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------
-# Masked density clustering (M5) per threshold, over the vector table. No SQL oracle: checked
-# against a brute-force whole-matrix statement of the method in tests/test_clusters.py.
+# Masked density clustering (M5) per threshold, over the vector table.
 # ------------------------------------------------------------------------------------------------
 
 CLUSTER_THRESHOLDS = [0.55, 0.60]
 
 
-@register("masked_clusters", "M5 J7 P14 U5 A16", None)
+def masked_clusters_sql(pairs: str, thresholds: list[float]) -> str:
+    """M5 as recursive SQL over ``pairs`` (a, b, d): the components at every distance level, the clusters
+    that are born where two components of two or more points meet, and their excess of mass as a fold.
+    A statement of the method by whole components, not by spanning trees."""
+    ts = ", ".join(f"{t!r}" for t in thresholds)
+    return f"""
+WITH RECURSIVE pr AS (SELECT * FROM ({pairs})),
+e AS (SELECT t, a, b, greatest(d, 1e-12) AS d FROM pr, (SELECT unnest([{ts}]::DOUBLE[]) AS t) WHERE pr.d <= t),
+lv AS (SELECT t, d, row_number() OVER (PARTITION BY t ORDER BY d) AS i FROM (SELECT DISTINCT t, d FROM e)),
+u AS (SELECT t, i, a AS x, b AS y, d FROM e JOIN lv USING (t, d) UNION ALL SELECT t, i, b, a, d FROM e JOIN lv USING (t, d)),
+nn AS (SELECT t, x, min(i) AS i, min(d) AS d FROM u GROUP BY t, x),
+reach(t, i, x, y) AS (SELECT nn.t, lv.i, x, x FROM nn JOIN lv ON lv.t = nn.t AND lv.i >= nn.i
+  UNION SELECT r.t, r.i, r.x, u.y FROM reach r JOIN u ON u.t = r.t AND u.i <= r.i AND u.x = r.y),
+lab AS (SELECT t, i, x, min(y) AS c FROM reach GROUP BY t, i, x),
+comp AS (SELECT l.t, l.i, l.c, count(DISTINCT f.c) AS nb FROM lab l LEFT JOIN lab f ON f.t = l.t AND f.i = l.i - 1 AND f.x = l.x GROUP BY 1, 2, 3),
+bot AS (SELECT row_number() OVER (ORDER BY t, i, c) AS k, t, i, c, nb FROM comp WHERE nb <> 1),
+above AS (SELECT b.k, min(l.i) AS j FROM bot b JOIN lab l ON l.t = b.t AND l.x = b.c AND l.i > b.i
+  JOIN bot o ON o.t = l.t AND o.i = l.i AND o.c = l.c GROUP BY b.k),
+par AS (SELECT b.*, j, p.k AS up, coalesce(lj.d, 2.0) AS birth, li.d AS death, coalesce(j - 1, (SELECT max(i) FROM lv WHERE lv.t = b.t)) AS top
+  FROM bot b JOIN lv li ON li.t = b.t AND li.i = b.i LEFT JOIN above USING (k) LEFT JOIN lv lj ON lj.t = b.t AND lj.i = j
+  LEFT JOIN lab l ON l.t = b.t AND l.i = j AND l.x = b.c LEFT JOIN bot p ON p.t = b.t AND p.i = j AND p.c = l.c),
+mem AS (SELECT p.k, p.t, m.x FROM par p JOIN lab l ON l.t = p.t AND l.i = p.top AND l.x = p.c JOIN lab m ON m.t = p.t AND m.i = p.top AND m.c = l.c),
+st AS (SELECT p.k, p.t, p.up, sum((CASE WHEN p.nb > 1 AND low.x IS NOT NULL THEN 1 / p.death ELSE 1 / nn.d END) - 1 / p.birth) AS s, count(*) / p.birth AS born
+  FROM par p JOIN mem ON mem.k = p.k JOIN nn ON nn.t = p.t AND nn.x = mem.x
+  LEFT JOIN lab low ON low.t = p.t AND low.i = p.i AND low.c = p.c AND low.x = mem.x GROUP BY p.k, p.t, p.up, p.birth),
+cl AS (SELECT st.k, st.t, st.up, CASE WHEN s > born * 1e-9 THEN s ELSE 0.0 END AS s,
+  coalesce((SELECT list(o.k ORDER BY o.k) FROM st o WHERE o.up = st.k), []) AS kids FROM st),
+fold AS (SELECT list_reduce(list_prepend({{'s': 0.0::DOUBLE, 'kids': []::BIGINT[], 'v': []::DOUBLE[]}},
+    list({{'s': s::DOUBLE, 'kids': kids::BIGINT[], 'v': []::DOUBLE[]}} ORDER BY k)),
+  lambda f, n: {{'s': f.s, 'kids': f.kids, 'v': list_append(f.v, greatest(n.s, coalesce(list_sum(list_transform(n.kids, lambda j: f.v[j])), 0.0)))}}).v AS v FROM cl),
+kept AS (SELECT cl.*, s > 0 AND s >= coalesce(list_sum(list_transform(kids, lambda j: v[j])), 0.0)
+  AND NOT (up IS NULL AND (SELECT count(*) FROM cl r WHERE r.t = cl.t AND r.up IS NULL) = 1) AS ok FROM cl, fold),
+path(k, a) AS (SELECT k, up FROM kept WHERE up IS NOT NULL UNION ALL SELECT p.k, o.up FROM path p JOIN kept o ON o.k = p.a WHERE o.up IS NOT NULL),
+sel AS (SELECT k FROM kept WHERE ok AND k NOT IN (SELECT p.k FROM path p JOIN kept o ON o.k = p.a WHERE o.ok))
+SELECT t AS threshold, min(x) OVER (PARTITION BY t, k) AS cluster_id, count(*) OVER (PARTITION BY t, k) AS size, x AS member FROM mem WHERE k IN (SELECT k FROM sel)
+"""
+
+
+@register("masked_clusters", "M5 J7 P14 U5 A16", masked_clusters_sql(f"""
+SELECT a.vec_id AS a, b.vec_id AS b, {Q.distance('a.embedding', 'b.embedding')} AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
+                                                                     CLUSTER_THRESHOLDS))
 def masked_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import clusters as CL
+    from ..operators import density as CL
 
-    # One radius join at the largest threshold, written once; all thresholds are clustered in one
-    # run (edges fanned out by threshold, islands found in one keyed components loop).
+    # One radius join at the largest threshold; its edges are fanned out to the thresholds.
     edges = materialize(radius_pairs_df(spark, sf_dir, radius=max(CLUSTER_THRESHOLDS)), "cluster-edges")
-    labels = CL.masked_clusters_multi(edges, CLUSTER_THRESHOLDS)
-    return CL.cluster_rollup(labels, None, sep=",").withColumnRenamed("definitions", "members")
+    return CL.cluster_members(CL.masked_clusters_multi(edges, CLUSTER_THRESHOLDS))
 
 
 @register("placeholder_coverage_totals", "A21", _PH_SQL + """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dictaudit.operators import audit as A
-from dictaudit.operators import clusters as CL
+from dictaudit.operators import density as CL
 from dictaudit.operators import pivot_radius as PR
 from dictaudit.operators import radius as R
 from dictaudit.operators import similarity as SIM
