@@ -15,6 +15,7 @@ from ..operators import components as C
 from ..operators import dedup as D
 from ..operators import placeholder as PH
 from ..operators import radius as R
+from ..operators import radius_tree as RT
 from ..operators import similarity as SIM
 from ..session import materialize
 from ..sources import tables as S
@@ -202,19 +203,19 @@ WHERE {Q.distance('a.embedding', 'b.embedding')} <= {RADIUS}
 """
 
 
-def radius_pairs_df(spark: SparkSession, sf_dir: str, method: str = "blocks", radius: float = RADIUS) -> DataFrame:
-    return R.radius_join(S.vectors(spark, sf_dir), radius, id_col="vec_id", vec_col="embedding", method=method)
+def radius_pairs_df(spark: SparkSession, sf_dir: str, radius: float = RADIUS) -> DataFrame:
+    return RT.radius_tree_join(S.vectors(spark, sf_dir), radius, id_col="vec_id")
 
 
-@register("radius_pairs", "J6 P13 A10", _RADIUS_SQL)
+@register("radius_pairs", "J6 P13", _RADIUS_SQL)
 def radius_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = radius_pairs_df(spark, sf_dir)
+    p = R.radius_join(S.vectors(spark, sf_dir), RADIUS, id_col="vec_id")
     return p.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"), _r6("distance").alias("distance"))
 
 
 @register("radius_pairs_naive", "J6 P12 P13", _RADIUS_SQL)
 def radius_pairs_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = radius_pairs_df(spark, sf_dir)  # the nested loop is refused above 20 000 rows; tests compare with it
+    p = radius_pairs_df(spark, sf_dir)  # no nested loop: tests compare that one with this
     return p.select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"), _r6("distance").alias("distance"))
 
 
@@ -239,10 +240,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str, radius: float = RADIUS) ->
                     "embedding"))
     # Written once: the radius join, its block sizing and the name enrichment all read it.
     matched = materialize(uniq, "matched")
-    from ..operators.pivot_radius import exact_radius_join
-
-    # block pairs for small inputs, pivot cells (pruned, exact) for large ones
-    pairs = exact_radius_join(matched, radius, id_col="seq", vec_col="embedding", n_rows=matched.count())
+    pairs = RT.radius_tree_join(matched, radius, id_col="seq")
     side = matched.select(F.col("seq").alias("k"), "definition", "ref")
     a = side.select(F.col("k").alias("id_a"), F.col("definition").alias("ta"), F.col("ref").alias("ra"))
     b = side.select(F.col("k").alias("id_b"), F.col("definition").alias("tb"), F.col("ref").alias("rb"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dictaudit.operators import audit as A
 from dictaudit.operators import density as CL
-from dictaudit.operators import pivot_radius as PR
+from dictaudit.operators import radius_tree as RT
 from dictaudit.operators import radius as R
 from dictaudit.operators import similarity as SIM
 
@@ -12,7 +12,7 @@ from dictaudit.operators import similarity as SIM
 def test_empty_everywhere(spark):
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert R.radius_join(vecs, 0.5, id_col="vec_id").count() == 0
-    assert PR.pivot_radius_join(vecs, 0.05, id_col="vec_id").count() == 0
+    assert RT.radius_tree_join(vecs, 0.05, id_col="vec_id").count() == 0
     edges = spark.createDataFrame([], "id_a long, id_b long, distance double")
     assert CL.masked_clusters(edges, 0.5).count() == 0
     scores = spark.createDataFrame([], "definition string, cosine_similarity double")
