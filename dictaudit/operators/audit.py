@@ -17,14 +17,13 @@ Backends (L1):
   run by ``mapInPandas`` with one client per partition, ``n_clients`` partitions bounding the
   concurrency, retries, and failures captured as ``error`` (never raised). Its answers are written
   to a table in the shared checkpoint folder before use, so a recomputed lineage never asks the
-  model again.
+  model again. ``answer_store.StoredBackend`` keeps answers over runs.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,16 +42,6 @@ def prompt_key(system: Column, user: Column, model: Column | None = None) -> Col
     return F.sha2(F.concat_ws(SEP, F.coalesce(m, F.lit("")), system, user), 256)
 
 
-@dataclass(frozen=True)
-class BackendConfig:
-    """Model name, endpoint, context window, temperature (0 = repeatable answers)."""
-
-    model: str = "llama3.1"
-    base_url: str | None = None
-    context_window: int | None = None
-    temperature: float = 0.0
-
-
 class MockBackend:
     """Deterministic answers from the md5 of ``model, system, user``.
 
@@ -109,12 +98,13 @@ class CallableBackend:
     expression_based = False
 
     def __init__(self, fn: Callable[[str, str, str], str], n_clients: int = 4, retries: int = 2,
-                 backoff_s: float = 0.5, config: BackendConfig | None = None):
-        self.fn, self.n_clients, self.retries, self.backoff_s = fn, n_clients, retries, backoff_s
-        self.config = config or BackendConfig()
+                 backoff_s: float = 0.5, model: str = ""):
+        """``model`` (S11) is asked when a request names none; an endpoint or a context window is the client's."""
+        self.fn, self.n_clients, self.retries, self.backoff_s, self.model = fn, n_clients, retries, backoff_s, model
 
-    def complete(self, requests: DataFrame) -> DataFrame:
-        fn, retries, backoff, default_model = self.fn, self.retries, self.backoff_s, self.config.model
+    def plan(self, requests: DataFrame) -> DataFrame:
+        """The plan that asks; run it once and keep what it gives."""
+        fn, retries, backoff, default_model = self.fn, self.retries, self.backoff_s, self.model
         cols = ["pkey", "system", "user"] + (["model"] if "model" in requests.columns else [])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,8 +131,10 @@ class CallableBackend:
                     out_e.append(err)
                 yield pd.DataFrame({"pkey": pdf["pkey"], "response": out_r, "error": out_e})
 
-        answers = requests.select(*cols).repartition(self.n_clients).mapInPandas(run, ANSWER_SCHEMA)
-        return materialize(answers, "llm-answers")
+        return requests.select(*cols).repartition(self.n_clients).mapInPandas(run, ANSWER_SCHEMA)
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        return materialize(self.plan(requests), "llm-answers")
 
 
 def ask(requests: DataFrame, backend) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,30 +38,60 @@ def _blank_to_null(c):
     return F.when(s != "", s)
 
 
-def read_dictionary_xml(spark: SparkSession, path: str, mode: str = "classes", row_tag: str = "ontoml:class",
+def scan_xml_records(spark: SparkSession, path: str, row_tag: str = "ontoml:class") -> DataFrame:
+    """One row per element ``row_tag`` of the UTF-8 XML files under ``path``: the parsed element ``r``, its
+    ``xml``, ``error`` (null for a good element) and where it lies (``file``, ``block``, ``row``, ``part``).
+
+    Files are split by bytes, at the elements' end tags, so one large file is read by many tasks. Every
+    element is parsed by itself: a malformed one, or one without its end, is a row with an error, and the
+    elements after it are not lost. An end tag inside a comment or a CDATA section ends an element there.
+    """
+    tag = re.escape(row_tag)
+    end = f"</{row_tag}>"
+    lines = spark.read.option("lineSep", end).text(path).select(
+        F.split("value", rf"(?=<{tag}[\s/>])").alias("parts"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # what comes before the first start tag is no element
+    starts = lines.select("file", "block", "row", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "xml")).where(
+        F.col("xml").rlike(rf"^<{tag}[\s/>]"))
+    alone = F.regexp_extract("xml", rf"^<{tag}(\s[^<>]*)?/>", 0)
+    whole = F.when(alone != "", alone).when(F.col("part") == F.col("n") - 1, F.concat("xml", F.lit(end)))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "rowTag": row_tag}
+    parsed = starts.withColumn("whole", whole).withColumn("r", F.from_xml("whole", XML_SCHEMA, options))
+    error = F.when(F.col("whole").isNull(), "no end tag").when(F.col("r").isNull() | F.col("r._corrupt_record").isNotNull(), "malformed")
+    return parsed.select("r", "xml", error.alias("error"), "file", "block", "row", "part")
+
+
+def xml_losses(spark: SparkSession, path: str, row_tag: str = "ontoml:class") -> DataFrame:
+    """Loss accounting of S1: (segment, file, block, error, beginning) of every element that cannot be read."""
+    found = scan_xml_records(spark, path, row_tag).where("error is not null")
+    return found.select(_segment().alias("segment"), "file", "block", "error", F.substring("xml", 1, 200).alias("beginning"))
+
+
+def _segment():
+    """The last SG_<n> in the path: a segment file name or a segment directory."""
+    found = F.regexp_extract("file", fv.SEGMENT_FILE_PATTERN + r"(?!.*SG_\d)", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def read_dictionary_xml(spark: SparkSession, path: str, mode: str | None = "classes", row_tag: str = "ontoml:class",
                         exclude_segments: list[int] | None = None) -> DataFrame:
     """S1 + S2 + P2: every element ``row_tag`` of the XML files under ``path``, kept when its
     ``xsi:type`` is the mode's type and it has an id; first label and first text, stripped, empty →
     null. ``segment`` comes from the file name (``SG_<n>``), ``seq`` is the position in the scan
-    (file block, then row), so "first occurrence" keeps the document order. Malformed records are
-    dropped (``PERMISSIVE`` + corrupt-record column), never fatal.
+    (file block, then row), so "first occurrence" keeps the document order. Elements that cannot be read are
+    left out; :func:`xml_losses` lists them. Without a mode (U6) both kinds are read in one plan; ``kind`` tells which.
     """
-    raw = (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").schema(XML_SCHEMA).load(path))
-    df = raw.select(
-        F.col("_id").alias("id"), F.col("`_xsi:type`").alias("xsi_type"),
-        _blank_to_null(F.get(F.col("preferred_name.label"), 0)["_VALUE"]).alias("preferred_name"),
-        _blank_to_null(F.get(F.col("definition.text"), 0)["_VALUE"]).alias("definition"),
-        # The last SG_<n> in the path: a segment file name or a segment directory.
-        F.regexp_extract(F.col("_metadata.file_path"), fv.SEGMENT_FILE_PATTERN + r"(?!.*SG_\d)", 1).alias("_seg"),
-        F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                 F.monotonically_increasing_id().alias("row")).alias("seq"))
-    df = (df.filter((F.col("xsi_type") == fv.XML_TYPE_BY_MODE[mode]) & F.col("id").isNotNull())
-          .withColumn("segment", F.when(F.col("_seg") != "", F.col("_seg").cast("int")))
-          .withColumn("kind", F.lit(mode)))
+    records = scan_xml_records(spark, path, row_tag).where("error is null")
+    kinds = fv.XML_TYPE_BY_MODE if mode is None else {mode: fv.XML_TYPE_BY_MODE[mode]}
+    kind = F.coalesce(*[F.when(F.col("r").getField("_xsi:type") == t, m) for m, t in kinds.items()])
+    df = records.select(
+        F.col("r._id").alias("id"), _blank_to_null(F.get(F.col("r.preferred_name.label"), 0)["_VALUE"]).alias("preferred_name"),
+        _blank_to_null(F.get(F.col("r.definition.text"), 0)["_VALUE"]).alias("definition"), _segment().alias("segment"),
+        F.struct("file", "block", "row", "part").alias("seq"), kind.alias("kind")).where("kind is not null and id is not null")
     if exclude_segments:
         df = df.filter(~F.col("segment").isin(list(exclude_segments)) | F.col("segment").isNull())
-    return df.select("id", "preferred_name", "definition", "segment", "seq", "kind")
+    return df
 
 
 def normalised_columns(columns: list[str]) -> dict[str, str]:
@@ -159,9 +190,10 @@ def _xml_escape(c):
 
 
 def write_dictionary_xml(entries: DataFrame, path: str, mode: str = "classes", row_tag: str = "ontoml:class",
-                         files_per_segment: int = 4) -> str:
+                         files_per_segment: int = 4, broken=None) -> str:
     """Write entries ``(id, preferred_name, definition, segment)`` as dictionary XML, one directory
-    per segment (``…/SG_<n>/``), one element per line; the inverse of :func:`read_dictionary_xml`."""
+    per segment (``…/SG_<n>/``), one element per line; the inverse of :func:`read_dictionary_xml`. Where the
+    column ``broken`` is true the element is malformed."""
     ns = ('xmlns:ontoml="urn:iso:std:iso:is:13584:-32:ed-1:tech:xml-schema:ontoml" '
           'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"')
     head = F.concat(F.lit(f'<{row_tag} {ns} xsi:type="{fv.XML_TYPE_BY_MODE[mode]}" id="'), _xml_escape(F.col("id")),
@@ -173,6 +205,8 @@ def write_dictionary_xml(entries: DataFrame, path: str, mode: str = "classes", r
                         F.concat(F.lit("<definition><text>"), _xml_escape(F.col("definition")),
                                  F.lit("</text></definition>"))).otherwise(F.lit(""))
     line = F.concat(head, name, definition, F.lit(f"</{row_tag}>"))
+    if broken is not None:
+        line = F.when(broken, F.concat(head, F.lit(f"<preferred_name><label></{row_tag}>"))).otherwise(line)
     # One XML document per (segment, bucket) group: a root header row, the elements, a footer row.
     # Each group is one partition value, so one task writes it into one file, in (dir, ord) order.
     bucket = F.pmod(F.xxhash64("id"), F.lit(files_per_segment)).cast("string")
