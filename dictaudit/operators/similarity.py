@@ -4,7 +4,9 @@ calibration (A15).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -17,16 +19,15 @@ def misfit_scores(entries: DataFrame, name_vectors: DataFrame, definition_vector
     """M2: cosine similarity between each entry's name vector and definition vector.
 
     ``name_vectors``/``definition_vectors`` are text-keyed maps ``(text, embedding)``. Inner joins:
-    an entry whose name or definition has no vector is skipped (see :func:`misfit_skips`).
-    Ordered by similarity descending, then id.
+    an entry whose name or definition has no vector is skipped (see :func:`misfit_skips`). Rows
+    come in no order: a report sorts them (T3), a summary need not.
     """
     nv = name_vectors.select(F.col("text").alias("preferred_name"), F.col("embedding").alias("_nv"))
     dv = definition_vectors.select(F.col("text").alias("definition"), F.col("embedding").alias("_dv"))
     return (entries.select("id", "preferred_name", "definition")
             .join(nv, "preferred_name").join(dv, "definition")
             .select("id", "preferred_name", "definition",
-                    V.cosine_similarity("_nv", "_dv").alias("cosine_similarity"))
-            .orderBy(F.desc("cosine_similarity"), "id"))
+                    V.cosine_similarity("_nv", "_dv").alias("cosine_similarity")))
 
 
 def misfit_skips(entries: DataFrame, name_vectors: DataFrame, definition_vectors: DataFrame) -> DataFrame:
@@ -39,57 +40,53 @@ def misfit_skips(entries: DataFrame, name_vectors: DataFrame, definition_vectors
                  F.count_if(F.col("_n").isNotNull() & F.col("_d").isNull()).alias("skipped_no_definition_vector"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], accuracy: int = 100_000) -> DataFrame:
-    """Exact linear-interpolated quantiles (numpy's default) without gathering the column in one task.
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], bins: int = 4096) -> DataFrame:
+    """Exact linear-interpolated quantiles (numpy's default) by refined histograms.
 
-    1. ``percentile_approx`` brackets every target rank: its rank error is at most n/accuracy, so
-       the value window between the approximate quantiles at p -/+ 3/accuracy holds the ranks
-       floor(p(n-1)) and ceil(p(n-1)).
-    2. Values below each window are only counted (conditional counts, one pass). Inside a window
-       equal values are counted before the shuffle, so ties of any number are one row; a running
-       sum per quantile over the distinct values (at most about 6n/accuracy) gives their ranks.
-    3. The two neighbouring order statistics are interpolated.
+    A round counts the values of each open bracket in ``bins`` equal bins, with the least and largest value
+    of each bin; partial sums leave every task, so a round shuffles a fixed number of rows however many
+    values there are. The bin that holds a wanted rank becomes its next bracket; a bin with a single
+    distinct value, repeated however often, is the answer. Brackets end at values that occur, so they
+    shrink by at least the factor ``bins`` or across a gap.
 
-    Returns one row per quantile: ``qi int, p double, value double``.
+    Returns one row per quantile: ``qi int, p double, value double`` (null for no values).
     """
-    d = 3.0 / accuracy
-    nq = len(probs)
-    x = F.col(col).cast("double")
-    base = df.select(x.alias("x")).na.drop()
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"),
-                     F.percentile_approx("x", F.array(*[F.lit(max(0.0, p - d)) for p in probs]), accuracy).alias("lo"),
-                     F.percentile_approx("x", F.array(*[F.lit(min(1.0, p + d)) for p in probs]), accuracy).alias("hi"))
-    # Rank error ≤ n/accuracy puts floor/ceil(p(n-1)) inside [approx(p-d), approx(p+d)] once
-    # n ≥ 2·accuracy; below that the window is the whole range (at most 2·accuracy values).
-    small = F.col("n") < F.lit(2 * accuracy)
-    stats = stats.select("n", F.when(small, F.array_repeat("mn", nq)).otherwise(F.col("lo")).alias("lo"),
-                         F.when(small, F.array_repeat("mx", nq)).otherwise(F.col("hi")).alias("hi"))
-    # The stats frame is one row: attaching it to every value is a broadcast of a constant.
-    attached = attach_row(base, stats)
-    below = attached.agg(*[F.count_if(F.col("x") < F.col("lo")[i]).alias(f"b{i}") for i in range(nq)])
-    below = below.select(F.posexplode(F.array(*[F.col(f"b{i}") for i in range(nq)])).alias("qi", "n_below"))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(nq - 1)),
-                      lambda i: (F.col("x") >= F.element_at("lo", i + 1)) & (F.col("x") <= F.element_at("hi", i + 1)))
-    counted = attached.select("x", "n", F.explode(inside).alias("qi")).groupBy("qi", "x", "n").agg(F.count("*").alias("times"))
-    win = counted.withColumn("upto", F.sum("times").over(Window.partitionBy("qi").orderBy("x")))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    win = (win.join(F.broadcast(below), "qi")
-           .withColumn("p", F.element_at(ps, F.col("qi") + 1))
-           .withColumn("r", F.col("p") * (F.col("n") - 1))
-           .withColumn("k1", F.floor("r")).withColumn("k2", F.ceil("r"))
-           .withColumn("stop", F.col("upto") + F.col("n_below"))
-           .withColumn("start", F.col("stop") - F.col("times")))
-    holds = lambda k: (F.col("start") <= F.col(k)) & (F.col(k) < F.col("stop"))
-    picked = (win.filter(holds("k1") | holds("k2")).groupBy("qi", "p", "r", "k1")
-              .agg(F.max(F.when(holds("k1"), F.col("x"))).alias("v1"), F.max(F.when(holds("k2"), F.col("x"))).alias("v2")))
-    return picked.select("qi", "p", (F.col("v1") + (F.col("r") - F.col("k1")) * (F.col("v2") - F.col("v1"))).alias("value"))
+    base = df.select(F.col(col).cast("double").alias("x")).na.drop()
+    n, least, most = base.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    at = [p * (n - 1) for p in probs]
+    ranks = sorted({k for r in at for k in (math.floor(r), math.ceil(r))}) if n else []
+    found: dict[int, float] = {}
+    open_ = {k: (least, most, 0) for k in ranks}    # rank: least and largest value, number of values below
+    while open_:
+        brackets = sorted(set(open_.values()))
+        hit = []
+        for j, (lo, hi, _) in enumerate(brackets):
+            # halves keep the width finite for values of any size
+            share = (F.col("x") / 2 - F.lit(lo / 2)) / F.lit((hi / 2 - lo / 2) or 1.0)
+            hit.append(F.when(F.col("x").between(lo, hi), F.struct(F.lit(j).alias("j"), F.least(F.lit(bins - 1), F.floor(share * bins)).alias("bin"))))
+        rows = base.select("x", F.explode(F.array_compact(F.array(*hit))).alias("h")).groupBy("h.j", "h.bin").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()   # at most bins rows a bracket
+        bin_rows = [sorted((r for r in rows if r.j == j), key=lambda r: r.bin) for j in range(len(brackets))]
+        for k, bracket in list(open_.items()):
+            below = bracket[2]
+            for r in bin_rows[brackets.index(bracket)]:
+                if k < below + r.n:
+                    break
+                below += r.n
+            if r.lo == r.hi:
+                found[k] = r.lo
+                del open_[k]
+            else:
+                open_[k] = (r.lo, r.hi, below)
+    values = [found[math.floor(r)] + (r - math.floor(r)) * (found[math.ceil(r)] - found[math.floor(r)]) if n else None for r in at]
+    return df.sparkSession.createDataFrame([(i, float(p), v) for i, (p, v) in enumerate(zip(probs, values))], "qi int, p double, value double")
 
 
 def summary_stats(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, median, population std, min, max, p25, p75 (one row).
 
-    The scores are read four times (moments, quantile brackets, counts below, ranked windows), so
-    the single score column is written once and every pass reads that narrow table.
+    The scores are read once for the moments and once a round of the quantiles, so the single score
+    column is written once and every pass reads that narrow table.
     """
     from ..session import materialize
 

@@ -65,7 +65,7 @@ SELECT id, preferred_name, definition, round(cosine_similarity, 6) AS cosine_sim
 FROM ({_MISFIT_SQL}) ORDER BY cosine_similarity DESC, id
 """)
 def name_definition_misfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _misfit(spark, sf_dir).withColumn("cosine_similarity", _r6("cosine_similarity"))
+    return _misfit(spark, sf_dir).orderBy(F.desc("cosine_similarity"), "id").withColumn("cosine_similarity", _r6("cosine_similarity"))
 
 
 @register("misfit_skips", "J1", f"""

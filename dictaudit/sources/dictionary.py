@@ -7,16 +7,18 @@ the source defines them.
 
 from __future__ import annotations
 
+import csv
 import logging
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import text as TX
+from ..session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -110,6 +112,49 @@ def normalised_columns(columns: list[str]) -> dict[str, str]:
     return mapping
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records (file, header, record) of the quoted UTF-8 CSV files under ``path``, one text a record, also where
+    quoted fields hold line breaks. Files are split by bytes, so one large file is read by many tasks:
+
+    a line is inside a quoted field when the quotes before it in its file are odd in number. The parity of
+    each byte range is counted first; sums over the ranges before then tell where every range begins, and
+    with that which lines start records. Lines that are whole records are done; only the lines of
+    records of several lines are brought together, by the place of the record's first line.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy("file", "block").agg(F.sum(odd).alias("odd")).select(
+        "file", "block", (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).alias("open"))
+    inside = Window.partitionBy("file", "block").orderBy("row")
+    before = F.coalesce(F.sum(odd).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("open")
+    placed = lines.join(ranges, ["file", "block"]).withColumn("starts", before % 2 == 0).withColumn("whole", F.col("starts") & (odd == 0))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("start", F.last(F.when(F.col("starts"), F.struct("block", "row")), ignorenulls=True).over(so_far)).withColumn(
+        "head", (F.col("block") == 0) & (F.row_number().over(inside) == 1))
+    placed = materialize(placed.drop("open"), "csv-lines")
+    # a record that goes on from an earlier range
+    lasts = placed.groupBy("file", "block").agg(F.max("start").alias("last"))
+    carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    several = placed.where(~F.col("whole")).join(carried, ["file", "block"]).groupBy("file", F.coalesce("start", "carried").alias("start")).agg(
+        F.max("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    records = placed.where("whole").select("file", "head", "value").union(several.select("file", "head", "value"))
+    return records.select("file", F.col("head").alias("header"), F.regexp_replace("value", "\r$", "").alias("record")).where("record <> ''")
+
+
+def _csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of the CSV files as strings; the files must have one header."""
+    records = csv_records(spark, path)
+    heads = [r.record for r in records.where("header").select("record").distinct().limit(2).collect()]
+    if len(heads) != 1:
+        raise ValueError(f"CSV files need one header in common, found {heads or 'none'}")
+    names = next(csv.reader([heads[0].lstrip("\ufeff")]))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    row = F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    return records.where("not header").select(row.alias("r")).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_entries_csv(spark: SparkSession, path: str, fill_empty: bool = False,
                      na_tokens: list[str] | None = None) -> DataFrame:
     """S3/S4 + P3 + P4: entry CSV with quoted multi-line fields, all columns as strings.
@@ -118,8 +163,7 @@ def read_entries_csv(spark: SparkSession, path: str, fill_empty: bool = False,
     ``fill_empty`` turns nulls into ``""`` (the all-strings loader). A missing name column is filled
     from the id, or ``""`` without one.
     """
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .option("inferSchema", False).csv(path))
+    df = _csv_table(spark, path)
     mapping = normalised_columns(df.columns)
     df = df.select(*[F.col(f"`{src}`").alias(dst) for src, dst in mapping.items()])
     if "preferred_name" not in df.columns:

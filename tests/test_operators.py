@@ -116,7 +116,7 @@ def test_exact_quantiles_equal_numpy(spark, n):
     rng = np.random.default_rng(n)
     vals = np.round(rng.normal(size=n), 3)          # rounding creates ties
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = {r.qi: r.value for r in SIM.exact_quantiles(df, "x", [0.25, 0.5, 0.75], accuracy=50).collect()}
+    got = {r.qi: r.value for r in SIM.exact_quantiles(df, "x", [0.25, 0.5, 0.75], bins=7).collect()}
     for i, p in enumerate([0.25, 0.5, 0.75]):
         assert got[i] == pytest.approx(float(np.percentile(vals, p * 100)), abs=1e-12)
 
