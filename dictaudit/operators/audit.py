@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as T
 from ..session import materialize
+from .util import attach_row
 
 SEP = "\x1f"
 ANSWER_SCHEMA = "pkey string, response string, error string"
@@ -325,8 +326,31 @@ def verdict_counts(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def run_counters(results: DataFrame) -> DataFrame:
-    """Processed, success, error, with remediation (one row)."""
+def single_prompt_requests(pairs: DataFrame, version: int) -> DataFrame:
+    """P20, prompt sets 1 to 3: one audit question a pair (role ``audit``), and the definition questions of
+    the set: none in set 1, each term against the other in set 2, each term by itself in set 3."""
+    if version not in (1, 2, 3):
+        raise ValueError(f"prompt sets 1 to 3 ask one question a pair, not {version}")
+    ask = lambda role, system, template, **slots: F.struct(
+        F.lit(role).alias("role"), F.lit(system).alias("system"), T.fill_template(template, **slots).alias("user"))
+    n1, n2 = F.col("name_1"), F.col("name_2")
+    reqs = [ask("audit", fv.SINGLE_AUDIT_SYSTEM_PROMPT, fv.SINGLE_AUDIT_USER_PROMPT, name_1=n1, def_1=F.col("def_1"), name_2=n2, def_2=F.col("def_2"))]
+    for role, own, other in (("definition_a", n1, n2), ("definition_b", n2, n1)):
+        if version == 2:
+            reqs.append(ask(role, fv.ANTAGONIST_SYSTEM_PROMPT, fv.ANTAGONIST_USER_PROMPT, term=own, antagonist=other))
+        elif version == 3:
+            reqs.append(ask(role, fv.ISO_SYSTEM_PROMPT, fv.ISO_USER_PROMPT, term_name=own))
+    model = F.col("model") if "model" in pairs.columns else F.lit("").alias("model")
+    r = pairs.select("pair_id", model, F.lit(version).alias("version"), F.explode(F.array(*reqs)).alias("r")).select("pair_id", "model", "version", "r.*")
+    return r.withColumn("pkey", prompt_key(F.col("system"), F.col("user"), F.col("model")))
+
+
+def run_counters(results: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """Processed, success, error, with remediation (one row); with the ``candidates`` before the
+    filters also ``skipped``, those that are chemical or structural."""
+    if candidates is not None:
+        out = T.is_chemical_pair("text_a", "text_b") | T.is_structural_pair("text_a", "text_b")
+        return attach_row(run_counters(results), candidates.agg(F.count_if(out).alias("skipped")))
     has_fix = (F.coalesce(F.col("llm_definition_a"), F.lit("")) != "") | (F.coalesce(F.col("llm_definition_b"), F.lit("")) != "")
     return results.agg(F.count(F.lit(1)).alias("processed"),
                        F.count_if(F.col("status") == "success").alias("success"),
@@ -346,6 +370,13 @@ def expected_verdicts(ablation: DataFrame, expected: str = fv.EXPECTED_UNRELATED
             .withColumn("pass_rate", F.col("n_expected") / F.col("n_success")))
 
 
+def unexpected_verdicts(ablation: DataFrame, expected: str = fv.EXPECTED_UNRELATED_VERDICT, modes: list[str] | None = None) -> DataFrame:
+    """The successful rows of the unrelated test sets with another verdict, one row each."""
+    modes = modes or fv.UNRELATED_TEST_SETS
+    return ablation.where(F.col("mode").isin(*modes) & (F.col("status") == "success") & (F.col("verdict") != expected)).select(
+        "model", "mode", "tuple_id", "name_1", "name_2", "verdict")
+
+
 def audit_tuple_set(tuples: DataFrame, backend, model: str | None = None, remediate: bool = True,
                     expected: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Audit a fixed set of tuples ``(tuple_id, name_1, def_1, name_2, def_2)`` — no candidate

@@ -288,6 +288,62 @@ def expected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.expected_verdicts(ablation_df(spark, sf_dir))
 
 
+@register("audit_counters", "A19 P10 P11 L5", _audit_sql() + f""",
+sk AS (SELECT count(*) AS skipped FROM cand WHERE {Q.is_chemical('text_a')} OR {Q.is_chemical('text_b')}
+       OR {Q.in_list('text_a', fv.STRUCTURAL_DEFINITIONS)} OR {Q.in_list('text_b', fv.STRUCTURAL_DEFINITIONS)})
+SELECT count(*) AS processed, count(*) FILTER (WHERE status = 'success') AS success,
+       count(*) FILTER (WHERE status = 'error') AS error,
+       count(*) FILTER (WHERE status = 'success' AND (llm_definition_a <> '' OR llm_definition_b <> '')) AS with_remediation, any_value(skipped) AS skipped
+FROM audit, sk
+""")
+def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates = materialize(candidate_pairs(spark, sf_dir, RADIUS), "audit-candidates")
+    return A.run_counters(A.audit_candidates(candidates, A.MockBackend()), candidates)
+
+
+@register("unexpected_verdicts", "A20 L6", _ablation_sql() + f"""
+SELECT model, mode, tuple_id, name_1, name_2, verdict FROM abl
+WHERE status = 'success' AND verdict <> {Q.q(fv.EXPECTED_UNRELATED_VERDICT)} AND mode IN ({', '.join(Q.q(m) for m in fv.UNRELATED_TEST_SETS)})
+""")
+def unexpected_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.unexpected_verdicts(ablation_df(spark, sf_dir))
+
+
+def _single_prompts_sql() -> str:
+    audit = Q.fill(fv.SINGLE_AUDIT_USER_PROMPT, name_1='name_1', def_1='def_1', name_2='name_2', def_2='def_2')
+    parts = [f"SELECT pair_id, {v} AS version, 'audit' AS role, {audit} AS prompt FROM pairs" for v in (1, 2, 3)]
+    for role, own, other in (("definition_a", "name_1", "name_2"), ("definition_b", "name_2", "name_1")):
+        parts.append(f"SELECT pair_id, 2, '{role}', {Q.fill(fv.ANTAGONIST_USER_PROMPT, term=own, antagonist=other)} FROM pairs")
+        parts.append(f"SELECT pair_id, 3, '{role}', {Q.fill(fv.ISO_USER_PROMPT, term_name=own)} FROM pairs")
+    return " UNION ALL ".join(parts)
+
+
+@register("render_single_prompts", "P20", _kept_sql() + _single_prompts_sql())
+def render_single_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of the sets 1 to 3 for every kept pair."""
+    pairs = _kept(spark, sf_dir)
+    out = None
+    for version in (1, 2, 3):
+        r = A.single_prompt_requests(pairs, version).select("pair_id", "version", "role", F.col("user").alias("prompt"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+_FREE = ("'### Analysis\n- Alignment: Pass\n' || text || '\n### Diagnosis\n- Category: ' || "
+         f"list_extract([{', '.join(Q.q(v.title()) for v in fv.VERDICT_SEARCH_ORDER)}, 'none of these'], 1 + ('0x' || substr(md5(text), 1, 2))::INT % 5)")
+
+
+@register("free_answers", "P19", f"""
+SELECT conv_id, turn, {Q.extract_verdict('a')} AS verdict FROM (SELECT conv_id, turn, {_FREE} AS a FROM conversations)
+""")
+def free_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of free answers, as the sets 1 to 3 ask for them: analysis, text and a ``Category:`` line."""
+    names = F.array(*[F.lit(v.title()) for v in fv.VERDICT_SEARCH_ORDER], F.lit("none of these"))
+    pick = F.conv(F.substring(F.md5("text"), 1, 2), 16, 10).cast("int") % 5 + 1
+    answer = F.concat(F.lit("### Analysis\n- Alignment: Pass\n"), "text", F.lit("\n### Diagnosis\n- Category: "), F.element_at(names, pick))
+    return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.extract_verdict(answer).alias("verdict"))
+
+
 # ------------------------------------------------------------------------------------------------
 # Answer parsing on conversations: a YES/NO-style prefix chosen by the md5 of the text is put in
 # front of each text; turns 0–3 of a conversation play alignment A, alignment B, names distinct
