@@ -1,8 +1,8 @@
-"""Registered audit queries: candidate filters, prompt rendering, the two-round audit with the mock
-backend, remediation, run counters, the model ablation, and answer parsing on ``conversations``.
+"""Registered audit queries: candidate filters, prompt rendering, the two-round audit on recorded
+answers, remediation, run counters, the model ablation, and answer parsing on ``conversations``.
 
-The mock backend is a pure Spark expression of the prompt hash, so every audit query here has an
-SQL mirror computing the same answers from the same md5.
+The answers are turns of ``conversations`` (see ``ConversationAnswers``), so every audit query here has an
+SQL mirror that looks the same answers up.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators.util import attach_row
 from ..session import materialize
 from ..sources import tables as S
 from . import sqlfrag as Q
@@ -27,6 +28,44 @@ def _r6(c):
     return F.round(F.col(c), 6)
 
 
+# A YES/NO-style prefix chosen by the md5 of the text is put in front of each recorded text: almost no
+# text of the table begins so by itself.
+_PREFIXES = ["YES — ", "YES — ", "YES — ", "YES — ", "YES — ", "YES — ", "NO: ", "NO: ",
+             "NO: ", "NO: ", "no", "Nothing ", "  yes-", "", "maybe ", "NO-"]
+
+
+def _answer_expr() -> "F.Column":
+    c = F.conv(F.substring(F.md5(F.col("text")), 1, 1), 16, 10).cast("int")
+    pre = F.element_at(F.array(*[F.lit(p) for p in _PREFIXES]), c + 1)
+    return F.concat(pre, F.col("text"))
+
+
+def _answer_sql(text: str = "text") -> str:
+    cases = " ".join(f"WHEN '{h}' THEN {Q.q(p)}" for h, p in zip("0123456789abcdef", _PREFIXES))
+    return f"(CASE substr(md5({text}), 1, 1) {cases} END || {text})"
+
+
+def _recorded_sql(requests: str, name: str) -> str:
+    return Q.recorded_answer(_answer_sql("v.text"), requests, name)
+
+
+class ConversationAnswers:
+    """Recorded answers (L1): a prompt's hash names a conversation and one of its first four turns; the
+    turn's text behind its prefix is the answer, and a prompt whose turn does not exist has none."""
+
+    expression_based = True
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        turns = S.table(spark, sf_dir, "conversations")
+        self.turns = turns.select("conv_id", "turn", _answer_expr().alias("response"))
+        self.size = turns.agg((F.max("conv_id") + 1).alias("size"))
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        digits = lambda start, n: F.conv(F.substring("pkey", start, n), 16, 10).cast("long")
+        named = attach_row(requests.select("pkey"), self.size).select("pkey", (digits(1, 6) % F.col("size")).alias("conv_id"), (digits(7, 1) % 4).alias("turn"))
+        return A.TableBackend(named.join(self.turns, ["conv_id", "turn"])).complete(requests)
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared candidate pairs, written once to the checkpoint directory (they are reused by every
     audit round; recomputing them would re-run the radius join)."""
@@ -75,13 +114,13 @@ def _signals_sql(models: str) -> str:
     return f""",
 mp AS (SELECT m.model, p.* FROM pairs p, ({models}) m),
 r1 AS ({r1}),
-p1 AS ({parse} FROM (SELECT *, {Q.mock_answer('system', '"user"', 'model')} AS response FROM r1)),
+p1 AS ({parse} FROM {_recorded_sql('r1', 'response')}),
 need2 AS (SELECT model, pair_id FROM p1 GROUP BY model, pair_id
           HAVING count(*) FILTER (WHERE parse_error IS NULL) = 3 AND bool_or(answer) FILTER (WHERE role = 'names_distinct')),
 r2 AS (SELECT mp.model, mp.pair_id, 'defs_too_similar' AS role, {Q.q(fv.DEFS_TOO_SIMILAR_SYSTEM_PROMPT)} AS system,
               {Q.fill(fv.DEFS_TOO_SIMILAR_USER_PROMPT, name_1='name_1', def_1='def_1', name_2='name_2', def_2='def_2')} AS "user"
        FROM mp JOIN need2 USING (model, pair_id)),
-p2 AS ({parse} FROM (SELECT *, {Q.mock_answer('system', '"user"', 'model')} AS response FROM r2)),
+p2 AS ({parse} FROM {_recorded_sql('r2', 'response')}),
 piv AS (SELECT model, pair_id, {piv} FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) GROUP BY model, pair_id),
 sig AS (SELECT model, pair_id,
                CASE WHEN {error} IS NULL THEN 'success' ELSE 'error' END AS status, {error} AS error,
@@ -111,7 +150,8 @@ terms AS (SELECT model, pair_id, 'A' AS term FROM sig WHERE status = 'success' A
 treq AS (SELECT t.model, t.pair_id, t.term, {Q.q(fv.ISO_SYSTEM_PROMPT)} AS system,
                 {Q.fill(fv.ISO_USER_PROMPT, term_name="CASE WHEN t.term = 'A' THEN p.name_1 ELSE p.name_2 END")} AS "user"
          FROM terms t JOIN pairs p USING (pair_id)),
-fixes AS (SELECT model, pair_id, term, {Q.strip(Q.mock_answer('system', '"user"', 'model'))} AS definition FROM treq)"""
+fixes AS (SELECT model, pair_id, term, {Q.strip('answer')} AS definition
+          FROM {_recorded_sql('treq', 'answer')} WHERE answer IS NOT NULL)"""
     return "," + terms
 
 
@@ -192,7 +232,7 @@ SELECT round(distance, 6) AS distance, preferred_names_a, text_a, preferred_name
        llm_definition_a, llm_definition_b, status FROM audit
 """)
 def audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.audit_candidates(candidate_pairs(spark, sf_dir, RADIUS), A.MockBackend())
+    out = A.audit_candidates(candidate_pairs(spark, sf_dir, RADIUS), ConversationAnswers(spark, sf_dir))
     return out.withColumn("distance", _r6("distance"))
 
 
@@ -201,8 +241,9 @@ SELECT pair_id, term, definition FROM fixes
 """)
 def remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = A._with_model(_kept(spark, sf_dir), None)
-    sig = A.audit_signals(pairs, A.MockBackend())
-    return A.remediation(pairs, sig, A.MockBackend()).select("pair_id", "term", "definition")
+    answers = ConversationAnswers(spark, sf_dir)
+    sig = A.audit_signals(pairs, answers)
+    return A.remediation(pairs, sig, answers).select("pair_id", "term", "definition")
 
 
 @register("verdict_counts", "A17", _audit_sql() + """
@@ -254,7 +295,7 @@ def ablation_df(spark: SparkSession, sf_dir: str, models: list[str] | None = Non
     tuples = k.select("pair_id", "name_1", "def_1", "name_2", "def_2", mode.alias("mode"))
     # The model list is a fixed literal array (five names): exploding it is a projection.
     mp = tuples.withColumn("model", F.explode(F.array(*[F.lit(m) for m in wanted])))
-    sig = A.audit_signals(mp, A.MockBackend())
+    sig = A.audit_signals(mp, ConversationAnswers(spark, sf_dir))
     return (sig.join(tuples.select("pair_id", "mode", "name_1", "name_2"), "pair_id")
             .select("model", "mode", F.col("pair_id").alias("tuple_id"), "name_1", "name_2", "verdict", "status",
                     "alignment_a", "alignment_a_justification", "alignment_b", "alignment_b_justification",
@@ -298,7 +339,7 @@ FROM audit, sk
 """)
 def audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = materialize(candidate_pairs(spark, sf_dir, RADIUS), "audit-candidates")
-    return A.run_counters(A.audit_candidates(candidates, A.MockBackend()), candidates)
+    return A.run_counters(A.audit_candidates(candidates, ConversationAnswers(spark, sf_dir)), candidates)
 
 
 @register("unexpected_verdicts", "A20 L6", _ablation_sql() + f"""
@@ -350,20 +391,6 @@ def free_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # and definitions too similar.
 # ------------------------------------------------------------------------------------------------
 
-_PREFIXES = ["YES — ", "YES — ", "YES — ", "YES — ", "YES — ", "YES — ", "NO: ", "NO: ",
-             "NO: ", "NO: ", "no", "Nothing ", "  yes-", "", "maybe ", "NO-"]
-
-
-def _answer_expr() -> "F.Column":
-    c = F.conv(F.substring(F.md5(F.col("text")), 1, 1), 16, 10).cast("int")
-    pre = F.element_at(F.array(*[F.lit(p) for p in _PREFIXES]), c + 1)
-    return F.concat(pre, F.col("text"))
-
-
-def _answer_sql() -> str:
-    cases = " ".join(f"WHEN '{h}' THEN {Q.q(p)}" for h, p in zip("0123456789abcdef", _PREFIXES))
-    return f"(CASE substr(md5(text), 1, 1) {cases} END || text)"
-
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", _answer_expr().alias("response"))

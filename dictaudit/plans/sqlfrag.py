@@ -92,22 +92,20 @@ def fill(template: str, **slots: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-def mock_hash(system: str, user: str, model: str = "''") -> str:
-    return f"md5(concat_ws(chr(31), coalesce({model}, ''), {system}, {user}))"
+def prompt_hash(system: str, user: str, model: str = "''") -> str:
+    return f"sha256(concat_ws(chr(31), coalesce({model}, ''), {system}, {user}))"
 
 
-def mock_answer(system: str, user: str, model: str = "''") -> str:
-    h = mock_hash(system, user, model)
-    c = f"substr({h}, 1, 1)"
-    tail = f"substr({h}, 2, 8)"
-    return (f"(CASE WHEN {system} = {q(fv.ISO_SYSTEM_PROMPT)} THEN 'Mock definition ' || substr({h}, 1, 12) "
-            f"WHEN {c} IN ('0','1','2','3','4','5','6','7','8','9','a','b') THEN 'YES — mock ' || {tail} "
-            f"WHEN {c} IN ('c','d') THEN 'NO — mock ' || {tail} "
-            f"WHEN {c} = 'e' THEN 'Nothing ' || {tail} ELSE 'Unclear ' || {tail} END)")
+def recorded_answer(answer: str, requests: str, name: str, model: str = "model") -> str:
+    """``requests`` with a column ``name``: the recorded turn that the hash of (model, system, "user") names, or
+    null; ``answer`` is an expression of ``v.text``."""
+    return (f"(SELECT r.*, {answer} AS {name} FROM (SELECT *, {prompt_hash('system', '"user"', model)} AS pk FROM {requests}) r "
+            f"LEFT JOIN conversations v ON v.conv_id = ('0x' || substr(pk, 1, 6))::BIGINT % (SELECT max(conv_id) + 1 FROM conversations) "
+            f"AND v.turn = ('0x' || substr(pk, 7, 1))::BIGINT % 4)")
 
 
 def parse_error(response: str) -> str:
-    return (f"(CASE WHEN {yes_no_answer(response)} IS NULL THEN "
+    return (f"(CASE WHEN {response} IS NULL THEN 'no recorded answer' WHEN {yes_no_answer(response)} IS NULL THEN "
             f"'Expected YES/NO response, got: ' || coalesce({strip(response)}, '') END)")
 
 
