@@ -80,4 +80,12 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df) -> None:
+    """Delete a table that ``materialize`` wrote, once everything made from it is written itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
