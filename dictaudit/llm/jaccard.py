@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictaudit.session import materialize
+from dictaudit.session import discard, materialize
 
 from .apply import fresh, per_text_rows
 from .components import components
@@ -450,6 +450,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # tiles in which texts of different components meet
     still = "part long, token long, doc long, n long, need long"
     open_ = materialize(placed(tiles.select("part", "token", "doc", "n", "need")).groupBy("part").applyInArrow(_open, still), "jaccard-open")
+    discard(tiles)
 
     def draw(salt: int):
         return lambda t: _drawn(t, percent, salt)
@@ -461,7 +462,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         named = materialize(_joined(named, links), "jaccard-components")
     # only tiles that still mix components get signatures
-    open_ = materialize(placed(open_).groupBy("part").applyInArrow(_open, still), "jaccard-open")
+    before = open_
+    open_ = materialize(placed(before).groupBy("part").applyInArrow(_open, still), "jaccard-open")
+    discard(before)
     enough = open_.groupBy("doc", "need").count().where("count >= abs(need)")
     last = open_.join(enough, ["doc", "need"], "left_semi").join(signatures.select("doc", "bits"), "doc")
     more = (placed(last).groupBy("part")
