@@ -89,3 +89,9 @@ def discard(df) -> None:
     """Delete a table that ``materialize`` wrote, once everything made from it is written itself."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark) -> None:
+    """Let the driver collect its garbage, so that Spark removes the shuffle files of plans that are written
+    and gone. By itself it may keep them until its heap is full, whatever the disks hold."""
+    spark.sparkContext._jvm.System.gc()
