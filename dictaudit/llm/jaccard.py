@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dictaudit.session import discard, materialize
+from dictaudit.session import discard, materialize, release_shuffles
 
 from .apply import fresh, per_text_rows
 from .components import components
@@ -451,6 +451,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     still = "part long, token long, doc long, n long, need long"
     open_ = materialize(placed(tiles.select("part", "token", "doc", "n", "need")).groupBy("part").applyInArrow(_open, still), "jaccard-open")
     discard(tiles)
+    release_shuffles(docs.sparkSession)
 
     def draw(salt: int):
         return lambda t: _drawn(t, percent, salt)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from dictaudit.session import materialize
+from dictaudit.session import discard, materialize, release_shuffles
 
 from .textscan import _power_table, mix, prefix_hash, range_hash, text_slices
 
@@ -285,9 +285,14 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
              .applyInArrow(anchors, "part long, block long, key binary, fp binary, count binary")
              .repartition(blocks, "part").groupBy("part").applyInArrow(shared, "block long, part long, key binary, hot binary"))
     found = materialize(found, "repeat-anchors")
+    release_shuffles(docs.sparkSession)
     sent = (dealt.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block"))
             .applyInArrow(sends, "part long, block long, doc binary, last binary, n binary, piece binary, x binary"))
-    return materialize(sent.repartition(parts + blocks, "part").groupBy("part").applyInArrow(bucket, TO_BLOCK), "repeat-ranges")
+    ranges = materialize(sent.repartition(parts + blocks, "part").groupBy("part").applyInArrow(bucket, TO_BLOCK), "repeat-ranges")
+    discard(found)
+    del sent
+    release_shuffles(docs.sparkSession)
+    return ranges
 
 
 def _marked(answer: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
