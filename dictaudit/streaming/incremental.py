@@ -19,6 +19,8 @@ from ..operators import audit as A
 from ..session import scratch_path
 from ..sources import sinks as SK
 
+FILES_PER_TRIGGER = 256  # part files of a large table that one micro-batch reads
+
 
 def entry_flags(entries: DataFrame, text_vectors: DataFrame) -> DataFrame:
     """Per entry: cleaned definition, validity, chemical / structural / placeholder flags, and
@@ -67,8 +69,13 @@ def stream_table(spark: SparkSession, path: str, schema, max_files: int = 1, glo
 def stream_entry_flags(spark: SparkSession, documents_path: str, text_vectors: DataFrame) -> DataFrame:
     """Stream the documents table through :func:`entry_flags` into a scratch table; return it."""
     schema = spark.read.parquet(documents_path).schema
-    folder, name = documents_path.rsplit("/", 1)
-    docs = stream_table(spark, folder, schema, glob=name).select(
+    path = spark._jvm.org.apache.hadoop.fs.Path(documents_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        table = stream_table(spark, documents_path, schema, max_files=FILES_PER_TRIGGER)
+    else:  # a stream reads folders: the one file of its folder
+        folder, name = documents_path.rsplit("/", 1)
+        table = stream_table(spark, folder, schema, glob=name)
+    docs = table.select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("definition"))
     out, ckpt = scratch_path(spark, "stream-flags"), scratch_path(spark, "stream-flags-ckpt")
     run_available_now(entry_flags(docs, text_vectors), out, ckpt)
