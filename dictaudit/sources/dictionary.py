@@ -114,7 +114,7 @@ def normalised_columns(columns: list[str]) -> dict[str, str]:
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """The records (file, header, record) of the quoted UTF-8 CSV files under ``path``, one text a record, also where
-    quoted fields hold line breaks. Files are split by bytes, so one large file is read by many tasks:
+    quoted fields hold line breaks, in the order of the file. Files are split by bytes, so one large file is read by many tasks:
 
     a line is inside a quoted field when the quotes before it in its file are odd in number. The parity of
     each byte range is counted first; sums over the ranges before then tell where every range begins, and
@@ -139,7 +139,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     carried = lasts.select("file", "block", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
     several = placed.where(~F.col("whole")).join(carried, ["file", "block"]).groupBy("file", F.coalesce("start", "carried").alias("start")).agg(
         F.max("head").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "row", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    records = placed.where("whole").select("file", "head", "value").union(several.select("file", "head", "value"))
+    records = placed.where("whole").select("file", "head", "start", "value").union(several.select("file", "head", "start", "value")).orderBy("file", "start")
     return records.select("file", F.col("head").alias("header"), F.regexp_replace("value", "\r$", "").alias("record")).where("record <> ''")
 
 
