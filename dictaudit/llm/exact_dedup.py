@@ -39,7 +39,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("size", F.octet_length("rest"))
     cells = materialize(rows.groupBy("size", _part("rest", 1, width).alias("digit")).agg(F.count("*").alias("n")).where("n > 1")
                         .withColumnRenamed("size", "cell_size"), "radix-cells")
-    dealt = rows.join(cells, (F.col("size") == F.col("cell_size")) & (_part("rest", 1, width) == F.col("digit")), "left")
+    # a broadcast of few cells would give way to a shuffle as the table grows: one plan at every size
+    dealt = rows.join(cells.hint("merge"), (F.col("size") == F.col("cell_size")) & (_part("rest", 1, width) == F.col("digit")), "left")
     level = materialize(dealt.select(
         "doc_id", F.sha2("rest", 256).alias("text_sha256"), "size", "digit",
         F.when(F.col("n").isNotNull(), _part("rest", width + 1)).alias("rest"), F.monotonically_increasing_id().alias("rid")),
@@ -58,7 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             same &= c == F.col(f"c{i}")
         read += width
         ended = (F.col("n") == 1) | (F.col("size") <= read)
-        level = materialize(rows.join(cells, same).select(
+        level = materialize(rows.join(cells.hint("merge"), same).select(
             "doc_id", "text_sha256", "size", "rid", "n", F.col("top.rid").alias("leader"), F.col("top.doc_id").alias("keep_id"),
             F.when(~ended, _part("rest", width + 1)).alias("rest")), "radix")
         found.append(level.where("rest is null").select(
