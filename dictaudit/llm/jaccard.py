@@ -4,7 +4,9 @@ A text's set holds its distinct 5-word shingles (a shorter text: its whole word
 link when the Jaccard similarity of their sets reaches the threshold; the result is the exact
 connected component of every text.
 
-1. Equal sets collapse to their smallest id, before and after the shuffle.
+1. Equal sets collapse to their smallest id before anything is shuffled: rows whose set is not its id's first
+   send no tiles. Tiles then travel as 32 bits each, and once for each run of tiles of a text its id, size and
+   need, as differences and byte planes that compress alike however few tiles of a text go to one part.
 2. Tiles: sets are banded by size, so that linked sets lie in one band or two neighbouring ones. The
    sets of a pair whose larger one lies in band j differ in at most D_j elements. Band j cuts the
    hash space into somewhat more than D_j buckets; of a set's non-empty buckets at least one then
@@ -136,51 +138,87 @@ def _tile_keys(row: np.ndarray, key: np.ndarray, size: np.ndarray, bands: Bands,
     return np.concatenate(rows), np.concatenate(tiles), np.concatenate(needs)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then their second bytes and so on: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _first_rows(docs: DataFrame, sized: DataFrame, reps: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """The rows (doc, text) whose id is the smallest of their set."""
+    judged = sized.where("n > 0 and doc_id is not null").join(reps, ["n", "fp", "fp2"]).groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("rep")).alias("first"), F.bool_and(F.col("doc_id") == F.col("rep")).alias("only"))
+    later = materialize(judged.where("not only").select(F.col("doc_id").alias("doc"), "first"), "jaccard-copies")
+    # an id may have several texts, of which some are the first of their set
+    mixed, some = later.where("first").select("doc"), later.select("doc")
+    if later.count() <= MAX_SENT_IDS:  # 8 bytes each; beyond, Spark joins by shuffling the texts
+        mixed, some = F.broadcast(mixed), F.broadcast(some)
+    there = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    alone = there.join(some, "doc", "left_anti")
+    if later.where("first").isEmpty():
+        return alone
+
+    def make():
+        def f(ids, data, offsets, texts):
+            rows = len(offsets) - 1
+            row, key = sets(data, offsets, n)
+            fp, fp2 = _fingerprints(row, key, rows)
+            return [ids, texts.cast(pa.string()), np.bincount(row, minlength=rows), fp, fp2]
+        return f
+
+    several = per_text_rows(there.join(mixed, "doc", "left_semi"), "doc long, text string, n long, fp long, fp2 long", make, "doc", "text")
+    return alone.unionByName(several.join(reps.withColumnRenamed("rep", "doc"), ["doc", "n", "fp", "fp2"], "left_semi").select("doc", "text"))
+
+
 def _tile_rows(docs: DataFrame, bands: Bands, id_col: str, text_col: str, n: int, percent: int, parts: int) -> DataFrame:
-    """Packed tiles, one row per slice and part of the tiles."""
+    """Packed tiles, one row per slice and part of the tiles: the tiles, and of each run of tiles of one text and need
+    the id (as a difference to the run before), size, need and length."""
     def make():
         def f(ids, data, offsets, _):
             rows = len(offsets) - 1
             row, key = sets(data, offsets, n)
-            fp, fp2 = _fingerprints(row, key, rows)
             size = np.bincount(row, minlength=rows)
-            # equal sets of a slice are sent once, with their smallest id
-            known = np.flatnonzero((size > 0) & ids.is_valid().to_numpy(zero_copy_only=False))
+            known = (size > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
             num = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            order = known[np.lexsort((num[known], fp2[known], fp[known]))]
-            first = np.ones(len(order), bool)
-            first[1:] = (fp[order][1:] != fp[order][:-1]) | (fp2[order][1:] != fp2[order][:-1])
-            sent = np.zeros(rows, bool)
-            sent[order[first]] = True
-            keep = sent[row]
+            keep = known[row]
             row, key = row[keep], key[keep]
             row, tile, need = _tile_keys(row, key, np.bincount(row, minlength=rows), bands, percent)
             # the part and 32 bits of hash name a tile; a chance collision only adds a candidate
             part = ((tile >> _U(32)) % _U(parts)).astype(np.int64)
-            order = np.lexsort((row, part))
-            row, tile, part, need = row[order], tile[order], part[order], need[order]
+            order = np.lexsort((need, row, part))
+            row, tile, part, need = row[order], (tile[order] & _U(0xFFFFFFFF)).astype(np.uint32), part[order], need[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (need[1:] != need[:-1])
+            run = np.flatnonzero(new)
             cut = np.searchsorted(part, np.arange(parts + 1))
             full = np.flatnonzero(cut[1:] > cut[:-1])
-            at = [slice(cut[p], cut[p + 1]) for p in full]
-            return [full, [(tile[s] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in at],
-                    [num[row[s]].tobytes() for s in at], [size[row[s]].astype(np.int32).tobytes() for s in at],
-                    [signed(fp)[row[s]].tobytes() for s in at], [need[s].astype(np.int32).tobytes() for s in at]]
+            runs = np.searchsorted(run, cut)
+            owner = num[row[run]]
+            step = np.diff(owner, prepend=0)
+            step[runs[full]] = owner[runs[full]]  # a packed row starts from 0
+            cols = step, size[row[run]].astype(np.int32), need[run].astype(np.int32), np.diff(np.append(run, len(row))).astype(np.int32)
+            return [full, [tile[cut[p]:cut[p + 1]].tobytes() for p in full]] + [[_planes(c[runs[p]:runs[p + 1]]) for p in full] for c in cols]
         return f
 
-    return per_text_rows(docs, "part long, tile binary, id binary, n binary, fp binary, need binary", make, id_col, text_col)
+    return per_text_rows(docs, "part long, tile binary, id binary, n binary, need binary, times binary", make, id_col, text_col)
 
 
 def _tiles(t: pa.Table, percent: int) -> pa.Table:
     """Rows of the tiles with at least two different sets, each with its leader: the smallest set of
     its size band in the tile."""
-    read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()])
-    token, num, n, fp = read("tile", np.uint32).astype(np.int64), read("id", np.int64), read("n", np.int32).astype(np.int64), read("fp", np.int64)
-    need = read("need", np.int32).astype(np.int64)
-    order = np.lexsort((num, fp, n, token))
-    token, num, n, fp, need = token[order], num[order], n[order], fp[order], need[order]
-    # equal sets of several slices: the smallest id stays
+    read = lambda c, kind: [_from_planes(x, kind) for x in t.column(c).to_pylist()]
+    token = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("tile").to_pylist()]).astype(np.int64)
+    times = np.concatenate(read("times", np.int32))
+    num = np.repeat(np.concatenate([np.cumsum(x) for x in read("id", np.int64)]), times)
+    n, need = (np.repeat(np.concatenate(read(c, np.int32)).astype(np.int64), times) for c in ("n", "need"))
+    order = np.lexsort((need, num, n, token))
+    token, num, n, need = token[order], num[order], n[order], need[order]
+    # a row may be given twice
     first = np.ones(len(token), bool)
-    first[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (fp[1:] != fp[:-1])
+    first[1:] = (token[1:] != token[:-1]) | (n[1:] != n[:-1]) | (num[1:] != num[:-1]) | (need[1:] != need[:-1])
     token, num, n, need = token[first], num[first], n[first], need[first]
     same = token[1:] == token[:-1]
     met = np.zeros(len(token), bool)
@@ -421,7 +459,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total, largest = scanned.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
     bands = Bands(percent, max(largest, 1))
     parts = max(1, -(-total * 24 // (2 * PART_BYTES)))
-    sent = _tile_rows(docs, bands, id_col, text_col, n, percent, parts)
+    sized = scanned.select("doc_id", "n", "fp", "fp2")
+    reps = materialize(sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    sent = _tile_rows(_first_rows(docs, sized, reps, id_col, text_col, n), bands, "doc", "text", n, percent, parts)
     tiles = materialize(sent.repartition(parts, "part").groupBy("part").applyInArrow(
         lambda t: _tiles(t, percent), "part long, token long, doc long, n long, need long, leader long"), "jaccard-tiles")
 
@@ -473,8 +513,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b"))
     final = _joined(named, _verified(more, signatures, docs, id_col, text_col, n, percent))
 
-    sized = scanned.select("doc_id", "n", "fp", "fp2")
-    reps = sized.where("n > 0").groupBy("n", "fp", "fp2").agg(F.min("doc_id").alias("rep"))
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select(
         "n", "fp", "fp2", F.coalesce("component", "rep").alias("component"))
     return (sized.join(named, ["n", "fp", "fp2"], "left")
