@@ -8,7 +8,7 @@ table. One pass, linear in the text, whatever its length.
 
 No piece holds the space mark behind another character, so the text is cut before runs of space
 marks, and around characters that are in no longer piece, without changing the result; encodings of
-short cuts are cached up to a bound.
+short cuts are cached up to a bound, as packed ids under the cut with plain spaces (few bytes an entry).
 
 The tables come from a model file (path on the driver) and are broadcast; they are as large as the
 vocabulary. Scores rank merges, equal scores go from left to right, as in the library.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .apply import per_text, ship, shipped
 
 SPACE_MARK = "▁"
-CACHE_ENTRIES = 300_000  # in each of two generations
+CACHE_ENTRIES = 150_000  # in each of two generations
 CACHED_CHARS = 48
 PAIR_ENTRIES = 1_000_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -153,11 +153,13 @@ class Coder:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.shift = (len(model.piece) + len(model.loose)).bit_length()
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.plain = [p.replace(SPACE_MARK, " ") if k == _NORMAL else None
                       for p, k in zip(model.piece, model.kind, strict=True)]
-        self.cuts = re.compile(model.cut_pattern())
+        for b, i in enumerate((model.byte_id or [])[:128]):  # these are characters by themselves
+            self.plain[i] = chr(b)
+        self.cuts = re.compile(model.cut_pattern().replace(SPACE_MARK, " "))
 
     def _bytes(self, c: str) -> list[int]:
         return [self.m.byte_id[b] for b in c.encode()] if self.m.byte_id else [self.m.unknown]
@@ -192,11 +194,11 @@ class Coder:
             at -= size[at]
         return tuple(reversed(out))
 
-    def _cut(self, cut: str) -> tuple[bytes, str]:
+    def _cut(self, cut: str) -> bytes:
+        """Packed ids of a cut whose space marks are spaces."""
         got = self.older.get(cut)
         if got is None:
-            ids = self.encode_cut(cut)
-            got = array("i", ids).tobytes(), self.decode_inner(ids)
+            got = array("i", self.encode_cut(cut.replace(" ", SPACE_MARK))).tobytes()
             if len(cut) > CACHED_CHARS:
                 return got
         if len(self.cache) >= CACHE_ENTRIES:
@@ -237,16 +239,13 @@ class Coder:
         """Ids of a text, and the text decoded from these ids."""
         if not text:
             return np.zeros(0, np.int32), ""
-        marked = text.replace(" ", SPACE_MARK)
+        marked = text.replace(SPACE_MARK, " ")  # both are the space mark
         if self.m.add_dummy_prefix:
-            marked = SPACE_MARK + marked
+            marked = " " + marked
         cuts = self.cuts.findall(marked)
         get, cut = self.cache.get, self._cut
-        got = [get(c) or cut(c) for c in cuts]
-        ids = np.frombuffer(b"".join([g[0] for g in got]), np.int32)
-        out = "".join([g[1] for g in got])
-        drop = self.m.add_dummy_prefix and len(ids) and self.m.piece[ids[0]].startswith(SPACE_MARK)
-        return ids, out[1:] if drop else out
+        ids = np.frombuffer(b"".join([get(c) or cut(c) for c in cuts]), np.int32)
+        return ids, self.decode(ids.tolist())
 
 
 def _utf8(raw: bytes) -> str:
