@@ -219,7 +219,7 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
             found["size"].append(size)
         if not found["doc"]:
             return none
-        f = {c: np.concatenate(v) for c, v in found.items()}
+        f = {c: np.concatenate(found.pop(c)) for c in list(found)}
         # numbers follow the hashes, so that a task that runs again gives the same
         whole, one = np.unique(f["whole"], return_index=True)
         whole_hot = f["whole_hot"][one]
@@ -243,16 +243,15 @@ def repeated_windows(docs: DataFrame, blocks: int, units: Callable, window: int,
         cut = np.searchsorted(route[order], np.arange(parts + 1))
         block = texts.column("block")[0].as_py()
         n = f["n"][one]
-        size = f["size"][one][order]
-        ends = np.cumsum(f["size"])[one][order]
-        index = np.repeat(ends - np.cumsum(size), size) + np.arange(size.sum())
-        flat, flat_cut = f["x"][index], np.concatenate([[0], np.cumsum(size)])[cut]
+        size, at_x = f["size"][one], (np.cumsum(f["size"]) - f["size"])[one]
         cols = [[] for _ in names]
         for p in np.flatnonzero(cut[1:] > cut[:-1]):
             o = order[cut[p]:cut[p + 1]]
-            for c, x in zip(cols, (int(p), block, first[o].tobytes(), last[o].tobytes(), n[o].astype(np.int32).tobytes(),
-                                   number[o].astype(np.int32).tobytes(), flat[flat_cut[p]:flat_cut[p + 1]].tobytes())):
-                c.append(x)
+            ends = np.cumsum(size[o])
+            x = f["x"][np.repeat(at_x[o] - ends + size[o], size[o]) + np.arange(ends[-1])]
+            for c, y in zip(cols, (int(p), block, first[o].tobytes(), last[o].tobytes(), n[o].astype(np.int32).tobytes(),
+                                   number[o].astype(np.int32).tobytes(), x.tobytes())):
+                c.append(y)
         # what stays with the block travels as a group of its own
         for k, x in ((OCCURRENCE, (f["doc"], f["pos"], at)), (LINK, (number[link[:, 0]], link[:, 1], link[:, 2]))):
             for c, y in zip(cols, (parts + block, block, x[0].tobytes(), b"", x[1].astype(np.int32).tobytes(),

@@ -2,12 +2,13 @@
 
 Every byte inside a 50-byte string that also starts in a text with a smaller id goes. Strings that
 can repeat are routed to buckets by their minimizer (see ``repeats``). A bucket indexes its distinct
-strings by a run-compressed Burrows-Wheeler transform: runs of equal preceding bytes, the row of each
-string's last window, and the rows at which the first 50 bytes change. The suffix array itself is dropped. All strings stream through the index from right to
-left, from their last window on: a step maps the row of a
-suffix to the row of the suffix one byte longer by its run alone. The matching statistic of a window
-reaches 50 bytes exactly with the windows of its stretch of rows, so the smallest id of a stretch
-tells which windows repeat an earlier text. Copies of whole texts are found by their hash beforehand.
+strings, those of a share of its minimizers at a time, by a run-compressed Burrows-Wheeler transform:
+runs of equal preceding bytes, the row of each string's last window, and the rows at which the first
+50 bytes change. The suffix array itself is dropped. All strings stream through the index from right
+to left, from their last window on: a step maps the row of a suffix to the row of the suffix one byte
+longer by its run alone. The matching statistic of a window reaches 50 bytes exactly with the windows
+of its stretch of rows, so the smallest id of a stretch tells which windows repeat an earlier text.
+Copies of whole texts are found by their hash beforehand.
 
 Defined cases: null counts as empty (nothing removed); a null id neither removes nor loses
 anything; rows with equal ids are one document (equal texts are expected) and each gets its result
@@ -21,11 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import BLOCK_BYTES, blocked, merged, repeated_windows, with_ranges
+from .repeats import _MASK, BLOCK_BYTES, blocked, merged, repeated_windows, with_ranges
 from .textscan import mix, prefix_hash, range_hash
 
 WINDOW = 50
 ANCHOR = 24
+SOLVE_BYTES = 512 << 10  # strings indexed at a time; the index takes about 100 bytes a byte of them
 
 FIELDS = "n_bytes long, spans array<array<long>>, kept binary"
 
@@ -115,14 +117,46 @@ class RunLengthIndex:
         return np.searchsorted(self.stretch_start, row, side="right") - 1
 
 
+def _hashes(size: np.ndarray, begin: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each super-window and of its minimizer, some of them at a time."""
+    key, least = np.empty(len(size), np.uint64), np.empty(len(size), np.uint64)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + SOLVE_BYTES)))
+        prefix = prefix_hash(data[begin[a]:begin[b - 1] + size[b - 1]])
+        at = begin[a:b] - begin[a]
+        key[a:b] = mix(range_hash(prefix, at, at + size[a:b]) + size[a:b].astype(np.uint64))
+        low = range_hash(prefix, at, at + ANCHOR) & ~_MASK
+        for shift in range(1, WINDOW - ANCHOR + 1):
+            low = np.minimum(low, range_hash(prefix, at + shift, at + shift + ANCHOR) & ~_MASK)
+        least[a:b] = low
+        a = b
+    return key, least
+
+
 def _solve(doc: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """For every window of every super-window: the smallest id that has it."""
-    if not len(doc):
-        return np.zeros(0, np.int64)
+    """For every window of every super-window: the smallest id that has it. Equal windows have equal
+    minimizers, so the strings of a share of the minimizers are indexed at a time."""
+    size = n + WINDOW - 1
+    begin = np.cumsum(size) - size
+    key, low = _hashes(size, begin, data)
+    shares = max(1, -(-len(data) // SOLVE_BYTES))
+    share = (mix(low) % np.uint64(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    cut = np.searchsorted(share[order], np.arange(shares + 1))
+    first = np.cumsum(n) - n
+    least = np.empty(n.sum(), np.int64)
+    for a, b in zip(cut[:-1], cut[1:]):
+        o = order[a:b]
+        if len(o):
+            at = np.repeat(first[o] - np.cumsum(n[o]) + n[o], n[o]) + np.arange(n[o].sum())
+            least[at] = _indexed(doc[o], n[o], key[o], begin[o], data)
+    return least
+
+
+def _indexed(doc: np.ndarray, n: np.ndarray, key: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
     size = n + WINDOW - 1
-    ends = np.cumsum(size)
     # each distinct string once; its key has its hash and length
-    key = mix(range_hash(prefix_hash(data), ends - size, ends) + size.astype(np.uint64))
     _, first, of = np.unique(key, return_index=True, return_inverse=True)
     order = np.argsort(-size[first], kind="stable")  # the longest strings first
     place = np.empty(len(order), np.int64)
@@ -133,7 +167,7 @@ def _solve(doc: np.ndarray, n: np.ndarray, data: np.ndarray) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum(total)])
     text = np.zeros(at[-1], np.uint8)
     within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    text[np.repeat(at[:-1], length) + within] = data[np.repeat(ends[first] - length, length) + within] + 1
+    text[np.repeat(at[:-1], length) + within] = data[np.repeat(begin[first], length) + within] + 1
     index = RunLengthIndex(text, len(first))
 
     # stream all strings from right to left; a window of a string lies at its number of bytes left

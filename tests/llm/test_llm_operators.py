@@ -299,6 +299,45 @@ def hot_docs():
     return rows + [(None, passage), (2000, passage), (2001, passage[3:] + " end")]
 
 
+def test_a_large_bucket_is_indexed_in_shares():
+    """The index of a bucket takes bounded memory, and its answers are those of all strings together."""
+    import tracemalloc
+
+    import numpy as np
+
+    from dictaudit.llm import suffix_dedup as S
+    from dictaudit.llm.repeats import window_anchors
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(97, 123, 150_000).astype(np.uint8)
+    doc, n, data = [], [], []
+    for d in (7, 3, 9, 5):
+        start = int(rng.integers(0, 40_000))
+        unit, row, gram, _ = S._units(pool[start:start + 100_000], np.array([0, 100_000]))
+        windows, at = window_anchors(unit, row, gram, S.WINDOW, S.ANCHOR)
+        lead = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        doc.append(np.full(len(lead), d))
+        n.append(np.diff(np.append(lead, len(windows))))
+        data.append(S._strings(unit, windows[lead], n[-1])[0])
+    doc, n, data = (np.concatenate(x) for x in (doc, n, data))
+    S._solve(doc[:1], n[:1], data[:n[0] + S.WINDOW - 1])  # tables that stay are made
+    tracemalloc.start()
+    try:
+        got = S._solve(doc, n, data)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(data) > 3 * S.SOLVE_BYTES and peak < 30 * len(data)
+
+    raw, least, windows, begin = data.tobytes(), {}, [], 0
+    for d, k in zip(doc.tolist(), n.tolist()):
+        for i in range(begin, begin + k):
+            windows.append(raw[i:i + S.WINDOW])
+            least[windows[-1]] = min(d, least.get(windows[-1], d))
+        begin += k + S.WINDOW - 1
+    assert got.tolist() == [least[w] for w in windows]
+
+
 @pytest.mark.parametrize("module,limit", [("suffix_dedup", 600), ("debruijn_dedup", 600)])
 def test_a_common_passage_does_not_fill_a_bucket(spark, monkeypatch, module, limit):
     """A passage in all texts: no bucket gets as many strings as there are texts, and the result is whole."""
